@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,45 +80,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words (runs without ASCII white space) of rows that lie end to end.
-
-    Returns 64-bit hashes, start, end (byte positions) and row of every word. lower folds A-Z. Equal
-    words have equal hashes in every process; the hash is a polynomial in the word's bytes, mixed."""
-    n = len(raw)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, U64), none, none, none
-    ink = ~_SPACE[raw]
-    first = ink.copy()
-    first[1:] &= ~ink[:-1]
-    edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < n)]
-    first[edges] = ink[edges]
-    last = ink.copy()
-    last[:-1] &= ~ink[1:]
-    last[edges - 1] = ink[edges - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, U64), none, none, none
-    size = end - start
-    longest = int(size.max())
-    powers = np.full(longest, _ODD, U64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    total = int(size.sum())
-    # position of each inked byte within its word
-    within = np.arange(total, dtype=np.int64)
-    begin = np.cumsum(size) - size
-    within -= np.repeat(begin, size)
-    body = raw[ink]
-    value = ((_LOWER[body] if lower else body).astype(U64) + U64(1)) * powers[within]
-    hashes = mix(np.add.reduceat(value, begin) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
-    row = np.searchsorted(offsets, start, side="right") - 1
-    return hashes, start, end, row
-
-
-def per_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by row, for n rows."""
-    return np.bincount(row, weights=values, minlength=n)
+def slices(batch: pa.RecordBatch, name: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch in runs of rows with about most bytes in the binary column name (a longer row stands alone), with flat() of each."""
+    column = batch.column(name)
+    _, offsets = flat(column)
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, side="right")) - 1)
+        part = batch.slice(low, high - low)
+        yield part, *flat(part.column(name))
+        low = high
+
+
+class Words:
+    """All words of rows that lie end to end: runs of the bytes that ink marks.
+
+    start, end: byte positions; row: each word's row; hashes: 64 bits, equal for equal words in every
+    process (a polynomial in the bytes, mixed). A-Z is folded if lower."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, ink: np.ndarray = ~_SPACE, lower: bool = True):
+        n, inked = len(raw), ink[raw]
+        first, last = inked.copy(), inked.copy()
+        first[1:] &= ~inked[:-1]
+        last[:-1] &= ~inked[1:]
+        edges = offsets[1:-1]
+        edges = edges[(edges > 0) & (edges < n)]
+        first[edges] = inked[edges]
+        last[edges - 1] = inked[edges - 1]
+        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.row = np.searchsorted(offsets, self.start, side="right") - 1
+        self.size = self.end - self.start
+        self._begin = np.cumsum(self.size) - self.size
+        if not len(self.start):
+            self.hashes = self._value = np.zeros(0, U64)
+            return
+        powers = np.full(int(self.size.max()), _ODD, U64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        self._within = np.arange(int(self.size.sum()), dtype=np.int64) - np.repeat(self._begin, self.size)
+        body = raw[inked]
+        self._value = ((_LOWER[body] if lower else body).astype(U64) + U64(1)) * powers[self._within]
+        self.hashes = self._mixed(self._value, self.size)
+
+    def _mixed(self, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix(np.add.reduceat(value, self._begin) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the words' first size bytes; a shorter word's is that of the whole word."""
+        if not len(self.start):
+            return self.hashes
+        return self._mixed(np.where(self._within < size, self._value, U64(0)), np.minimum(self.size, size))
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values (one a byte) over rows."""
+    full = offsets[1:] > offsets[:-1]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    if full.any():
+        out[full] = np.add.reduceat(values, offsets[:-1][full], dtype=np.int64)
+    return out
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
+    """documents joined with at most most labelled rows for which learn holds, as column y.
+
+    The rows are those with the smallest hash of doc_id, so the sample is a fixed, source-blind one; its
+    ids are bounded by most and are broadcast. A doc_id labelled more than once has its smallest label."""
+    chosen = labels.filter(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return documents.join(F.broadcast(chosen), "doc_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import topk
+from graphloom.llm import quality, topk
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
