@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import quality, topk
+from graphloom.llm import quality, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
