@@ -132,7 +132,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.bias + lookup.hits(row, key, n) @ self.weights, -40, 40)))
 
     @classmethod
-    def fitted(cls, docs: list[np.ndarray], y: np.ndarray, most: int = 2048, rounds: int = 400, ridge: float = 3e-4) -> ToxicityModel:
+    def fitted(cls, docs: list[np.ndarray], y: np.ndarray, most: int = 2048, rounds: int = 600, ridge: float = 3e-5) -> ToxicityModel:
         """docs: each row's distinct keys; y: labels, used only to induce pattern voters. The classifier learns the label model's posteriors."""
         row, key = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate([*docs, np.zeros(0, U64)]).astype(U64)
         named = voters(row, key, y)
