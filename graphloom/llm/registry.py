@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, packing, quality, topk, toxicity
+from graphloom.llm import bpe, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op4_simhash": simhash.op4_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op10_exact_topk": topk.op10_exact_topk,
