@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, packing, quality, simhash, topk, toxicity
+from graphloom.llm import bpe, hosts, lines, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op4_simhash": simhash.op4_simhash,
+    "op5_line_rules": lines.op5_line_rules,
+    "op6_url_filter": hosts.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLES = {
+    "op5_line_rules": lines.ORACLE_SQL,
+    "op6_url_filter": hosts.ORACLE_SQL,
     "op10_exact_topk": topk.ORACLE_SQL,
 }
