@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, hosts, lines, packing, quality, simhash, topk, toxicity
+from graphloom.llm import bpe, hosts, lines, packing, quality, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,11 +12,13 @@ QUERIES = {
     "op6_url_filter": hosts.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
+    "op9_secrets": secrets.op9_secrets,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLES = {
     "op5_line_rules": lines.ORACLE_SQL,
     "op6_url_filter": hosts.ORACLE_SQL,
+    "op9_secrets": secrets.ORACLE_SQL,
     "op10_exact_topk": topk.ORACLE_SQL,
 }
