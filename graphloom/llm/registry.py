@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, hosts, lines, packing, quality, secrets, simhash, topk, toxicity
+from graphloom.llm import bpe, hosts, lines, packing, passages, quality, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op3_substring_dedup": passages.op3_substring_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_rules": lines.op5_line_rules,
     "op6_url_filter": hosts.op6_url_filter,
