@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from graphloom.llm.common import table
 
@@ -47,17 +48,9 @@ class WordBpe:
             left, right = self.vocab[a], self.vocab[b]
             self.ranks[left, right] = rank
             self.halves.setdefault(self.vocab[a + b], (left, right, rank))
-        self._tails: dict[str, list[int]] = {}
-        for t in self.vocab:
-            core, end = (t[: -len(self.suffix)], self.suffix) if t.endswith(self.suffix) and t != self.suffix else (t, "")
-            sizes = self._tails.setdefault(core[-2:] + end, [])
-            if len(core) not in sizes:
-                sizes.append(len(core))
-        for sizes in self._tails.values():
-            sizes.sort(reverse=True)
+        self._goto: dict[tuple[int, str], int] = {}
         self._words: dict[str, list[int]] = {}
         self.most_words = 250_000  # how many words' ids are kept from one call to the next
-        self._by_tail: dict[str, list[int]] = {}
         self._meets: dict[tuple[int, int], bool] = {}
         self._bytes = {i: c for i, c in enumerate(byte_alphabet()) if chr(i) != c}
         self._pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
@@ -65,6 +58,54 @@ class WordBpe:
         self._odd_space = regex.compile("[\x1c-\x1f]")
         self._space = regex.compile(r"\p{White_Space}+")
 
+    def _automaton(self) -> None:
+        """A suffix automaton over all entries: at each place of a word, the entries that end there, longest first.
+
+        A word's last symbol is another one than the same character inside, so it has its own code point.
+        _goto: (state, symbol) to state; _fail: the state of the longest proper suffix; _longest: the longest entry that
+        a state ends with (-1: none); _shorter: the next entry by length that an entry ends with."""
+        where, chars, parent = {}, [""], [0]
+        for entry, token in self.vocab.items():
+            core = entry.removesuffix(self.suffix)
+            spelt = core[:-1] + self.closed(core[-1]) if core and core != entry else entry
+            state = 0
+            for c in spelt:
+                to = self._goto.get((state, c))
+                if to is None:
+                    to = self._goto[state, c] = len(chars)
+                    chars.append(c)
+                    parent.append(state)
+                state = to
+            where[state] = token, len(spelt)
+        n = len(chars)
+        depth = [0] * n
+        for state in range(1, n):  # a parent's number is the smaller one
+            depth[state] = depth[parent[state]] + 1
+        self._fail, self._longest, self._shorter, self._length = [0] * n, [-1] * n, {}, {}
+        for state in sorted(range(1, n), key=depth.__getitem__):
+            up = parent[state]
+            if up:
+                self._fail[state] = self._step(self._fail[up], chars[state])
+            below = self._longest[self._fail[state]]
+            if state in where:
+                token, size = where[state]
+                self._longest[state], self._shorter[token], self._length[token] = token, below, size
+            else:
+                self._longest[state] = below
+
+    @staticmethod
+    def closed(c: str) -> str:
+        """The symbol of a character that ends a word."""
+        return chr(ord(c) + 0x1000)
+
+    def _step(self, state: int, c: str) -> int:
+        goto, fail = self._goto, self._fail
+        to = goto.get((state, c))
+        while to is None and state:
+            state = fail[state]
+            to = goto.get((state, c))
+        return to or 0
+
     # -- words of a text
 
     def chunks(self, text: str) -> list[str]:
@@ -76,6 +117,12 @@ class WordBpe:
     def pieces(self, chunk: str) -> list[str | int]:
         """A chunk's pieces: words in the byte alphabet, and ids of special tokens."""
         out: list[str | int] = []
+        core = chunk if chunk[-1] not in ".,!" else chunk[:-1]
+        if core.isascii() and core.isalpha() or core.isalpha() and "Σ" not in core and unicodedata.is_normalized("NFC", core):
+            word = core.lower()  # letters alone, or with one stop
+            if word.isascii() or word.isalpha():
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(self._bytes)
+                return [word] if core is chunk else [word, chunk[-1]]
         for part in self._specials.split(chunk) if "<|" in chunk else (chunk,):
             if part in self.special:
                 out.append(self.special[part])
@@ -122,14 +169,6 @@ class WordBpe:
             self._meets[left, right] = known
         return known
 
-    def _sizes(self, tail: str) -> list[int]:
-        """Sizes of the entries that can end where tail (at most two characters, with the word's end or without) does; longest first."""
-        known = self._by_tail.get(tail)
-        if known is None:
-            core, more = (tail[: -len(self.suffix)], self.suffix) if tail.endswith(self.suffix) else (tail, "")
-            known = self._by_tail[tail] = self._tails.get(tail, []) + (self._tails.get(core[1:] + more, []) if len(core) > 1 else [])
-        return known
-
     def _merged(self, word: str) -> list[int]:
         """Plain merging, for a word that a vocabulary's unreachable entries hide from the trie."""
         ids = [self.vocab[c + self.suffix * (i == len(word) - 1)] for i, c in enumerate(word)]
@@ -142,25 +181,29 @@ class WordBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words of the byte alphabet. In sorted order each word follows the branch that it shares with the last one; the list of states is the path from the root."""
+        if not self._goto:
+            self._automaton()
         out: dict[str, list[int]] = {}
-        vocab, stays, meets, by_tail, suffix = self.vocab.get, self.stays, self._meets.get, self._by_tail.get, self.suffix
-        last, size_of = [-1], [0]  # by depth: the state's token (-1: none) and its size
+        goto, fail, longest, shorter, length = self._goto.get, self._fail, self._longest, self._shorter.__getitem__, self._length.__getitem__
+        stays, meets = self.stays, self._meets.get
+        states, last = [0], [-1]  # by depth: the automaton's state; the last token (-1: none)
         before = ""
         for word in sorted(words):
             n, shared, top = len(word), 0, min(len(before), len(word) - 1, len(last) - 1)
             while shared < top and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], size_of[shared + 1 :]
+            del last[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
             for end in range(shared + 1, n + 1):
-                more = suffix if end == n else ""
-                tail = word[max(0, end - 2) : end] + more
-                token = -1
-                for size in by_tail(tail) or self._sizes(tail):
-                    if size > end:
-                        continue
-                    token = vocab(word[end - size : end] + more, -1)
-                    if token < 0:
-                        continue
+                c = word[end - 1] if end < n else self.closed(word[n - 1])
+                to = goto((state, c))
+                while to is None and state:
+                    state = fail[state]
+                    to = goto((state, c))
+                state = to or 0
+                token = longest[state]
+                while token >= 0:
+                    size = length(token)
                     if size == end:
                         break
                     left = last[end - size]
@@ -168,15 +211,15 @@ class WordBpe:
                         good = meets((left, token))
                         if good or good is None and stays(left, token):
                             break
-                    token = -1
+                    token = shorter(token)
+                states.append(state)
                 last.append(token)
-                size_of.append(size if token >= 0 else 0)
             ids, end = [], n
             while end and last[end] >= 0:
                 ids.append(last[end])
-                end -= size_of[end]
+                end -= length(last[end])
             out[word] = self._merged(word) if end else ids[::-1]
-            del last[n:], size_of[n:]  # the word's end is no prefix of another word
+            del last[n:], states[n:]  # the word's end is no prefix of another word
             before = word
         return out
 
@@ -200,10 +243,22 @@ class WordBpe:
         return " ".join(t for t in map(self.tokens.get, ids) if t is not None)
 
 
-@lru_cache(maxsize=2)
-def loaded(path: str) -> WordBpe:
+class LibraryBpe(WordBpe):
+    """The same texts and pieces, with the words' ids from the tokenizers library; for stages that need ids, not the trie."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self._model = Tokenizer.from_file(path).model
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+        tokenize = self._model.tokenize
+        return {w: [t.id for t in tokenize(w)] for w in words}
+
+
+@lru_cache(maxsize=4)
+def loaded(path: str, kind: type[WordBpe] = WordBpe) -> WordBpe:
     """The vocabulary at path, read once a process."""
-    return WordBpe(path)
+    return kind(path)
 
 
 def default_vocabulary() -> str:
@@ -216,7 +271,7 @@ def default_vocabulary() -> str:
 class ChunkCache:
     """What a process keeps of the chunks that it has met: forms(ids) of each, most entries at most, then it starts afresh."""
 
-    def __init__(self, bpe: WordBpe, forms: int, make, most: int = 250_000):
+    def __init__(self, bpe: WordBpe, forms: int, make, most: int = 400_000):
         self.bpe, self.make, self.most = bpe, make, most
         self.of: list[dict] = [{} for _ in range(forms)]
 
@@ -225,9 +280,9 @@ class ChunkCache:
         met = set().union(*texts)
         gc.disable()  # many small lists and no cycles
         try:
-            if len(self.of[0]) + len(met) > self.most:
-                for d in self.of:
-                    d.clear()
+            if len(self.of[0]) + len(met) > self.most + len(met & self.of[0].keys()):
+                for k, d in enumerate(self.of):  # what was just met goes on
+                    self.of[k] = {c: d[c] for c in met if c in d}
             for chunk, ids in self.bpe.encode_chunks(met - self.of[0].keys()).items():
                 for d, form in zip(self.of, self.make(ids), strict=True):
                     d[chunk] = form
@@ -251,10 +306,10 @@ def groups(texts: list[str | None], most: int = 1 << 22) -> Iterator[list[str]]:
 _CACHES: dict[tuple[str, str], ChunkCache] = {}
 
 
-def process_cache(kind: str, path: str, forms: int, make) -> ChunkCache:
+def process_cache(kind: str, path: str, forms: int, make, by: type[WordBpe] = WordBpe) -> ChunkCache:
     """The process's cache of a kind, which lasts over tasks."""
     if (kind, path) not in _CACHES:
-        _CACHES[kind, path] = ChunkCache(loaded(path), forms, make(loaded(path)))
+        _CACHES[kind, path] = ChunkCache(loaded(path, by), forms, make(loaded(path, by)))
     return _CACHES[kind, path]
 
 

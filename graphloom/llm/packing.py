@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import default_vocabulary, groups, process_cache
+from graphloom.llm.bpe import LibraryBpe, default_vocabulary, groups, process_cache
 from graphloom.llm.common import materialise, table
 
 Bins = list[list[int]]  # items of each bin
@@ -214,7 +214,7 @@ def token_pieces(documents: DataFrame, vocabulary: str, capacity: int = 4096, en
     Null texts count as empty: their piece is end_id alone. item numbers the pieces; it is fixed once the rows are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache("packed", vocabulary, 1, lambda bpe: lambda ids: (array("I", ids).tobytes(),))
+        cache = process_cache("packed", vocabulary, 1, lambda bpe: lambda ids: (array("I", ids).tobytes(),), LibraryBpe)
         end, step = array("I", [end_id]).tobytes(), 4 * capacity
         item = TaskContext.get().partitionId() << 40
         for batch in batches:
