@@ -119,6 +119,34 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select("doc_id", F.size("a").cast("long").alias("n_assign"), F.size("k").cast("long").alias("n_access"), F.size("h").cast("long").alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(everything).alias("spans"), everything.alias("all"), *(keep or []))
 
 
+def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """documents, all columns, with every span that find_secrets() reports replaced by mark; spans that overlap become one.
+
+    n_chars, where there is one, is counted anew for texts that changed."""
+    found = find_secrets(documents.select("doc_id", "text", F.struct(*documents.columns).alias("row")), keep=["row"])
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = x["e"] > acc["at"]
+        apart = (x["s"] >= acc["at"]) & new
+        before = F.substr(F.col("old"), (acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
+        out = F.when(apart, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(x["e"], acc["at"]).alias("at"), out.alias("out"))
+
+    done = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("old"), (acc["at"] + 1).cast("int"))))
+    rows = found.select("row", "all", text.alias("old")).withColumn("new", F.when(F.size("all") > 0, done))
+    fields = []
+    for name, kind in documents.dtypes:
+        own = F.col("row")[name]
+        if name == "text":
+            own = F.coalesce(F.col("new"), own)
+        elif name == "n_chars":
+            own = F.coalesce(F.length("new").cast(kind), own)
+        fields.append(own.alias(name))
+    return rows.select(*fields)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' secrets."""
     return find_secrets(table(spark, sf_dir, "documents")).drop("all")

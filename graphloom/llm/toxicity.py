@@ -191,6 +191,19 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, limit: float = 0.
     return documents.select("doc_id", held_out, F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(documents: DataFrame, model: ToxicityModel, limit: float = 0.3) -> DataFrame:
+    """documents, all columns, without the rows whose text scores limit or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(model.keys)
+        for batch in batches:
+            for part, raw, offsets in slices(batch, "_lower"):
+                good = model.score(lookup, *tokens(raw, offsets), part.num_rows) < limit
+                yield part.filter(pa.array(good)).drop_columns(["_lower"])
+
+    return documents.withColumn("_lower", F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")).mapInArrow(run, documents.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; the fold crc32(doc_id) mod 4 = 2 is held out of learning."""
     documents = table(spark, sf_dir, "documents")
