@@ -45,10 +45,14 @@ def _parsed(body: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def salvage(raw: pd.Series) -> pd.Series:
+def salvage(raw: Column) -> Column:
     """salvaged() of a column; parsing by hand is what built-in functions can't express."""
-    return raw.map(salvaged)
+
+    @F.pandas_udf("string")
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(salvaged)
+
+    return run(raw)
 
 
 def split_list(x: Column) -> Column:
