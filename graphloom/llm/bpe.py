@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from graphloom.llm.common import table
@@ -343,7 +344,7 @@ def round_trip_digests(documents: DataFrame, vocabulary: str, id_col: str = "doc
 def encoded(documents: DataFrame, vocabulary: str, text_col: str = "text", into: str = "ids") -> DataFrame:
     """documents with the column into, the ids (array<int>) of the text; null counts as empty. An older column of that name is replaced."""
     keep = documents.drop(into)
-    schema = keep.schema.add(into, "array<int>")
+    schema = T.StructType([*keep.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = process_cache("ids", vocabulary, 1, lambda bpe: lambda ids: (ids,))
@@ -361,7 +362,7 @@ def encoded(documents: DataFrame, vocabulary: str, text_col: str = "text", into:
 def decoded(rows: DataFrame, vocabulary: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
     """rows with the column into, the text of the ids; null ids count as none."""
     keep = rows.drop(into)
-    schema = keep.schema.add(into, "string")
+    schema = T.StructType([*keep.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
