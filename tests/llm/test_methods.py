@@ -149,3 +149,18 @@ def test_topk_in_rounds(spark):
         assert got[q] == [(i, int(scores[i])) for i in order]
     huge = topk.accumulate(topk.quantised(__import__("pyarrow").array([[1e9, 3.0]]), 256.0), topk.quantised(__import__("pyarrow").array([[1e8, 1.0]]), 256.0))
     assert huge[0][0] == 256 * 10**9 * 256 * 10**8 + 768 * 256
+
+
+def test_randomness_battery(spark):
+    from graphloom.llm import secrets
+
+    rng = random.Random(8)
+    alnum, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    syllables = ["the", "and", "ing", "tion", "er", "on", "re", "st", "en", "ha", "ly", "ea"]
+    ordinary = ["".join(rng.choice(syllables) for _ in range(rng.randint(8, 20))) for _ in range(3000)]
+    ordinary += ["-".join(rng.choice(syllables) for _ in range(rng.randint(8, 14))) for _ in range(500)] + ["=" * 40, "a" * 64, "12345678901234567890123456", "abcdefghijklmnopqrstuvwxyz"]
+    secret = ["".join(rng.choice(alnum) for _ in range(n)) for n in [24, 32, 40, 64, 100] * 20] + ["".join(rng.choice(hexa) for _ in range(n)) for n in [40, 64, 128] * 20]
+    rows = spark.createDataFrame([(x,) for x in ordinary + secret if len(x) >= 20], "x string")
+    found = {r["x"] for r in secrets.discoveries(rows).collect()}
+    assert len(found & set(ordinary)) <= 2
+    assert len(found & set(secret)) >= 0.9 * len(secret)
