@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import COMMUNITY_MIN, COMMUNITY_RESOLUTION, PROJECTION_EXCLUDES
+from graphloom.sources.tables import settled
 
 
 def projection(nodes: DataFrame, edges: DataFrame, exclude: list[str] | None = None) -> DataFrame:
@@ -51,24 +52,19 @@ def louvain(pairs: DataFrame, resolution: float = COMMUNITY_RESOLUTION, levels:
     Each round is joins and sums over edges; alternating halves of the nodes move, so that neighbours
     don't swap. checkpoint() ends lineage a round, in the folder that the session names. A round that doesn't raise
     modularity is not taken, so the result is never worse than every node by itself."""
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
     weights = pairs.select("a", "b", F.lit(1.0).alias("w"))
-    weights = weights.unionAll(weights.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).checkpoint()
+    weights = settled(weights.unionAll(weights.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     m = (weights.agg(F.sum("w")).first()[0] or 0.0) / 2
-    result = weights.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct().checkpoint()
+    result = settled(weights.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
     if not m:
         return result
     for _ in range(levels):
-        degrees = weights.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d")).checkpoint()
+        degrees = settled(weights.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d")))
         partition = degrees.select("node", F.col("node").alias("community"))
         once = weights.filter("a <= b").select("a", "b", F.when(F.col("a") == F.col("b"), F.col("w") / 2).otherwise(F.col("w")).alias("w"))
         q = start = modularity(once, partition, resolution).first()["q"]
         for at in range(rounds):
-            moved = _moves(weights, degrees, partition, m, resolution, at % 2).checkpoint()
+            moved = settled(_moves(weights, degrees, partition, m, resolution, at % 2))
             now = modularity(once, moved, resolution).first()["q"]
             if now < q or now == q and at % 2:
                 break
@@ -76,9 +72,9 @@ def louvain(pairs: DataFrame, resolution: float = COMMUNITY_RESOLUTION, levels:
         if q - start <= least_gain:
             break
         of = partition.select(F.col("node").alias("community"), F.col("community").alias("next"))
-        result = result.join(of, "community").select("node", F.col("next").alias("community")).checkpoint()
+        result = settled(result.join(of, "community").select("node", F.col("next").alias("community")))
         ca, cb = partition.select(F.col("node").alias("a"), F.col("community").alias("ca")), partition.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        weights = weights.join(ca, "a").join(cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")).checkpoint()
+        weights = settled(weights.join(ca, "a").join(cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
     return result
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import jsons, vector
 from graphloom.functions import text as T
-from graphloom.operators import chunking, community, encoding, evaluation, graph, ranking, resolution, retrieval, search
+from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, resolution, retrieval, search
+from graphloom.plans.retrieve import Artefacts, retrieve
 from graphloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -584,3 +585,59 @@ def encoded_documents(spark, d):
 @query()
 def extracted_entities(spark, d):
     return encoding.extract(_chunks(spark, d))
+
+
+@query()
+def extraction_counts(spark, d):
+    """Events' properties stand for model results, some cut short."""
+    raw = F.concat(F.lit('{"entities": [{"id": "E'), "event_id", F.lit('", "type": "Tool"}], "relationships": [{"from": "a", "to": "b"}'), F.when(F.col("user_id") % 2 == 0, "]}").otherwise(", {"))
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("chunk_id"), raw.alias("result"), F.lit(None).cast("string").alias("error"))
+    return extraction.counts(extraction.parsed(rows))
+
+
+def _artefacts(spark, d):
+    nodes = _nodes(spark, d).withColumn("description", F.concat(F.lit("ATA "), F.col("ata")))
+    chunks = _chunks(spark, d).select(F.col("chunk_id").alias("id"), "title", "text", "ata")
+    return Artefacts(nodes, _edges(spark, d), chunks, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("summary")))
+
+
+@query()
+def hybrid_context(spark, d):
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" with the thing 05")).alias("query"))
+    return retrieve(_artefacts(spark, d), asked)
+
+
+@query()
+def baseline_context(spark, d):
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" with the thing 05")).alias("query"))
+    return retrieve(_artefacts(spark, d), asked, mode="baseline")
+
+
+@query("SELECT n_nationkey AS id, round(CASE WHEN n_nationkey = 0 THEN 0 WHEN n_nationkey <= 6 THEN 1 ELSE 2 END * cos(CASE WHEN n_nationkey <= 6 THEN (n_nationkey - 1) / 6.0::DOUBLE ELSE (n_nationkey - 7) / 12.0::DOUBLE END * 2 * pi()), 6) + 0.0 AS x FROM nation")
+def radial_layout(spark, d):
+    rows = graph.radial_layout(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), "id")
+    return rows.select("id", F.when(F.col("x") == 0, 0.0).otherwise(F.col("x")).alias("x"))
+
+
+@query("SELECT event_id, 'total_ms' AS stage, value * 100 AS ms FROM events UNION ALL SELECT event_id, 'llm_ms', value * 60 FROM events")
+def timing_entries(spark, d):
+    """Entries of a timing map whose keys end in _ms."""
+    timing = F.create_map(F.lit("total_ms"), F.col("value") * 100, F.lit("llm_ms"), F.col("value") * 60, F.lit("count"), F.lit(1.0))
+    return table(spark, d, "events").select("event_id", F.explode(F.map_filter(timing, lambda k, v: F.endswith(k, F.lit("_ms")))).alias("stage", "ms"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE length(text) BETWEEN 1 AND 300")
+def valid_requests(spark, d):
+    return table(spark, d, "conversations").filter(F.length("text").between(1, 300)).select("conv_id", "turn")
+
+
+@query(f"WITH {SQL_GRAPH} SELECT DISTINCT label AS name, 'node' AS what FROM nodes UNION SELECT DISTINCT type, 'edge' FROM edges")
+def legend_types(spark, d):
+    return _nodes(spark, d).select(F.col("label").alias("name"), F.lit("node").alias("what")).unionAll(_edges(spark, d).select("type", F.lit("edge"))).distinct()
+
+
+@query("SELECT a.user_id, a.n - b.n AS delta FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) a JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) b USING (user_id)")
+def paired_modes(spark, d):
+    """Rows of two modes, side by side by key."""
+    by = lambda m, c: table(spark, d, "events").filter(F.col("event_type") == m).groupBy("user_id").agg(F.count("*").alias(c))
+    return by("view", "a").join(by("click", "b"), "user_id").select("user_id", (F.col("a") - F.col("b")).alias("delta"))

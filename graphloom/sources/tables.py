@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows computed once and cut off from what made them, in the session's checkpoint folder (or one of its own, where none is named)."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return rows.checkpoint()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
