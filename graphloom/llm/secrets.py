@@ -113,7 +113,9 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows, _ = materialise(rows.withColumn("base", F.array_sort(F.concat(_named("assign", 0, "a"), _named("access", 1, "k"), _named("hex", 2, "h")))), "spans")
     own = F.transform("found", lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("o"), x["e"].alias("e"), F.lit("random").alias("kind")))
     found = discoveries(rows.select("row_id", F.explode("c").alias("c")).select("row_id", "c.s", "c.e", "c.x")).groupBy("row_id").agg(F.collect_list(F.struct("s", "e")).alias("found"))
-    out = rows.join(found, "row_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<s:bigint,e:bigint>>")))
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    some = rows.filter(F.size("c") > 0).join(found, "row_id", "left").withColumn("found", F.coalesce("found", none))
+    out = rows.filter(F.size("c") == 0).withColumn("found", none).unionByName(some)  # few rows have tokens; only these move
     out = out.withColumn("found", F.filter(own, lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))))
     everything = F.array_sort(F.concat("base", "found"))
     return out.select("doc_id", F.size("a").cast("long").alias("n_assign"), F.size("k").cast("long").alias("n_access"), F.size("h").cast("long").alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(everything).alias("spans"), everything.alias("all"), *(keep or []))

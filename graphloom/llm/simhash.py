@@ -272,9 +272,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def first_of_each(documents: DataFrame) -> DataFrame:
     """documents, all columns, with one document of each component: that whose doc_id is the component's. Rows without doc_id stay."""
-    firsts = near_duplicates(documents).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = documents.join(firsts, "doc_id", "left_semi").select(documents.columns)
-    return named.unionAll(documents.filter(F.col("doc_id").isNull()))
+    others, _ = materialise(near_duplicates(documents).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "others")
+    return documents.join(others, "doc_id", "left_anti").select(documents.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
