@@ -120,6 +120,21 @@ def test_repeated_passages(spark):
     assert cut[3] == docs[3][:40] + docs[3][100:]
 
 
+def _unlike(rng):
+    return lambda n: [f"{rng.choice('abcdefghij')}{rng.randint(0, 10**9)}" for _ in range(n)]
+
+
+def test_near_passages_are_candidates(spark):
+    words, docs = _unlike(random.Random(7)), []
+    for i in range(400):  # one word changed in 50: 41 of 46 shingles, similarity 0.8
+        passage = words(50)
+        docs += [(2 * i, words(80) + passage + words(80)), (2 * i + 1, words(80) + [*passage[:25], "changed", *passage[26:]] + words(80))]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    found = {(r["doc_id"], r["partner_id"]) for r in passages.repeated_passages(rows).collect()}
+    assert len([i for i in range(400) if (2 * i, 2 * i + 1) in found]) >= 396
+    assert all(a // 2 == b // 2 for a, b in found)
+
+
 def test_packing_reaches_the_bound(spark):
     rng = random.Random(6)
     sizes = [rng.randint(1, 900) for _ in range(5000)]
