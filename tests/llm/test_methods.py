@@ -135,6 +135,33 @@ def test_near_passages_are_candidates(spark):
     assert all(a // 2 == b // 2 for a, b in found)
 
 
+def test_middle_documents_of_a_group_meet(spark):
+    words, docs = _unlike(random.Random(8)), []
+    for i in range(100):
+        start, rest = words(45), words(10)
+        docs += [start + (rest if j in (1, 2) else []) + words(80) for j in range(4)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    found = {(r["doc_id"], r["partner_id"]) for r in passages.repeated_passages(rows).collect() if r["similarity"] == 1.0}
+    assert {(4 * i + 1, 4 * i + 2) for i in range(100)} <= found
+
+
+def test_spans_of_a_group_are_linked():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        roots = rng.integers(1, 1 << 15, (3, 91)).astype(np.uint16)
+        near = roots[rng.integers(0, 3, 14)]
+        for row in near:
+            row[rng.integers(0, 91, rng.integers(0, 14))] = rng.integers(1, 1 << 15)
+        near[:, 45] = 7
+        like = {(i, int(j)) for i in range(14) for j in np.flatnonzero(passages._similar(near, i, np.arange(14), 46, 0.8)[0]) if j > i}
+        linked = {tuple(sorted(x)) for x in passages._linked(near, 46, 0.8)} & like
+        owner = list(range(14))
+        for i, j in linked:
+            owner = [owner[i] if o == owner[j] else o for o in owner]
+        assert all(owner[i] == owner[j] for i, j in like)
+        assert {j for _, j in like} == {j for _, j in linked}
+
+
 def test_packing_reaches_the_bound(spark):
     rng = random.Random(6)
     sizes = [rng.randint(1, 900) for _ in range(5000)]
