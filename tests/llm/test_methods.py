@@ -162,6 +162,26 @@ def test_spans_of_a_group_are_linked():
         assert {j for _, j in like} == {j for _, j in linked}
 
 
+def test_exact_passages_whose_parts_recur():
+    rng = np.random.default_rng(10)
+    for _ in range(60):
+        p, q, x, y = (rng.integers(0, 1 << 62, n).astype(U64) for n in (26, 34, 40, 70))
+        a, b = np.concatenate([p, x, p, q]), np.concatenate([p, q])
+        assert (66, 126, 0, 60, 1.0) in passages.shared_passages(a, b, 46, 0.8)
+        assert (0, 60, 66, 126, 1.0) in passages.shared_passages(b, a, 46, 0.8)
+        a, b = np.concatenate([x, p, q, y]), np.concatenate([p, q, y[:30], p, q])
+        assert {(40, 100, 0, 60), (40, 100, 90, 150)} <= {(i, min(j, 100), u, min(v, 60) if not u else v) for i, j, u, v, _ in passages.shared_passages(a, b, 46, 0.8)}
+    for size in (2, 3, 9):  # few words, many places each: every shared run of 8 lies in a reported one, on both sides
+        for _ in range(40):
+            a, b = (rng.integers(0, size, n).astype(U64) for n in rng.integers(8, 60, 2))
+            b[:8] = a[-8:]
+            got = passages.shared_passages(a, b, 8, 0.8, gap=4)
+            runs = [(i, p) for i in range(len(a) - 7) for p in range(len(b) - 7) if (a[i : i + 8] == b[p : p + 8]).all()]
+            for i, p in runs:
+                assert {*range(i, i + 8)} <= {x for g in got for x in range(g[0], g[1])}
+                assert {*range(p, p + 8)} <= {x for g in got for x in range(g[2], g[3])}
+
+
 def test_packing_reaches_the_bound(spark):
     rng = random.Random(6)
     sizes = [rng.randint(1, 900) for _ in range(5000)]
