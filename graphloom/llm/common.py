@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -25,14 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or the session's own one where that is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir, or the warehouse where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return context.getCheckpointDir().rstrip("/")
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/graphloom-intermediate"
 
 
 def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -51,6 +45,11 @@ def forget(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered_rows(documents: DataFrame) -> tuple[DataFrame, str]:
+    """(row, doc) of every row of documents, written once: a number that stays the same whoever reads it, ascending in the table's order, and all columns as a struct, whose names clash with nothing."""
+    return materialise(documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")), "rows")
+
+
 def text_bytes(name: str) -> Column:
     """A text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
@@ -80,7 +79,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, name: str, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """A batch in runs of rows with about most bytes in the binary column name (a longer row stands alone), with flat() of each."""
     column = batch.column(name)
     _, offsets = flat(column)
@@ -96,9 +95,10 @@ class Words:
     """All words of rows that lie end to end: runs of the bytes that ink marks.
 
     start, end: byte positions; row: each word's row; hashes: 64 bits, equal for equal words in every
-    process (a polynomial in the bytes, mixed). A-Z is folded if lower."""
+    process (a polynomial in the bytes, mixed). A-Z is folded if lower. What takes 64 bits a byte is made for
+    runs of words of about block bytes, so a long row takes little more room than its words do."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, ink: np.ndarray = ~_SPACE, lower: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, ink: np.ndarray = ~_SPACE, lower: bool = True, block: int = 1 << 16):
         n, inked = len(raw), ink[raw]
         first, last = inked.copy(), inked.copy()
         first[1:] &= ~inked[:-1]
@@ -110,26 +110,40 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
         self.size = self.end - self.start
-        self._begin = np.cumsum(self.size) - self.size
-        if not len(self.start):
-            self.hashes = self._value = np.zeros(0, U64)
-            return
-        powers = np.full(int(self.size.max()), _ODD, U64)
+        self._raw, self._fold = raw, _LOWER if lower else np.arange(256, dtype=np.uint8)
+        self.hashes = np.zeros(len(self.start), U64)
+        if len(self.start):
+            ends = np.cumsum(self.size)
+            low = 0
+            while low < len(ends):
+                before = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + block, side="right")))
+                self.hashes[low:high] = self._hashed(slice(low, high), inked)
+                low = high
+
+    def _hashed(self, part: slice, inked: np.ndarray) -> np.ndarray:
+        low, high, size = self.start[part][0], self.end[part][-1], self.size[part]
+        begin = np.cumsum(size) - size
+        powers = np.full(int(size.max()), _ODD, U64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
-        self._within = np.arange(int(self.size.sum()), dtype=np.int64) - np.repeat(self._begin, self.size)
-        body = raw[inked]
-        self._value = ((_LOWER[body] if lower else body).astype(U64) + U64(1)) * powers[self._within]
-        self.hashes = self._mixed(self._value, self.size)
+        within = np.arange(int(size.sum())) - np.repeat(begin, size)
+        body = self._fold[self._raw[low:high][inked[low:high]]]
+        return self._mixed(np.add.reduceat((body.astype(U64) + U64(1)) * powers[within], begin), size)
 
-    def _mixed(self, value: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return mix(np.add.reduceat(value, self._begin) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+    @staticmethod
+    def _mixed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix(value + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
     def prefixes(self, size: int) -> np.ndarray:
         """Hashes of the words' first size bytes; a shorter word's is that of the whole word."""
-        if not len(self.start):
-            return self.hashes
-        return self._mixed(np.where(self._within < size, self._value, U64(0)), np.minimum(self.size, size))
+        value, power = np.zeros(len(self.start), U64), 1
+        for at in range(size):
+            held = self.size > at
+            byte = self._fold[self._raw[np.where(held, self.start + at, 0)]] if len(self._raw) else np.zeros(0, np.uint8)
+            value += np.where(held, (byte.astype(U64) + U64(1)) * U64(power), U64(0))
+            power = power * _ODD % (1 << 64)
+        return self._mixed(value, np.minimum(self.size, size))
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -142,10 +156,12 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
-    """documents joined with at most most labelled rows for which learn holds, as column y.
+    """documents joined with their labels as column y: at most most rows for which learn holds.
 
-    The rows are those with the smallest hash of doc_id, so the sample is a fixed, source-blind one; its
-    ids are bounded by most and are broadcast. A doc_id labelled more than once has its smallest label."""
+    The labels are those with the smallest hash of doc_id, so the sample is a fixed, source-blind one; its
+    ids are bounded by most and are broadcast. A doc_id labelled more than once has its smallest label; where a doc_id
+    has several rows of documents, the rows too are bounded by most."""
     chosen = labels.filter(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.join(F.broadcast(chosen), "doc_id")
+    sample = documents.join(F.broadcast(chosen), "doc_id")
+    return sample if sample.select("doc_id").count() <= most else sample.limit(most)

@@ -124,8 +124,9 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents, all columns, with every span that find_secrets() reports replaced by mark; spans that overlap become one.
 
-    n_chars, where there is one, is counted anew for texts that changed."""
-    found = find_secrets(documents.select("doc_id", "text", F.struct(*documents.columns).alias("row")), keep=["row"])
+    n_chars, where there is one, is counted anew for texts that changed. Every row stays, repeated ones and those with
+    null ids or texts too; other columns, whatever their names, are handed on in a struct; an empty table stays empty."""
+    found = find_secrets(documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")), keep=["row"])
     text = F.coalesce(F.col("row")["text"], F.lit(""))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, materialise, table, text_bytes
+from graphloom.llm.common import U64, materialise, numbered_rows, table, text_bytes
 from graphloom.llm.components import connected_components
 
 # -- fingerprints
@@ -255,25 +255,53 @@ def near_links(distinct_fp: DataFrame, most: int = 2048) -> DataFrame:
     return links
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_roots(distinct_fp: DataFrame) -> DataFrame:
+    """(fp, root) of every fp, each once in distinct_fp: the smallest fingerprint of its component."""
+    roots = connected_components(near_links(distinct_fp)).select(F.col("node").alias("fp"), "root")
+    return distinct_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, hot: int = 50_000, most: int = 10_000) -> DataFrame:
+    """rows joined with few, which holds each key once, so that no key's rows meet in one task.
+
+    Keys of over hot rows, of which there are fewer than rows over hot, are counted first; where most of them do at most,
+    their rows of few are broadcast, and the rest is joined by key."""
+    frequent = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).orderBy(F.desc("_n"), key).limit(most).select(key)
+    frequent, path = materialise(frequent, "hot")
+    if frequent.isEmpty():
+        return rows.join(few, key)
+    named = F.broadcast(frequent)
+    return rows.join(named, key, "left_anti").join(few, key).unionByName(rows.join(named, key, "left_semi").join(F.broadcast(few.join(named, key, "left_semi")), key))
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links of at most 4 bits) of every row.
 
     Whole texts count; a null text is an empty one, with fingerprint zero, which links like any other. Equal
-    fingerprints are compared once, whatever their number. Repeated rows stay; a null doc_id is nobody's
-    component_id unless its component has no other. Other columns are not read; an empty table gives no rows."""
+    fingerprints are compared once, whatever their number, and those of over hot rows are joined by broadcast.
+    Repeated rows stay; a null doc_id is nobody's component_id unless its component has no other. Other columns are
+    not read; an empty table gives no rows."""
     marks, _ = materialise(fingerprints(documents, id_col=id_col, text_col=text_col), "marks")
-    distinct_fp = marks.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(near_links(distinct_fp)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct_fp.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    first = marks.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted, _ = materialise(first.join(fingerprint_roots(first.select("fp")), "fp"), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owners = rooted.join(smallest, "root").select("fp", "component_id")
-    return marks.join(owners, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    owners = salted_join(rooted, smallest, "root", hot).select("fp", "component_id")
+    return salted_join(marks, owners, "fp", hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each(documents: DataFrame) -> DataFrame:
-    """documents, all columns, with one document of each component: that whose doc_id is the component's. Rows without doc_id stay."""
-    others, _ = materialise(near_duplicates(documents).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "others")
-    return documents.join(others, "doc_id", "left_anti").select(documents.columns)
+    """documents, all columns, with one row of each component: that with the smallest doc_id, of several the first in the table.
+
+    Rows are told apart by their place, so repeated rows are one component and leave one row, rows of one doc_id with
+    different texts are judged each, and a null doc_id comes after all others. Null and empty texts are one component.
+    Nothing else is dropped; an empty table stays empty."""
+    rows, _ = numbered_rows(documents)
+    marks, _ = materialise(fingerprints(rows.select("row", F.col("doc.text").alias("text")), id_col="row"), "marks")
+    names = rows.select(F.col("row").alias("doc_id"), F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("name"), "row").alias("first"))
+    first, _ = materialise(marks.join(names, "doc_id").groupBy("fp").agg(F.min("first").alias("first")), "firsts")
+    kept = first.join(fingerprint_roots(first.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    kept, _ = materialise(kept, "kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

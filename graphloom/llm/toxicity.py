@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from graphloom.llm.common import U64, Words, fold, labelled_sample, slices, table
 
@@ -192,16 +193,20 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, limit: float = 0.
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, limit: float = 0.3) -> DataFrame:
-    """documents, all columns, without the rows whose text scores limit or more."""
+    """documents, all columns, without the rows whose text scores limit or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only texts go to Python; other columns, whatever their names, stay where they are. A null text is an empty one and
+    stays if no evidence scores under limit; repeated rows are judged alike; an empty table stays empty."""
+
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lookup = Lookup(model.keys)
-        for batch in batches:
-            for part, raw, offsets in slices(batch, "_lower"):
-                good = model.score(lookup, *tokens(raw, offsets), part.num_rows) < limit
-                yield part.filter(pa.array(good)).drop_columns(["_lower"])
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            scores = [model.score(lookup, *tokens(raw, offsets), part.num_rows) for part, raw, offsets in slices(batch, "text")]
+            yield pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())
 
-    return documents.withColumn("_lower", F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")).mapInArrow(run, documents.schema)
+    score = F.arrow_udf(scored, "double", ArrowUDFType.SCALAR_ITER)
+    return documents.filter(score(F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")) < limit)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_bpe(odd, empty):
 
 
 def test_passages(spark, odd, empty):
-    assert passages.repeated_passages(odd).count() == 0
+    assert passages.repeated_passages(odd).count() == 0  # the repeated row is too short
     assert passages.repeated_passages(empty).count() == 0
     assert passages.drop_repeats(odd).columns == odd.columns
     assert passages.drop_repeats(odd).count() == 8
@@ -71,7 +71,21 @@ def test_simhash(odd, empty):
     assert {got[k][0]["fingerprint"] for k in (2, 3, 4)} == {"0" * 16}
     assert {got[k][0]["component_id"] for k in (2, 3, 4)} == {2}
     assert simhash.near_duplicates(empty).count() == 0
-    assert {r["doc_id"] for r in simhash.first_of_each(odd).collect()} == {1, 2, 5, 6, None}
+    kept = simhash.first_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "5", "6", "None"]  # one row a component
+    assert simhash.first_of_each(empty).count() == 0
+    hot = by_id(simhash.near_duplicates(odd, hot=1))
+    assert {k: [tuple(r) for r in v] for k, v in hot.items()} == {k: [tuple(r) for r in v] for k, v in got.items()}
+
+
+def test_simhash_keeps_unlike_rows_of_one_number(spark):
+    import random
+
+    words = lambda k: " ".join(str(random.Random(k).random()) for k in range(k, k + 200))
+    rows = spark.createDataFrame([(1, words(0)), (2, words(0)), (2, words(1000)), (None, words(1000)), (None, words(5000)), (None, words(5000))], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.first_of_each(rows).collect())
+    assert got == sorted([("1", words(0)), ("2", words(1000)), ("None", words(5000))])
 
 
 def test_lines(odd, empty):
