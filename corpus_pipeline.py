@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import packing, passages, secrets, simhash, toxicity
 from graphloom.llm.bpe import default_vocabulary
-from graphloom.llm.common import fold, materialise, table
+from graphloom.llm.common import fold, forget, materialise, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; each result is written to the shared folder and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            forget(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
