@@ -20,6 +20,7 @@ _ODD = 0x9E3779B97F4A7C15
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, as it lies on disk."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/graphloom-intermediate"
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Sets the session's bound of bytes in an Arrow batch to most, unless it has one already: batches of long texts then stay small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(most))
+
+
 def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """df written once as Parquet in the shared folder and read again: lineage ends there, lost executors recompute nothing before it.
 
     The second value is the path, for forget()."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

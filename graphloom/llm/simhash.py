@@ -301,7 +301,7 @@ def first_of_each(documents: DataFrame) -> DataFrame:
     first, _ = materialise(marks.join(names, "doc_id").groupBy("fp").agg(F.min("first").alias("first")), "firsts")
     kept = first.join(fingerprint_roots(first.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     kept, _ = materialise(kept, "kept")
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
