@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import materialise, table
 
 #: (action, host, path): a rule fits its host and all subdomains where the url's path starts with its path
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Second labels that belong to the suffix under a country's label.
 SECOND = ["ac", "co", "com", "edu", "gov", "net", "org"]
+#: Words of a url that tell a page of an unwanted trade.
+TRADES = ["bet", "bets", "betting", "casino", "gambling", "pills", "poker", "porn", "viagra", "xxx"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,31 +45,38 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, action
 
 
-def strength(groups: DataFrame, mean: float) -> float:
-    """Pseudo-observations of a beta prior by the method of moments: how tightly the groups' shares (bad of n) lie about mean, from 1 to 1,000."""
-    n, bad = F.col("n").cast("double"), F.col("bad").cast("double")
-    k, total, squares, spread = groups.filter("n > 0").agg(F.count("*"), F.sum(n), F.sum(n * n), F.sum(n * (bad / n - mean) * (bad / n - mean))).first()
-    noise = mean * (1 - mean)
-    if not k or k < 2 or noise <= 0:
+def strength(groups: DataFrame, parents: DataFrame, key: str | None) -> float:
+    """Pseudo-observations of the beta prior that groups have about their parents' shares (bad of n), by the method of moments, from 1 to 1,000.
+
+    Groups' shares are compared with the raw share of their own parent (column key; None: one parent for all), and the
+    spread that is left beyond chance, pooled over parents, says how tightly they lie. One row of sums reaches the driver."""
+    up = parents.select(*([key] if key else []), F.col("n").cast("double").alias("up_n"), (F.col("bad") / F.col("n")).alias("mean")).filter("up_n > 0")
+    rows = groups.filter("n > 0").join(up, key) if key else groups.filter("n > 0").crossJoin(F.broadcast(up))  # one row
+    n, mean = F.col("n").cast("double"), F.col("mean")
+    each = rows.groupBy(*([key] if key else []), "up_n", "mean").agg(F.count("*").alias("k"), F.sum(n * n).alias("squares"), F.sum(n * (F.col("bad") / n - mean) * (F.col("bad") / n - mean)).alias("spread"))
+    noise = F.col("mean") * (1 - F.col("mean"))
+    k, total, room, spread, chance = each.agg(F.sum(F.col("k") - 1), F.sum("up_n"), F.sum(F.col("up_n") - F.col("squares") / F.col("up_n")), F.sum(F.col("spread") - (F.col("k") - 1) * noise), F.sum(F.col("up_n") * noise)).first()
+    if not k or not chance or not room or spread <= 0:
         return 1000.0
-    between = (spread - (k - 1) * noise) / (total - squares / total)
-    return 1000.0 if between <= 0 else min(1000.0, max(1.0, noise / between - 1))
+    return min(1000.0, max(1.0, (chance / total) / (spread / room) - 1))
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """(host, n, bad, share, bound) of every host in pages (page_id, host): the posterior mean share of bad pages and its lower bound.
 
     outcomes: (page_id, bad 0/1). Each level's share is shrunk to its parent's: suffixes to the whole, domains
-    to their suffix, hosts to their domain, each by its level's fitted prior. A host without outcomes has its
-    domain's prior. Only sums move; three rows of sums reach the driver."""
-    hosts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    to their suffix, hosts to their domain, each by a prior fitted to that level's spread within its parents. A host
+    without outcomes has its domain's prior. The bound is the mean less z standard deviations of the posterior beta
+    distribution, the normal approximation of its quantile. Sums by host are written once; only sums move."""
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
+    hosts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts, _ = materialise(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
+    whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    n, bad = whole.first()
     mean = float(bad) / float(n) if n else 0.0
-    k_suffix, k_domain, k_host = (strength(g, mean) for g in (suffixes, domains, hosts))
+    k_suffix, k_domain, k_host = strength(suffixes, whole, None), strength(domains, suffixes, "suffix"), strength(hosts, domains, "domain")
     suffixes = suffixes.select("suffix", ((F.col("bad") + k_suffix * mean) / (F.col("n") + k_suffix)).alias("m"))
     domains = domains.join(suffixes, "suffix").select("suffix", "domain", ((F.col("bad") + k_domain * F.col("m")) / (F.col("n") + k_domain)).alias("m"))
     a, b = F.col("bad") + k_host * F.col("m"), F.col("n") - F.col("bad") + k_host * (1 - F.col("m"))
@@ -75,6 +84,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
     return hosts.join(domains, ["suffix", "domain"]).select("host", "n", "bad", share.alias("share"), (share - z * spread).alias("bound"))
 
 
+def url_outcomes(pages: DataFrame) -> DataFrame:
+    """(page_id, bad) of pages (page_id, url): bad is 1 if the url names a TRADE among its words, else 0; null urls have no outcome."""
+    words = F.split(F.translate("url", _UPPER, _LOWER), "[^a-z]+")
+    return pages.filter("url is not null").select("page_id", F.arrays_overlap(words, F.array(*[F.lit(w) for w in TRADES])).cast("int").alias("bad"))
+
+
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, limit: float = 0.3) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages (page_id, url).
 
@@ -92,9 +107,9 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages; a page's outcome is the label of quality under its number (0: bad), the one label table there is."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    """All pages; pages have no labels, so a page's outcome is what its url says of its trade."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, url_outcomes(pages))
 
 
 ORACLE_SQL = r"""
@@ -105,7 +120,8 @@ WITH u AS (
     regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path
   FROM u
 ), o AS (
-  SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id
+  SELECT page_id, max(CASE WHEN list_has_any(string_split_regex(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+'), ['bet', 'bets', 'betting', 'casino', 'gambling', 'pills', 'poker', 'porn', 'viagra', 'xxx']) THEN 1 ELSE 0 END) AS bad
+  FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL GROUP BY page_id
 ), hosts AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM h LEFT JOIN o ON h.page_id = o.page_id GROUP BY host
 ), bare AS (
@@ -125,16 +141,16 @@ WITH u AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
 ), g AS (
   SELECT CASE WHEN sum(n) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(n) ELSE 0 END AS mu FROM suffixes
+), lv AS (
+  SELECT 's' AS level, '' AS up, n, bad FROM suffixes UNION ALL SELECT 'd', suffix, n, bad FROM domains UNION ALL SELECT 'h', domain, n, bad FROM named
+), ups AS (
+  SELECT level, up, n, bad, CAST(sum(n) OVER (PARTITION BY level, up) AS DOUBLE) AS un, sum(bad) OVER (PARTITION BY level, up) / CAST(sum(n) OVER (PARTITION BY level, up) AS DOUBLE) AS m FROM lv WHERE n > 0
+), each AS (
+  SELECT level, up, un, m, count(*) AS k, CAST(sum(CAST(n AS DOUBLE) * n) AS DOUBLE) AS squares, sum(n * (CAST(bad AS DOUBLE) / n - m) * (CAST(bad AS DOUBLE) / n - m)) AS spread FROM ups GROUP BY level, up, un, m
 ), sums AS (
-  SELECT level, mu, count(*) AS k, CAST(sum(n) AS DOUBLE) AS total, CAST(sum(CAST(n AS DOUBLE) * n) AS DOUBLE) AS squares,
-    sum(n * (CAST(bad AS DOUBLE) / n - mu) * (CAST(bad AS DOUBLE) / n - mu)) AS spread
-  FROM (SELECT 's' AS level, n, bad FROM suffixes UNION ALL SELECT 'd', n, bad FROM domains UNION ALL SELECT 'h', n, bad FROM named), g
-  WHERE n > 0 GROUP BY level, mu
+  SELECT level, sum(k - 1) AS k, sum(un) AS total, sum(un - squares / un) AS room, sum(spread - (k - 1) * m * (1 - m)) AS spread, sum(un * m * (1 - m)) AS chance FROM each GROUP BY level
 ), kappa AS (
-  SELECT level, CASE WHEN k < 2 OR mu * (1 - mu) <= 0 THEN 1000.0::DOUBLE
-    WHEN spread - (k - 1) * mu * (1 - mu) <= 0 THEN 1000.0::DOUBLE
-    ELSE least(1000.0, greatest(1.0, mu * (1 - mu) / ((spread - (k - 1) * mu * (1 - mu)) / (total - squares / total)) - 1))::DOUBLE END AS kappa
-  FROM sums
+  SELECT level, CASE WHEN k = 0 OR chance = 0 OR room = 0 OR spread <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0, greatest(1.0, (chance / total) / (spread / room) - 1))::DOUBLE END AS kappa FROM sums
 ), k AS (
   SELECT coalesce(max(CASE WHEN level = 's' THEN kappa END), 1000) AS ks, coalesce(max(CASE WHEN level = 'd' THEN kappa END), 1000) AS kd, coalesce(max(CASE WHEN level = 'h' THEN kappa END), 1000) AS kh FROM kappa
 ), ms AS (

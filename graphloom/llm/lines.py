@@ -10,6 +10,7 @@ from graphloom.llm.common import materialise, table
 BLANK = " \t\n\x0b\f\r"
 _GAP = r"[\x20\x09-\x0D]+"
 _WINDOW = 5
+SALTS = 16
 
 
 def _split_words(text: Column) -> Column:
@@ -38,20 +39,22 @@ def base_figures(documents: DataFrame, id_col: str, text_col: str, host_col: str
     return rows.select("row_id", "doc_id", "host", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"), lines.alias("lines"))
 
 
-def line_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 100, max_share: float = 0.02, min_words: int = 10, min_left: float = 0.5) -> DataFrame:
+def line_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, max_share: float = 0.04, min_words: int = 10, min_left: float = 0.5) -> DataFrame:
     """Every row with its base figures, removed_words and kept.
 
-    Lines are normalised (trimmed, white space to one space, lower case) and hashed; a line that more than
-    max_docs documents of a host hold, and more than the share max_share of its documents, is removed from
-    all of them. A document is rejected if the base rules fail it, or if fewer than min_words words or less than
+    Lines are normalised (trimmed, white space to one space, lower case) and hashed; a line that more than the
+    share max_share of a host's documents hold is removed from all of them, whatever the host's size, unless no
+    more than min_docs hold it, too few to tell. Lines above the limit, few a host, are joined in salted parts, so that
+    a common line of a large host is spread over tasks. A document is rejected if the base rules fail it, or if fewer than min_words words or less than
     the share min_left of its words are left. Whole texts count; null texts are empty, null hosts are one host of their
     own; repeated rows are documents of their own; other columns are not read; an empty table gives no rows."""
     rows, _ = materialise(base_figures(documents, id_col, text_col, host_col), "lines")
     met = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    often = met.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs)
+    often = met.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    above = often.join(hosts, "host").filter(F.col("n") > F.lit(max_share) * F.col("docs")).select("host", "h")
-    removed = rows.select("row_id", "host", F.explode("lines").alias("x")).select("row_id", "host", "x.h", "x.n").join(above, ["host", "h"]).groupBy("row_id").agg(F.sum("n").alias("removed"))
+    above = often.join(hosts, "host").filter(F.col("n") > F.lit(max_share) * F.col("docs")).select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt")
+    removed = rows.select("row_id", "host", salt, F.explode("lines").alias("x")).select("row_id", "host", "salt", "x.h", "x.n").join(above, ["host", "h", "salt"]).groupBy("row_id").agg(F.sum("n").alias("removed"))
     rows = rows.drop("lines").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
@@ -85,7 +88,7 @@ WITH d AS (
   SELECT a.host, a.norm
   FROM (SELECT host, norm, count(DISTINCT rid) AS n FROM l2 GROUP BY host, norm) a
   JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) b ON a.host = b.host
-  WHERE a.n > 100 AND a.n > 0.02 * b.docs
+  WHERE a.n > 5 AND a.n > 0.04::DOUBLE * b.docs
 ), removed AS (
   SELECT rid, CAST(sum(n) AS BIGINT) AS n FROM l2 JOIN above ON l2.host = above.host AND l2.norm = above.norm GROUP BY rid
 ), dups AS (

@@ -96,6 +96,24 @@ def test_lines(odd, empty):
     assert lines.line_rules(empty).count() == 0
 
 
+def test_common_lines_of_small_and_large_hosts(spark):
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(14))
+    rows = [(i, f"{own(i)}\nShare  this PAGE", "small") for i in range(20)] + [(100 + i, f"{own(100 + i)}\nshare this page" if i < 3 else own(100 + i), "large") for i in range(400)]
+    rows += [(600 + i, "these ten words or so stand on each page of it\n" + " ".join(own(600 + i).split()[:4]), "bare") for i in range(30)]
+    got = {r["doc_id"]: r for r in lines.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["removed_words"] == 3 and got[i]["kept"] for i in range(20))  # a host of under 100 documents
+    assert all(got[100 + i]["removed_words"] == 0 for i in range(400))  # three of 400 are too few
+    assert all(got[600 + i]["removed_words"] == 11 and not got[600 + i]["base_failed"] and not got[600 + i]["kept"] for i in range(30))  # depleted
+
+
+def test_reputation_blocks_hosts_of_a_bad_trade(spark):
+    urls = [f"https://good{i % 8}.example.com/en/{i}" for i in range(400)] + [f"https://m.casino-win.example.com/en/{i}" for i in range(30)] + ["https://good1.example.com/en/casino/1", "https://new.example.com/", "https://poker.example.org/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in hosts.judge_urls(pages, hosts.url_outcomes(pages)).collect()}
+    assert {got[i] for i in range(400, 430)} == {"block"}
+    assert {got[i] for i in range(400)} | {got[430], got[431]} == {"allow"}
+
+
 def test_hosts(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.net/en/x?q#f", None), (2, None, None), (None, "no scheme", None), (3, "https://b.net", None), (3, "https://b.net", None), (4, "x://u@h.co.uk:80/fr/", None), (5, "http://c.org/fr/a", None), (6, "http://xnet/", None)], "page_id long, url string, host string")
     outcomes = spark.createDataFrame([(1, 0), (6, 1), (None, 1), (3, None)], "page_id long, bad int")
