@@ -6,6 +6,7 @@ import gc
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -231,7 +232,9 @@ class WordBpe:
         known = self._words
         if len(known) + len(met) > self.most_words:
             known.clear()
-        known |= self.encode_words(met - known.keys())
+        long = {p for p in met if len(p) > 64}  # not kept: their size has no bound
+        known |= self.encode_words(met - known.keys() - long)
+        known = known | self.encode_words(long) if long else known
         return {c: [i for p in pieces for i in (known[p] if isinstance(p, str) else (p,))] for c, pieces in cut.items()}
 
     def encode(self, text: str) -> list[int]:
@@ -245,16 +248,70 @@ class WordBpe:
 
 
 class LibraryBpe(WordBpe):
-    """The same texts and pieces, with the words' ids from the tokenizers library; for stages that need ids, not the trie."""
+    """The same texts and pieces, with the words' ids from the tokenizers library; for stages that need ids, not the trie.
+
+    packed() keeps the ids of chunks and words met, of LONGEST characters at most each and so many that they take a
+    bounded number of bytes."""
+
+    LONGEST, MOST = 64, 400_000
 
     def __init__(self, path: str):
         super().__init__(path)
         self._model = Tokenizer.from_file(path).model
+        self._held: dict[str, bytes] = {}
+        self._of_word: dict[str, bytes] = {}
+        self._long: list[str] = []
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         tokenize = self._model.tokenize
         return {w: [t.id for t in tokenize(w)] for w in words}
 
+    def word_bytes(self, word: str) -> bytes:
+        """Ids of a word of the byte alphabet as little-endian 32-bit integers."""
+        out = self._of_word.get(word)
+        if out is None:
+            out = array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+            if len(word) <= self.LONGEST:
+                self._of_word[word] = out
+        return out
+
+    def chunk_bytes(self, chunk: str) -> bytes:
+        """Ids of a chunk as little-endian 32-bit integers; letters alone, or with one stop, take no pattern."""
+        core = chunk if chunk[-1] not in ".,!" else chunk[:-1]
+        if core.isalpha():
+            word = None
+            if core.isascii():
+                word = core.lower()
+            elif "Σ" not in core and unicodedata.is_normalized("NFC", core):
+                low = core.lower()
+                word = low.encode().decode("latin-1").translate(self._bytes) if low.isalpha() else None
+            if word is not None:
+                out = self._of_word.get(word)
+                if out is None:
+                    out = self.word_bytes(word)
+                return out if core is chunk else out + self.word_bytes(chunk[-1])
+        return b"".join([self.word_bytes(p) if isinstance(p, str) else array("I", (p,)).tobytes() for p in self.pieces(chunk)])
+
+    def packed(self, met: set[str]) -> dict[str, bytes]:
+        """Ids of the chunks met, in a dictionary that is good until the next call."""
+        held = self._held
+        for chunk in self._long:
+            del held[chunk]
+        fresh = met - held.keys()
+        if len(held) + len(fresh) > self.MOST:  # what was just met goes on
+            held = self._held = {c: held[c] for c in met if c in held}
+        if len(self._of_word) > self.MOST:
+            self._of_word.clear()
+        own = self.chunk_bytes
+        gc.disable()  # many small objects and no cycles
+        try:
+            for chunk in fresh:
+                held[chunk] = own(chunk)
+        finally:
+            gc.enable()
+        self._long = [c for c in fresh if len(c) > self.LONGEST]
+        return held
+
 
 @lru_cache(maxsize=4)
 def loaded(path: str, kind: type[WordBpe] = WordBpe) -> WordBpe:
@@ -270,15 +327,22 @@ def default_vocabulary() -> str:
 
 
 class ChunkCache:
-    """What a process keeps of the chunks that it has met: forms(ids) of each, most entries at most, then it starts afresh."""
+    """What a process keeps of the chunks that it has met: forms(ids) of each, most entries at most, then it starts afresh. Chunks of over longest characters are held until the next call only."""
+
+    longest = 64
 
     def __init__(self, bpe: WordBpe, forms: int, make, most: int = 400_000):
         self.bpe, self.make, self.most = bpe, make, most
         self.of: list[dict] = [{} for _ in range(forms)]
+        self.long: list[str] = []
 
     def learn(self, texts: list[list[str]]) -> None:
         """Makes sure that all chunks of texts are held."""
         met = set().union(*texts)
+        for chunk in self.long:
+            for d in self.of:
+                d.pop(chunk, None)
+        self.long = [c for c in met if len(c) > self.longest]
         gc.disable()  # many small lists and no cycles
         try:
             if len(self.of[0]) + len(met) > self.most + len(met & self.of[0].keys()):

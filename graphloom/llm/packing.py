@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import LibraryBpe, default_vocabulary, groups, process_cache
+from graphloom.llm.bpe import LibraryBpe, default_vocabulary, groups, loaded
 from graphloom.llm.common import materialise, table
 
 Bins = list[list[int]]  # items of each bin
@@ -55,7 +55,7 @@ class Rests:
 class GroupingGenetic:
     """A population of packings of the same items. Bins are the genes: a crossover injects whole, well-filled bins
     of one parent into the other, drops the other's bins that share an item with them, and best-fits the items
-    that this displaces; a mutation empties the least filled bins and best-fits what they held."""
+    that this displaces, in an order more or less by size; a mutation empties the least filled bins and some others and best-fits what they held."""
 
     def __init__(self, sizes: list[int], capacity: int, seed: int, population: int = 4):
         self.sizes, self.capacity, self.rng, self.most = sizes, capacity, random.Random(seed), population
@@ -83,11 +83,10 @@ class GroupingGenetic:
         return rests.bins
 
     def seed_people(self) -> None:
+        """Fills the population up: best fit in falling order of size, and in orders that stray from it more and more."""
         everything = list(range(len(self.sizes)))
         for k in range(self.most - len(self.people)):
-            self.admit(self.fitted([], everything, 0.0 if k == 0 else 0.15))
-            if self.done():
-                return
+            self.admit(self.fitted([], everything, 0.4 * k))
 
     def done(self) -> bool:
         return bool(self.people) and len(self.people[0][1]) <= self.bound
@@ -98,16 +97,19 @@ class GroupingGenetic:
         inside = {i for b in injected for i in b}
         kept = [b for b in taker if inside.isdisjoint(b)]
         displaced = [i for b in taker if not inside.isdisjoint(b) for i in b if i not in inside]
-        return self.fitted(injected + kept, displaced)
+        return self.fitted(injected + kept, displaced, self.rng.choice((0.0, 0.5, 1.0)))
 
     def mutated(self, bins: Bins) -> Bins:
         order = sorted(bins, key=self.fill)
         n = max(2, len(order) // 20)
-        return self.fitted(order[n:], [i for b in order[:n] for i in b], 0.1)
-
-    def evolve(self, generations: int) -> Bins:
-        for _ in range(generations):
-            if self.done() or len(self.people) < 2:
+        more = set(self.rng.sample(range(n, len(order)), min(n, len(order) - n))) if len(order) > n else set()
+        emptied = [*range(min(n, len(order))), *more]
+        return self.fitted([b for k, b in enumerate(order) if k >= n and k not in more], [i for k in emptied for i in order[k]], self.rng.choice((0.1, 0.5, 1.0)))
+
+    def evolve(self, generations: int, least: int) -> Bins:
+        """Up to generations children, at least least of them; beyond that until the lower bound of bins is reached."""
+        for born in range(generations):
+            if len(self.people) < 2 or born >= least and self.done():
                 break
             a, b = self.rng.sample([p[1] for p in self.people], 2)
             child = self.crossover(a, b)
@@ -127,7 +129,7 @@ def _row(shard: int, island: int, items: list[int], sizes: list[int], genetic: G
     return pd.DataFrame({"shard": [shard], "island": [island], "items": [items], "sizes": [sizes], "bins": [where], "worth": [worth]})
 
 
-def _settle(capacity: int, generations: int):
+def _settle(capacity: int, generations: int, least: int):
     """The first epoch: (shard, island, item, size) rows to the island's elite."""
 
     def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
@@ -136,12 +138,12 @@ def _settle(capacity: int, generations: int):
         items, sizes = part["item"].tolist(), part["size"].tolist()
         genetic = GroupingGenetic(sizes, capacity, seed=shard * 1009 + island)
         genetic.seed_people()
-        return _row(shard, island, items, sizes, genetic, genetic.evolve(generations), capacity)
+        return _row(shard, island, items, sizes, genetic, genetic.evolve(generations, least), capacity)
 
     return run
 
 
-def _migrate(capacity: int, generations: int):
+def _migrate(capacity: int, generations: int, least: int):
     """A later epoch: an island's own elite and its neighbour's found the population that goes on."""
 
     def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
@@ -153,9 +155,8 @@ def _migrate(capacity: int, generations: int):
             for i, b in enumerate(where):
                 bins.setdefault(int(b), []).append(i)
             genetic.admit(list(bins.values()))
-        if not genetic.done():
-            genetic.seed_people()
-        return _row(shard, island, items, sizes, genetic, genetic.evolve(generations), capacity)
+        genetic.seed_people()
+        return _row(shard, island, items, sizes, genetic, genetic.evolve(generations, least), capacity)
 
     return run
 
@@ -173,11 +174,12 @@ def _placed(capacity: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int = 4096, shard_items: int = 2048, islands: int = 2, generations: int = 6, dissolve: float = 0.97, levels: int = 4) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 4096, shard_items: int = 2048, islands: int = 2, generations: int = 12, least: int = 3, dissolve: float = 0.97, levels: int = 4) -> DataFrame:
     """(item, sequence_id, offset) of a packing of (item, size) rows, 1 <= size <= capacity, item unique.
 
     Items are dealt by hash to shards of about shard_items. Each shard lives on several islands, which evolve
-    apart; then each island's elite joins its neighbour's and both evolve on; the best island's packing counts.
+    apart for least to generations children from unlike seeds; then each island's elite joins its neighbour's and both
+    evolve on as long; the best island's packing counts.
     Bins filled less than the share dissolve are pooled over all shards and dealt out anew, level by level, until
     one shard takes the pool, so what shards waste at their edges is won back. Lengths alone move: a shard's
     memory is bounded by its items. sequence_id is the smallest item of its sequence."""
@@ -191,9 +193,9 @@ def pack(items: DataFrame, capacity: int = 4096, shard_items: int = 2048, island
             break
         shards = -(-n // shard_items)
         spread = pool.select(F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)).alias("shard"), "item", "size", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
-        elites = spread.groupBy("shard", "island").applyInPandas(_settle(capacity, generations), _ELITE)
+        elites = spread.groupBy("shard", "island").applyInPandas(_settle(capacity, generations, least), _ELITE)
         visits = elites.withColumn("island", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(islands)))))
-        elites = visits.groupBy("shard", "island").applyInPandas(_migrate(capacity, generations), _ELITE)
+        elites = visits.groupBy("shard", "island").applyInPandas(_migrate(capacity, generations, least), _ELITE)
         best = elites.groupBy("shard").agg(F.max_by(F.struct("items", "sizes", "bins"), F.struct("worth", -F.col("island"))).alias("b")).select("b.*")
         placed, _ = materialise(best.mapInPandas(_placed(capacity), "item long, size long, sequence_id long, offset long, fill long"), f"packed-{level}")
         full = F.col("fill") >= dissolve * capacity
@@ -214,15 +216,14 @@ def token_pieces(documents: DataFrame, vocabulary: str, capacity: int = 4096, en
     Null texts count as empty: their piece is end_id alone. item numbers the pieces; it is fixed once the rows are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache("packed", vocabulary, 1, lambda bpe: lambda ids: (array("I", ids).tobytes(),), LibraryBpe)
+        bpe = loaded(vocabulary, LibraryBpe)
         end, step = array("I", [end_id]).tobytes(), 4 * capacity
         item = TaskContext.get().partitionId() << 40
         for batch in batches:
             at = 0
             for texts in groups(batch.column(1).to_pylist()):
-                chunks = [cache.bpe.chunks(t) for t in texts]
-                cache.learn(chunks)
-                ids_of, rows = cache.of[0].__getitem__, []
+                chunks = [bpe.chunks(t) for t in texts]
+                ids_of, rows = bpe.packed(set().union(*chunks)).__getitem__, []
                 for doc, row in enumerate(chunks, at):
                     ids = b"".join(map(ids_of, row)) + end
                     for piece, low in enumerate(range(0, len(ids), step)):

@@ -262,6 +262,45 @@ def test_packing_reaches_the_bound(spark):
     assert len(fill) <= 1.02 * -(-sum(sizes) // 1000)
 
 
+def test_evolution_beats_best_fit():
+    sizes = [4] * 60 + [3] * 120  # sixty bins of 4 + 3 + 3; best fit in falling order pairs the fours
+    alone = packing.GroupingGenetic(sizes, 10, seed=1).fitted([], list(range(180)))
+    genetic = packing.GroupingGenetic(sizes, 10, seed=1)
+    genetic.seed_people()
+    seeds = len(genetic.people[0][1])
+    found = genetic.evolve(400, 3)
+    assert len(alone) == 70 and len(found) < seeds <= 70
+    assert sorted(i for b in found for i in b) == list(range(180))
+    assert all(sum(sizes[i] for i in b) <= 10 for b in found)
+
+
+def test_evolution_runs_where_the_seeds_reach_the_bound(monkeypatch):
+    born = []
+    crossover = packing.GroupingGenetic.crossover
+    monkeypatch.setattr(packing.GroupingGenetic, "crossover", lambda self, a, b: born.append(1) or crossover(self, a, b))
+    genetic = packing.GroupingGenetic([1] * 100, 10, seed=1)
+    genetic.seed_people()
+    assert genetic.done() and len(genetic.evolve(12, 3)) == 10 and len(born) == 3
+
+
+def test_pieces_equal_the_library(spark):
+    import zlib
+
+    tokenizers, data = pytest.importorskip("tokenizers"), "/root/testdata/sf0.001"
+    library = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 70_000), (-4, "ÉTÉ 'S <|endoftext|> Σ 日本語 a\x1cb. 12,5! don't"), (-5, "word " * 9000)], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in packing.token_pieces(docs.unionAll(odd), bpe.default_vocabulary()).collect():
+        got[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for r in docs.unionAll(odd).collect():
+        ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        parts = [ids[i : i + 4096] for i in range(0, len(ids), 4096)]
+        assert sorted(got[r["doc_id"]]) == [(k, 4096 * k, len(p), zlib.crc32(p.tobytes())) for k, p in enumerate(parts)]
+
+
 def test_topk_in_rounds(spark):
     rng = np.random.default_rng(7)
     data = rng.normal(size=(400, 8)).astype(np.float32)
