@@ -9,33 +9,36 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: strings, whole or cut off, and brackets; nothing else in JSON says how deep one is
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[\[\]{}]', re.DOTALL)
+_CLOSING = {"{": "}", "[": "]"}
+
 
 def salvaged(raw: str | None, least: int = 20) -> str | None:
-    """The document as it is if it parses, else what was complete at its top level, closed; null if nothing is."""
-    body = re.sub(r"```[a-z]*\s*", "", raw or "", flags=re.I).strip("` \n")
-    if "{" not in body:
-        return None
-    body = body[body.index("{") :]
-    with_end = _parsed(body)
-    if with_end is not None:
-        return with_end
-    level, complete, quoted, skip = 0, 0, False, False
-    for at, c in enumerate(body, 1):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            level += 1
-        elif c in "}]":
-            level -= 1
-            complete = at if level == 1 else complete
-    if complete <= least:
-        return None
-    body = body[:complete].rstrip().removesuffix(",")
-    return _parsed(body + "]" * (body.count("[") - body.count("]")) + "}" * (body.count("{") - body.count("}")))
+    """The first JSON object in raw, without a code fence, as it is if it parses; of one cut short, all up to the last part that is
+    complete one level below its top, closed by the brackets then open; null if there is none, or if that is no longer than least."""
+    fenced = re.search(r"```[a-zA-Z]*(.*?)(?:```|\Z)", raw or "", re.DOTALL)
+    for body in ([fenced[1]] if fenced else []) + [raw or ""]:
+        if "{" not in body:
+            continue
+        text = body[body.index("{") :].rstrip("` \n\t\r")
+        done = _parsed(text)
+        return done if done is not None else _parsed(_closed(text, least))
+    return None
+
+
+def _closed(text: str, least: int) -> str:
+    """text up to where a bracket last closes with one left open, and what closes that one."""
+    open_brackets: list[str] = []
+    best = ""
+    for mark in _MARKS.finditer(text):
+        if mark[0] in _CLOSING:
+            open_brackets.append(_CLOSING[mark[0]])
+        elif open_brackets and mark[0] == open_brackets[-1]:
+            open_brackets.pop()
+            if len(open_brackets) == 1 and mark.end() > least:
+                best = text[: mark.end()] + open_brackets[0]
+    return best
 
 
 def _parsed(body: str) -> str | None:

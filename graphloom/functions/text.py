@@ -10,6 +10,8 @@ from graphloom.config import REQUIREMENT_CODES
 # Patterns of structural features.
 STEP = r"(?m)^\s*(?:\(\d+\)|\d+[.\):]|Step\s+\d+:|[a-z][.\)])\s+\S"
 TOOLS = r"(?im)^\s*(?:TOOLS REQUIRED|MATERIALS REQUIRED|PARTS REQUIRED)"
+SAFETY = r"(?im)^\s*(?:WARNING|CAUTION|NOTE)\s*[:\-]?\s*$"
+TASK = r"(?im)^\s*(?:TASK|JOB SET-UP|JOB CLOSE-UP|SUBTASK|PROCEDURE)\b"
 PART_NUMBER = r"\b\d{3,}\s*[\-]\s*\d{3,}\b"
 MEASURE = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:Nm|N\.m|ft\.?lb|bar|psi|mm|cm|°[CF]|kPa)\b"
 
@@ -31,6 +33,11 @@ def features(x: Column) -> dict[str, Column]:
     return out | {"has_steps": steps > 0, "has_tools_table": x.rlike(TOOLS), "has_measurements": measures > 0, "has_part_numbers": x.rlike(PART_NUMBER), "step_count": steps, "measurement_count": measures}
 
 
+def block_features(x: Column) -> dict[str, Column]:
+    """Whether a text has a line that is a safety heading alone, or one that begins a task."""
+    return {"has_safety_block": x.rlike(SAFETY), "has_task": x.rlike(TASK)}
+
+
 def guess_chapter(title: Column) -> Column:
     """The first two-digit group that stands alone, else 00."""
     found = F.regexp_extract(F.coalesce(title, F.lit("")), r"\b(\d{2})(?:-\d+)?\b", 1)
@@ -42,9 +49,13 @@ def codes(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"\b(\d{2})\b"), F.lit(1))
 
 
+# How umlauts are spelt out in names.
+SPELT = {"ä": "AE", "ö": "OE", "ü": "UE", "Ä": "AE", "Ö": "OE", "Ü": "UE", "ß": "SS"}
+
+
 def normalize_name(x: Column) -> Column:
     """Umlauts spelt out, punctuation to spaces, spaces to one underscore, upper case, five parts at most."""
-    for a, b in {"ä": "AE", "ö": "OE", "ü": "UE", "Ä": "AE", "Ö": "OE", "Ü": "UE", "ß": "SS"}.items():
+    for a, b in SPELT.items():
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.regexp_replace(x, r"(?U)[^\w\s]", " ")
     x = F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"(?U)[\s\-_/]+", "_")
@@ -85,6 +96,27 @@ def step_id(task: Column, step: Column) -> Column:
     return F.concat_ws("-", F.lit("STEP"), task, zfill(step.cast("string"), 3))
 
 
+def task_id(chapter: Column, section: Column, subject: Column, number: Column) -> Column:
+    return numbered("TASK", chapter, zfill(section, 2), zfill(subject, 2), seq=number)
+
+
+def chunk_node_id(section: Column, seq: Column) -> Column:
+    return F.concat_ws("-", F.lit("CHUNK"), section, zfill(seq.cast("string"), 4))
+
+
+def measurement_key(context: Column, value: Column, unit: Column) -> Column:
+    """The key of a measurement: where it stands, its value and unit."""
+    return F.concat(F.lit("measurement::"), dedup_form(F.substring(context, 1, 60)), F.lit("-"), value, F.lit("-"), unit)
+
+
+def interval_key(raw: Column) -> Column:
+    return F.concat(F.lit("interval::"), dedup_form(F.substring(raw, 1, 60)))
+
+
+def relationship_key(source: Column, target: Column, kind: Column) -> Column:
+    return F.struct(source.alias("source"), target.alias("target"), kind.alias("type"))
+
+
 def truthy(x: Column) -> Column:
     """x, or null where it is the empty string."""
     return F.nullif(x, F.lit(""))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from graphloom.config import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHUNK_WORDS
 from graphloom.functions import text as T
+from graphloom.sources.tables import settled
 
 
 def chunk_windows(sections: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, least: int = MIN_CHUNK_WORDS, features_on: str = "chunk_text") -> DataFrame:
@@ -35,9 +38,18 @@ def global_sequence(chunks: DataFrame, *order: str) -> DataFrame:
 
 
 def adjacent(chunks: DataFrame, key: str, *within: str) -> DataFrame:
-    """(src, dst, type) of consecutive rows by key, in each group of within."""
-    order = Window.partitionBy(*within).orderBy(key)
-    return chunks.withColumn("_next", F.lead("chunk_id").over(order)).filter(F.col("_next").isNotNull()).select(F.col("chunk_id").alias("src"), F.col("_next").alias("dst"), F.lit("ADJACENT_TO").alias("type"))
+    """(src, dst, type) of consecutive rows by key: in each group of within, or over all rows if there is none.
+
+    Over all rows, each is numbered by ranges and joined with the next number, so that no task sees them all."""
+    if within:
+        order = Window.partitionBy(*within).orderBy(key)
+        rows = chunks.select(F.col("chunk_id").alias("src"), F.lead("chunk_id").over(order).alias("dst")).filter("dst is not null")
+    else:
+        from graphloom.operators.ranking import numbered
+
+        placed = settled(numbered(chunks.select(key, "chunk_id"), key, "chunk_id", into="at").select("at", "chunk_id"))
+        rows = placed.select("at", F.col("chunk_id").alias("src")).join(placed.select((F.col("at") - 1).alias("at"), F.col("chunk_id").alias("dst")), "at")
+    return rows.select("src", "dst", F.lit("ADJACENT_TO").alias("type"))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -52,15 +64,28 @@ def section_texts(pages: DataFrame, section: str, order: str, text: str) -> Data
 
 
 def toc_ends(toc: DataFrame, last_page: int) -> DataFrame:
-    """A table of contents (idx, level, page_1) with id and page_start and page_end from 0: an entry ends before the next of its level or above.
-
-    A stack over levels is what finds that entry; as a window, it is the least later index among those levels,
-    so the few levels are looked at one by one, each in one pass."""
-    order = Window.partitionBy("doc").orderBy("idx").rowsBetween(1, Window.unboundedFollowing) if "doc" in toc.columns else Window.orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
-    nearest = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.struct("idx", "page_1"))).over(order)) for k in range(1, 10)]
-    rows = toc.withColumn("_next", F.array_min(F.array_compact(F.array(*nearest))))
-    end = F.when(F.col("_next").isNotNull(), F.greatest(F.lit(0), F.col("_next")["page_1"] - 2)).otherwise(last_page)
-    return rows.select("*", F.concat(F.lit("SEC-"), T.zfill((F.col("idx") + 1).cast("string"), 4)).alias("id"), (F.col("page_1") - 1).alias("page_start"), end.cast("long").alias("page_end")).drop("_next")
+    """A table of contents (idx, level, page_1[, doc]) with id and page_start and page_end from 0: an entry ends before the next of its level or above, whatever the levels' numbers.
+
+    Entries of a document are gone through from the last, with a stack of those that may end an earlier one: of
+    lower and lower levels. Documents are groups; a table without doc is one document's."""
+    own = "doc" in toc.columns
+    rows = toc if own else toc.withColumn("doc", F.lit(0))
+    schema = T_.StructType([*rows.schema.fields, T_.StructField("_end", T_.LongType())])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx", ascending=False, kind="stable")
+        stack: list[tuple[int, int]] = []
+        ends = []
+        for level, page in zip(part["level"].tolist(), part["page_1"].tolist(), strict=True):
+            while stack and stack[-1][0] > level:
+                stack.pop()
+            ends.append(max(0, stack[-1][1] - 2) if stack else last_page)
+            stack.append((level, page))
+        return part.assign(_end=ends)
+
+    done = rows.groupBy("doc").applyInPandas(run, schema)
+    done = done.select("*", F.concat(F.lit("SEC-"), T.zfill((F.col("idx") + 1).cast("string"), 4)).alias("id"), (F.col("page_1") - 1).alias("page_start"), F.col("_end").alias("page_end")).drop("_end")
+    return done if own else done.drop("doc")
 
 
 def pages_to_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:

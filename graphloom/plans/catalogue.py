@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.config import CHAPTERS
 from graphloom.functions import jsons, vector
 from graphloom.functions import text as T
-from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, resolution, retrieval, search
+from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, reports, resolution, retrieval, search, sections
 from graphloom.plans.retrieve import Artefacts, retrieve
 from graphloom.sources.tables import table
 
@@ -69,13 +70,15 @@ def tokenize_stats(spark, d):
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)\bWARNING\b') AS has_warning, regexp_matches(text, '(?i)\bNOTE\b') AS has_note,
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)\bWARNING\b') AS has_warning, regexp_matches(text, '(?i)\bCAUTION\b') AS has_caution, regexp_matches(text, '(?i)\bNOTE\b') AS has_note,
+  regexp_matches(text, '(?im)^\s*(?:WARNING|CAUTION|NOTE)\s*[:\-]?\s*$') AS has_safety_block, regexp_matches(text, '(?im)^\s*(?:TASK|JOB SET-UP|JOB CLOSE-UP|SUBTASK|PROCEDURE)\b') AS has_task,
+  CAST(len(regexp_extract_all(text, '(?m)^\s*(?:\(\d+\)|\d+[.\):]|Step\s+\d+:|[a-z][.\)])\s+\S')) AS BIGINT) AS step_count, regexp_matches(text, '(?i)\b\d+(?:[.,]\d+)?\s*(?:Nm|N\.m|ft\.?lb|bar|psi|mm|cm|°[CF]|kPa)\b') AS has_measurements,
   len(regexp_extract_all(text, '(?m)^\s*(?:\(\d+\)|\d+[.\):]|Step\s+\d+:|[a-z][.\)])\s+\S')) > 0 AS has_steps,
   regexp_matches(text, '(?im)^\s*(?:TOOLS REQUIRED|MATERIALS REQUIRED|PARTS REQUIRED)') AS has_tools_table, regexp_matches(text, '\b\d{3,}\s*[\-]\s*\d{3,}\b') AS has_part_numbers,
   CAST(len(regexp_extract_all(text, '(?i)\b\d+(?:[.,]\d+)?\s*(?:Nm|N\.m|ft\.?lb|bar|psi|mm|cm|°[CF]|kPa)\b')) AS BIGINT) AS measurement_count FROM documents""")
 def feature_flags(spark, d):
-    rows = table(spark, d, "documents").withColumns(T.features(F.col("text")))
-    return rows.select("doc_id", "has_warning", "has_note", "has_steps", "has_tools_table", "has_part_numbers", "measurement_count")
+    found = T.features(F.col("text")) | T.block_features(F.col("text"))
+    return table(spark, d, "documents").withColumns(found).select("doc_id", *found)
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b(?:the|and|that)\b')) AS BIGINT) AS n_common, CAST(len(regexp_extract_all(text, '(?m)^[A-Z]')) AS BIGINT) AS n_lines FROM documents")
@@ -141,8 +144,13 @@ def global_sequence(spark, d):
     return chunking.global_sequence(_chunks(spark, d).select("doc_id", "chunk_seq", "chunk_id"), "doc_id", "chunk_seq").select("chunk_id", "global_seq")
 
 
-@query(f"WITH {SQL_CHUNKS} SELECT * FROM (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY doc_id ORDER BY chunk_seq) AS dst, 'ADJACENT_TO' AS type FROM chunks) WHERE dst IS NOT NULL")
+@query(f"WITH {SQL_CHUNKS} SELECT * FROM (SELECT chunk_id AS src, lead(chunk_id) OVER (ORDER BY doc_id, chunk_seq) AS dst, 'ADJACENT_TO' AS type FROM chunks) WHERE dst IS NOT NULL")
 def adjacent_chunks(spark, d):
+    return chunking.adjacent(chunking.global_sequence(_chunks(spark, d).select("doc_id", "chunk_seq", "chunk_id"), "doc_id", "chunk_seq"), "global_seq")
+
+
+@query(f"WITH {SQL_CHUNKS} SELECT * FROM (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY doc_id ORDER BY chunk_seq) AS dst, 'ADJACENT_TO' AS type FROM chunks) WHERE dst IS NOT NULL")
+def adjacent_in_document(spark, d):
     return chunking.adjacent(_chunks(spark, d), "chunk_seq", "doc_id")
 
 
@@ -152,11 +160,11 @@ def section_text_agg(spark, d):
     return rows.select("conv_id", F.md5("text").alias("digest"), "page_start", "page_end")
 
 
-@query("""WITH t AS (SELECT conv_id AS doc, turn AS idx, 1 + CAST(length(text) % 3 AS BIGINT) AS level, 1 + 2 * turn AS page_1 FROM conversations),
+@query("""WITH t AS (SELECT conv_id AS doc, turn AS idx, CAST(length(text) % 13 AS BIGINT) AS level, 1 + 2 * turn AS page_1 FROM conversations),
 n AS (SELECT a.doc, a.idx, min_by(b.page_1, b.idx) AS p FROM t a JOIN t b ON a.doc = b.doc AND b.idx > a.idx AND b.level <= a.level GROUP BY a.doc, a.idx)
 SELECT t.doc, t.idx, printf('SEC-%04d', t.idx + 1) AS id, page_1 - 1 AS page_start, CAST(CASE WHEN p IS NULL THEN 99 ELSE greatest(0, p - 2) END AS BIGINT) AS page_end FROM t LEFT JOIN n ON t.doc = n.doc AND t.idx = n.idx""")
 def toc_page_end(spark, d):
-    toc = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"), (1 + F.length("text") % 3).cast("long").alias("level"), (1 + 2 * F.col("turn")).alias("page_1"))
+    toc = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"), (F.length("text") % 13).cast("long").alias("level"), (1 + 2 * F.col("turn")).alias("page_1"))
     return chunking.toc_ends(toc, 99).select("doc", "idx", "id", "page_start", "page_end")
 
 
@@ -489,7 +497,12 @@ def context_budget(spark, d):
     return rows.select("query_id", "section", "place").join(lines, ["query_id", "section", "place"], "left_semi")
 
 
-@query()
+_HEADS = ["'=== GRAPH CONTEXT ==='", "chr(10) || '=== RELATIONSHIPS ==='", "chr(10) || '=== MANUAL TEXT ==='"]
+_MARKS = ["'... (graph trimmed)'", "'... (rels trimmed)'", "'... (text trimmed)'"]
+_CONTEXT = " UNION ALL ".join(f"SELECT query_id, {k} AS section, place, line FROM r{k} UNION ALL SELECT query_id, {k}, -1, {_HEADS[k]} FROM s{k} UNION ALL SELECT query_id, {k}, last + 1, {_MARKS[k]} FROM s{k} WHERE total > 2000 * {share}::DOUBLE" for k, share in enumerate((0.45, 0.6, 1.0)))
+
+
+@query(f"WITH l AS (SELECT conv_id AS query_id, turn % 3 AS section, turn AS place, text AS line FROM conversations), {_sql_budget(2000)}, a AS ({_CONTEXT}) SELECT query_id, string_agg(line, chr(10) ORDER BY section, place) AS context FROM a GROUP BY query_id")
 def context_text(spark, d):
     return retrieval.context_text(retrieval.within_budget(_lines(spark, d), 2000))
 
@@ -576,7 +589,7 @@ def last_answer(spark, d):
 
 # -- models' stand-ins
 
-@query()
+@query("SELECT doc_id, 384 AS dim, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def encoded_documents(spark, d):
     rows = encoding.encode(table(spark, d, "documents"), "text", into="vector")
     return rows.select("doc_id", F.size("vector").alias("dim"), F.round(vector.dot(F.col("vector"), F.col("vector")), 4).alias("norm"))
@@ -641,3 +654,176 @@ def paired_modes(spark, d):
     """Rows of two modes, side by side by key."""
     by = lambda m, c: table(spark, d, "events").filter(F.col("event_type") == m).groupBy("user_id").agg(F.count("*").alias(c))
     return by("view", "a").join(by("click", "b"), "user_id").select("user_id", (F.col("a") - F.col("b")).alias("delta"))
+
+
+# -- sections, communities and the whole build
+
+SQL_SECTION_CHUNKS = "WITH c AS (SELECT 'K' || turn || '-' || conv_id AS chunk_id, 'S' || (conv_id % 7) AS section_id, role || conv_id AS section_title, lpad((conv_id % 12)::VARCHAR, 2, '0') AS ata, CAST(1 + conv_id % 3 AS INTEGER) AS level, conv_id * 1000 + turn AS global_seq, text FROM conversations)"
+
+
+def _section_chunks(spark, d):
+    conv = F.col("conv_id").cast("string")
+    rows = table(spark, d, "conversations")
+    return rows.select(F.concat(F.lit("K"), "turn", F.lit("-"), conv).alias("chunk_id"), F.concat(F.lit("S"), (F.col("conv_id") % 7).cast("string")).alias("section_id"), F.concat("role", conv).alias("section_title"), F.lpad((F.col("conv_id") % 12).cast("string"), 2, "0").alias("ata"), (1 + F.col("conv_id") % 3).cast("int").alias("level"), (F.col("conv_id") * 1000 + F.col("turn")).alias("global_seq"), "text")
+
+
+_SQL_SECTIONS = "s AS (SELECT section_id AS id, min_by(section_title, global_seq) AS title, min_by(ata, global_seq) AS ata, min_by(level, global_seq) AS level FROM c GROUP BY section_id)"
+
+
+@query(f"{SQL_SECTION_CHUNKS}, {_SQL_SECTIONS} SELECT id, title, ata, level FROM s")
+def document_sections(spark, d):
+    return sections.sections_of(_section_chunks(spark, d))
+
+
+@query(f"{SQL_SECTION_CHUNKS} SELECT DISTINCT chunk_id AS src, section_id AS dst, 'PART_OF_SECTION' AS type FROM c WHERE section_id <> 'S3'")
+def section_edges(spark, d):
+    chunks = _section_chunks(spark, d)
+    return sections.section_edges(chunks, sections.sections_of(chunks).filter("id <> 'S3'"))
+
+
+def _embedded(spark, d):
+    return table(spark, d, "embeddings").select(F.concat(F.lit("P"), "vec_id").alias("id"), "embedding")
+
+
+@query("SELECT 'P' || p_partkey AS id, p_name AS name, e.embedding IS NOT NULL AS embedded, coalesce(len(e.embedding), 0) AS dim FROM part LEFT JOIN embeddings e ON p_partkey = vec_id")
+def embedded_nodes(spark, d):
+    rows = sections.with_embeddings(_parts(spark, d).select("id", "name"), _embedded(spark, d), "id")
+    return rows.select("id", "name", F.col("embedding").isNotNull().alias("embedded"), F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("dim"))
+
+
+@query("SELECT p_partkey, '[ATA ' || lpad((p_size % 100)::VARCHAR, 2, '0') || '] ' || p_name || chr(10) || p_type AS chunk_text, trim('[Component ATA-' || lpad((p_size % 100)::VARCHAR, 2, '0') || '] ' || p_name || '. ' || p_brand || ' ' || '') AS entity_text FROM part")
+def embedding_texts(spark, d):
+    ata = F.lpad((F.col("p_size") % 100).cast("string"), 2, "0")
+    return table(spark, d, "part").select("p_partkey", T.chunk_text(ata, F.col("p_name"), F.col("p_type")).alias("chunk_text"), F.trim(T.entity_text(F.lit("Component"), ata, F.col("p_name"), F.col("p_brand"), F.lit(""))).alias("entity_text"))
+
+
+_SQL_COMMUNITIES = f"""kept AS (SELECT community, count(*) AS size, list_sort(list_distinct(list(ata) FILTER (ata <> '00'))) AS chapters FROM part JOIN nodes ON node = id GROUP BY community HAVING count(*) >= 3),
+chapter_names AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in CHAPTERS.items())}) AS t(code, name)),
+comm AS (SELECT 'COMM-' || lpad(place::VARCHAR, greatest(4, length(place::VARCHAR))::INT, '0') AS id, * FROM (SELECT row_number() OVER (ORDER BY size DESC, community) - 1 AS place, * FROM kept))"""
+
+
+def _community_table(spark, d):
+    return sections.community_table(_partition(spark, d), _nodes(spark, d))
+
+
+@query(f"""WITH {SQL_GRAPH}, {SQL_PARTITION}, {_SQL_COMMUNITIES}, n AS (SELECT id, string_agg(coalesce(name, 'ATA ' || c), '|' ORDER BY c) AS names FROM (SELECT id, unnest(chapters[1:5]) AS c FROM comm) LEFT JOIN chapter_names ON c = code GROUP BY id)
+SELECT comm.id, community, place, size, array_to_string(chapters, ',') AS chapters, coalesce(names, '') AS names, coalesce(chapters[1], '') AS first_chapter FROM comm LEFT JOIN n ON comm.id = n.id""")
+def community_ranking(spark, d):
+    rows = _community_table(spark, d)
+    return rows.select("id", "community", "place", "size", F.array_join("ata_chapters", ",").alias("chapters"), F.array_join("ata_names", "|").alias("names"), sections.first_chapter(F.col("ata_chapters")).alias("first_chapter"))
+
+
+@query(f"WITH {SQL_GRAPH}, {SQL_PARTITION}, {_SQL_COMMUNITIES} SELECT DISTINCT node AS src, comm.id AS dst, 'MEMBER_OF' AS type FROM part JOIN comm ON part.community = comm.community JOIN nodes ON node = nodes.id")
+def member_edges(spark, d):
+    return sections.member_edges(_partition(spark, d), _nodes(spark, d), _community_table(spark, d))
+
+
+@query(f"WITH {SQL_GRAPH}, {SQL_PARTITION} SELECT (SELECT count(DISTINCT id) FROM nodes WHERE label <> 'Chunk') AS nodes, (SELECT count(*) FROM edges WHERE src NOT LIKE 'C%') AS edges, (SELECT count(DISTINCT community) FROM part) AS communities")
+def projection_counts(spark, d):
+    nodes = _nodes(spark, d)
+    return sections.projection_counts(nodes, community.projection(nodes, _edges(spark, d)), _partition(spark, d), ["Chunk", "DocumentSection", "Measurement"])
+
+
+def _built(spark, d):
+    things = _resolved(spark, d).select("id", "type", F.col("norm_name").alias("name"), F.lit("00").alias("ata"), F.lit("K0-0,K1-1").alias("source_chunks"))
+    rels = resolution.resolve_relationships(_rels(spark, d), _resolved(spark, d))
+    return sections.build_graph(_section_chunks(spark, d), things, rels, _embedded(spark, d))
+
+
+@query(f"""{SQL_SECTION_CHUNKS}, {_SQL_SECTIONS}, {SQL_RESOLVED} SELECT 'Chunk' AS label, count(*) AS n, 0::BIGINT AS embedded FROM c UNION ALL SELECT 'DocumentSection', count(*), 0 FROM s
+UNION ALL SELECT 'Entity', count(*), count(*) FILTER (id IN (SELECT 'P' || vec_id FROM embeddings)) FROM res""")
+def built_nodes(spark, d):
+    nodes, _ = _built(spark, d)
+    return nodes.groupBy("label").agg(F.count("*").alias("n"), F.count("embedding").alias("embedded"))
+
+
+@query(f"""{SQL_SECTION_CHUNKS}, {SQL_RESOLVED}, {SQL_RELS}, e AS (SELECT chunk_id AS src, lead(chunk_id) OVER (ORDER BY global_seq) AS dst, 'ADJACENT_TO' AS type FROM c UNION SELECT chunk_id, section_id, 'PART_OF_SECTION' FROM c
+UNION SELECT chunk_id, id, 'CONTAINS' FROM c, res WHERE chunk_id IN ('K0-0', 'K1-1') UNION SELECT rels.s, names.id, rels.type FROM rels JOIN res ON rels.s = res.id JOIN names ON names.norm_name = {SQL_DEDUP.format('rels.t')})
+SELECT type, count(*) AS n FROM e WHERE dst IS NOT NULL GROUP BY type""")
+def built_edges(spark, d):
+    _, edges = _built(spark, d)
+    return edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 0 THEN NULL ELSE array_to_string(list_transform(range(1, p_size + 1), lambda i: 'K' || i)[1:10], ',') END AS source_chunks FROM part")
+def source_lists(spark, d):
+    chunks = F.when(F.col("p_size") > 0, F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.lit("K"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "part").select("p_partkey", sections.source_list(chunks).alias("source_chunks"))
+
+
+# -- ids and keys that the queries above leave out
+
+SQL_ATA = "lpad(p_size::VARCHAR, greatest(2, length(p_size::VARCHAR))::INT, '0')"
+SQL_SEQ = "lpad(p_partkey::VARCHAR, greatest(4, length(p_partkey::VARCHAR))::INT, '0')"
+
+
+@query(f"""SELECT p_partkey, 'SYS-' || {SQL_ATA} || '-' || {SQL_NORM.format('p_type')} AS system_id, 'CONS-' || {SQL_NORM.format('p_name')} AS consumable_id, 'CAUT-' || {SQL_ATA} || '-' || {SQL_SEQ} AS caution_id,
+  'NOTE-' || {SQL_ATA} || '-' || {SQL_SEQ} AS note_id, 'MEAS-' || {SQL_ATA} || '-' || p_type || '-' || {SQL_SEQ} AS measurement_id, 'TASK-' || {SQL_ATA} || '-10-00-' || {SQL_SEQ} AS task_id,
+  'STEP-TASK-' || {SQL_ATA} || '-10-00-' || {SQL_SEQ} || '-' || lpad(p_size::VARCHAR, greatest(3, length(p_size::VARCHAR))::INT, '0') AS step_id, 'CHUNK-SEC-' || p_size || '-' || {SQL_SEQ} AS chunk_id FROM part""")
+def more_ids(spark, d):
+    ata, seq, name, kind = F.col("p_size").cast("string"), F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    task = T.task_id(ata, F.lit("10"), F.lit("0"), seq)
+    return table(spark, d, "part").select("p_partkey", T.named("SYS", kind, ata).alias("system_id"), T.named("CONS", name).alias("consumable_id"), T.numbered("CAUT", ata, seq=seq).alias("caution_id"), T.numbered("NOTE", ata, seq=seq).alias("note_id"), T.numbered("MEAS", ata, kind, seq=seq).alias("measurement_id"), task.alias("task_id"), T.step_id(task, F.col("p_size")).alias("step_id"), T.chunk_node_id(F.concat(F.lit("SEC-"), ata), seq).alias("chunk_id"))
+
+
+@query(f"SELECT p_partkey, 'measurement::' || {SQL_DEDUP.format('substr(p_name, 1, 60)')} || '-' || p_size || '-Nm' AS measurement_key, 'interval::' || {SQL_DEDUP.format('substr(p_type, 1, 60)')} AS interval_key, 'P' || p_partkey || '>' || p_brand || '>X' AS relationship_key FROM part")
+def more_keys(spark, d):
+    rel = T.relationship_key(F.concat(F.lit("P"), "p_partkey"), F.col("p_brand"), F.lit("X"))
+    return table(spark, d, "part").select("p_partkey", T.measurement_key(F.col("p_name"), F.col("p_size").cast("string"), F.lit("Nm")).alias("measurement_key"), T.interval_key(F.col("p_type")).alias("interval_key"), F.concat_ws(">", rel["source"], rel["target"], rel["type"]).alias("relationship_key"))
+
+
+# -- reports
+
+@query("SELECT conv_id, turn, len(c[1:3]) AS kept, list_sum(list_transform(c[1:3], lambda x: least(length(x), 1200)))::BIGINT AS chars FROM (SELECT conv_id, turn, [text, role, text || text, role] AS c FROM conversations)")
+def judged_contexts(spark, d):
+    kept = reports.decoded_contexts(reports.encoded_contexts(reports.clipped_contexts(F.array("text", "role", F.concat("text", "text"), "role"))))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(kept).cast("long").alias("kept"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@query(f"WITH {SQL_EVAL}, r AS (SELECT id, mode, total_ms, keyword_recall, NULL AS answer_chars FROM ev WHERE mode = 'view' UNION ALL SELECT id, mode, total_ms, keyword_recall, length(props)::BIGINT FROM ev JOIN events ON id = event_id WHERE mode = 'click') SELECT id, mode, total_ms, keyword_recall, coalesce(answer_chars, -1) AS answer_chars FROM r")
+def evaluation_rows(spark, d):
+    rows = _answers(spark, d)
+    pick = lambda m, *more: rows.filter(F.col("mode") == m).select("id", "mode", "total_ms", "keyword_recall", *more)
+    return reports.evaluation_rows(pick("view"), pick("click", "answer_chars")).withColumn("answer_chars", F.coalesce("answer_chars", F.lit(-1).cast("long")))
+
+
+@query(f"WITH {SQL_EVAL}, {_SUMMARY} SELECT mode, queries_total AS total, total_ms_avg, keyword_recall_avg AS recall, '2024-01-02 03:04:05' AS generated_at FROM sm")
+def report_documents(spark, d):
+    docs = reports.report(evaluation.summarised(_answers(spark, d)), "mode", stamp=F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    back = F.from_json("document", "queries_total long, total_ms_avg double, keyword_recall_avg double, generated_at string")
+    return docs.select("mode", back.alias("x")).select("mode", F.col("x.queries_total").alias("total"), "x.total_ms_avg", F.col("x.keyword_recall_avg").alias("recall"), "x.generated_at")
+
+
+@query(f"WITH {SQL_EVAL} SELECT id, 'retrieval_ms' AS series, greatest(total_ms - llm_ms, 0.0::DOUBLE) AS value FROM ev UNION ALL SELECT id, 'llm_ms', llm_ms FROM ev")
+def plotted_latency(spark, d):
+    return reports.plotted(_answers(spark, d), "id", "retrieval_ms", "llm_ms")
+
+
+@query("SELECT type, n, row_number() OVER (ORDER BY n DESC, type) AS place FROM (SELECT p_type AS type, count(*) AS n FROM part GROUP BY p_type)")
+def type_report(spark, d):
+    return reports.by_count(resolution.type_counts(_parts(spark, d)))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(regexp_replace(lower(role || ' the of'), '[^a-z0-9]', ' ', 'g'), ' +'), lambda w: w <> '')) AS q, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' +'), lambda w: w <> '')) AS a FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN NULL ELSE 1.0::DOUBLE END AS faithfulness, round(len(list_intersect(q, a)) / len(q)::DOUBLE, 3) AS answer_relevancy, CASE WHEN len(list_intersect(q, a)) > 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS context_precision FROM t""")
+def judged_metrics(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(" the of")).alias("query"), F.col("text").alias("answer"), F.array("text", F.lit("of")).alias("contexts"))
+    return reports.judged(rows).select("conv_id", "turn", "faithfulness", "answer_relevancy", "context_precision")
+
+
+@query(r"SELECT page_id, regexp_replace(trim(url), '/+$', '') AS base, 'https://' || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/+$', '') AS bare, substr(url, 1, 8) || '...' || right(url, 4) AS mark, url AS key FROM pages")
+def web_addresses(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", reports.base_url(F.concat(F.lit(" "), url, F.lit("/ "))).alias("base"), reports.base_url(F.regexp_replace(url, "^[a-z]+://", "")).alias("bare"), reports.fingerprint(url).alias("mark"), reports.unquoted(F.concat(F.lit(' "'), url, F.lit('"'))).alias("key"))
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, i - 1 AS place, trim(x[i]) AS line FROM (SELECT conv_id, turn, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT conv_id, turn, string_split('# ' || role || chr(10) || '- ' || text || chr(10) || chr(10) || '2. ' || role || chr(10) || text, chr(10)) AS x FROM conversations)))
+SELECT conv_id, turn, place, CASE WHEN regexp_matches(line, '^#{1,6}\s') THEN 'heading' WHEN regexp_matches(line, '^[-*•]\s') THEN 'bullet' WHEN regexp_matches(line, '^\d+[.)]\s') THEN 'numbered' ELSE 'paragraph' END AS kind, regexp_replace(line, '^(#{1,6}|[-*•]|\d+[.)])\s+', '') AS body FROM l WHERE length(line) > 0""")
+def answer_blocks(spark, d):
+    text = F.concat(F.lit("# "), "role", F.lit("\n- "), "text", F.lit("\n\n2. "), "role", F.lit("\n"), "text")
+    return reports.blocks(table(spark, d, "conversations").select("conv_id", "turn", text.alias("t")), "t").select("conv_id", "turn", "place", "kind", "body")
+
+
+@query("SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 50)) AS confidence, CAST(floor(length(props) / 4) AS BIGINT) AS tokens FROM events")
+def clamped_confidence(spark, d):
+    return table(spark, d, "events").select("event_id", reports.clamped(F.col("value") / 50).alias("confidence"), reports.token_estimate(F.col("props")).alias("tokens"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNKS = "chunks array<struct<section_id string, section_title string, ata string, level int, page_start int, page_end int, chunk_id string, text string, word_count int, chunk_seq int, global_seq int>>"
 DATASET = "entities array<struct<id string, type string, name string, text string, title string, description string, ata string, source_chunks array<string>>>, relationships array<struct<source string, target string, type string, source_chunk string>>"
+COMMUNITIES = "id string, size int, ata_chapters array<string>, ata_names array<string>, summary string, member_ids array<string>"
 QUESTIONS = "id string, query string, expected_keywords array<string>, reference_answer string"
 
 
@@ -16,12 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors reach: spark.checkpoint.dir, or the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/graphloom-intermediate"
+
+
 def settled(rows: DataFrame) -> DataFrame:
-    """rows computed once and cut off from what made them, in the session's checkpoint folder (or one of its own, where none is named)."""
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return rows.checkpoint()
+    """rows computed once, written as Parquet to the shared folder and read again: cut off from what made them."""
+    path = f"{shared_dir(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -46,6 +52,11 @@ def dataset_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tuple(whole.select(F.explode(c).alias("x")).select("x.*") for c in ("entities", "relationships"))
 
 
+def communities_json(spark: SparkSession, path: str) -> DataFrame:
+    """(id, size, ata_chapters, ata_names, summary, member_ids) of a list of communities."""
+    return _json(spark, path, COMMUNITIES)
+
+
 def embeddings_json(spark: SparkSession, path: str) -> DataFrame:
     """(id, embedding) of an object keyed by id."""
     rows = spark.read.option("wholetext", True).text(path)
