@@ -23,7 +23,7 @@ def words(x: Column) -> Column:
 
 def search_tokens(x: Column) -> Column:
     """Lower-case runs of a-z and 0-9."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]", " "), " +"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def features(x: Column) -> dict[str, Column]:
