@@ -247,20 +247,34 @@ class WordBpe:
         return " ".join(t for t in map(self.tokens.get, ids) if t is not None)
 
 
+class Packed(dict):
+    """Ids of chunks as bytes, made when first asked for: little-endian 32-bit integers."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.long = make, []
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self[chunk] = self.make(chunk)
+        if len(chunk) > LibraryBpe.LONGEST:
+            self.long.append(chunk)
+        return out
+
+
 class LibraryBpe(WordBpe):
     """The same texts and pieces, with the words' ids from the tokenizers library; for stages that need ids, not the trie.
 
     packed() keeps the ids of chunks and words met, of LONGEST characters at most each and so many that they take a
     bounded number of bytes."""
 
-    LONGEST, MOST = 64, 400_000
+    LONGEST, MOST = 64, 600_000
 
     def __init__(self, path: str):
         super().__init__(path)
         self._model = Tokenizer.from_file(path).model
-        self._held: dict[str, bytes] = {}
+        self._held = Packed(self.chunk_bytes)
         self._of_word: dict[str, bytes] = {}
-        self._long: list[str] = []
+        self._stops = {c: self.word_bytes(c) for c in ".,!"}
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         tokenize = self._model.tokenize
@@ -277,7 +291,8 @@ class LibraryBpe(WordBpe):
 
     def chunk_bytes(self, chunk: str) -> bytes:
         """Ids of a chunk as little-endian 32-bit integers; letters alone, or with one stop, take no pattern."""
-        core = chunk if chunk[-1] not in ".,!" else chunk[:-1]
+        stop = self._stops.get(chunk[-1])
+        core = chunk if stop is None else chunk[:-1]
         if core.isalpha():
             word = None
             if core.isascii():
@@ -286,31 +301,20 @@ class LibraryBpe(WordBpe):
                 low = core.lower()
                 word = low.encode().decode("latin-1").translate(self._bytes) if low.isalpha() else None
             if word is not None:
-                out = self._of_word.get(word)
-                if out is None:
-                    out = self.word_bytes(word)
-                return out if core is chunk else out + self.word_bytes(chunk[-1])
+                out = self._of_word.get(word) or self.word_bytes(word)
+                return out if stop is None else out + stop
         return b"".join([self.word_bytes(p) if isinstance(p, str) else array("I", (p,)).tobytes() for p in self.pieces(chunk)])
 
-    def packed(self, met: set[str]) -> dict[str, bytes]:
-        """Ids of the chunks met, in a dictionary that is good until the next call."""
-        held = self._held
-        for chunk in self._long:
-            del held[chunk]
-        fresh = met - held.keys()
-        if len(held) + len(fresh) > self.MOST:  # what was just met goes on
-            held = self._held = {c: held[c] for c in met if c in held}
+    def packed(self) -> Packed:
+        """What gives the ids of any chunk. Asked for before each run of texts, it forgets what is long, and all once there is too much."""
+        for chunk in self._held.long:
+            del self._held[chunk]
+        self._held.long.clear()
+        if len(self._held) > self.MOST:
+            self._held.clear()
         if len(self._of_word) > self.MOST:
             self._of_word.clear()
-        own = self.chunk_bytes
-        gc.disable()  # many small objects and no cycles
-        try:
-            for chunk in fresh:
-                held[chunk] = own(chunk)
-        finally:
-            gc.enable()
-        self._long = [c for c in fresh if len(c) > self.LONGEST]
-        return held
+        return self._held
 
 
 @lru_cache(maxsize=4)

@@ -63,7 +63,7 @@ class GroupingGenetic:
         self.people: list[tuple[tuple, Bins]] = []
 
     def fill(self, items: list[int]) -> int:
-        return sum(self.sizes[i] for i in items)
+        return sum(map(self.sizes.__getitem__, items))
 
     def worth(self, bins: Bins) -> tuple:
         """Fewer bins first; among as many, those whose fills differ more."""
@@ -222,10 +222,9 @@ def token_pieces(documents: DataFrame, vocabulary: str, capacity: int = 4096, en
         for batch in batches:
             at = 0
             for texts in groups(batch.column(1).to_pylist()):
-                chunks = [bpe.chunks(t) for t in texts]
-                ids_of, rows = bpe.packed(set().union(*chunks)).__getitem__, []
-                for doc, row in enumerate(chunks, at):
-                    ids = b"".join(map(ids_of, row)) + end
+                ids_of, rows = bpe.packed().__getitem__, []
+                for doc, text in enumerate(texts, at):
+                    ids = b"".join(map(ids_of, bpe.chunks(text))) + end
                     for piece, low in enumerate(range(0, len(ids), step)):
                         part = ids[low : low + step]
                         rows.append((item, doc, piece, low // 4, len(part) // 4, zlib.crc32(part)))
