@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import chunking, community, encoding, graph, ranking, resolution, retrieval
+from graphloom.functions import jsons
+from graphloom.operators import chunking, community, encoding, graph, ranking, reports, resolution, retrieval, sections
 from graphloom.sources import tables
 from graphloom.streaming.progress import extraction_stream
 
@@ -22,6 +23,54 @@ def test_pages_to_sections(spark):
     assert {r["page_idx"]: r["section_idx"] for r in chunking.pages_to_sections(pages, sections).collect()} == {2: 1, 0: 0, 9: 0}
 
 
+def test_toc_ends_at_any_level(spark):
+    toc = spark.createDataFrame([(0, 11, 1), (1, 11, 5), (2, 0, 9), (3, 11, 20)], "idx int, level int, page_1 long")
+    got = {r["idx"]: (r["id"], r["page_start"], r["page_end"]) for r in chunking.toc_ends(toc, 99).collect()}
+    assert got == {0: ("SEC-0001", 0, 3), 1: ("SEC-0002", 4, 7), 2: ("SEC-0003", 8, 99), 3: ("SEC-0004", 19, 99)}
+    assert chunking.toc_ends(toc.limit(0), 99).count() == 0
+
+
+def test_adjacency_crosses_sections(spark):
+    rows = spark.createDataFrame([(i, f"c{i:03d}", i // 7) for i in range(100)], "global_seq long, chunk_id string, s int").repartition(5)
+    got = sorted((r["src"], r["dst"]) for r in chunking.adjacent(rows, "global_seq").collect())
+    assert got == [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(99)]
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ('{"relationships":[{"from":"a","to":"b"}],"entities":[{"id":"x"},{"id":', {"relationships": [{"from": "a", "to": "b"}]}),
+        ('```json\n{"a": [1, "}]"]}\n```', {"a": [1, "}]"]}),
+        ('{"a": ["x\\"]}", "y"], "b": {"c": 1}, "d', {"a": ['x"]}', "y"], "b": {"c": 1}}),
+        ('{"a', None),
+        ("no object", None),
+        (None, None),
+    ],
+)
+def test_salvage(raw, want):
+    got = jsons.salvaged(raw)
+    assert (None if got is None else json.loads(got)) == want
+
+
+def test_judges_that_fail_score_nothing(spark):
+    rows = spark.createDataFrame([(1, "q", "a", ["c"]), (2, "q", "", [])], "id int, query string, answer string, contexts array<string>")
+    got = {r["id"]: r["faithfulness"] for r in reports.judged(rows, {"faithfulness": lambda q, a, c: 1.0 / len(c)}).collect()}
+    assert got == {1: 1.0, 2: None}
+    plain = {r["id"]: (r["faithfulness"], r["context_precision"]) for r in reports.judged(rows).collect()}
+    assert plain == {1: (0.0, 0.0), 2: (None, None)}
+
+
+def test_stored_graph(spark, tmp_path):
+    chunks = spark.createDataFrame([("c1", "s1", "One", "71", 1, "t", 0), ("c2", "s1", "Other", "72", 2, "t", 1), ("c3", None, None, None, None, "t", 2)], "chunk_id string, section_id string, section_title string, ata string, level int, text string, global_seq long")
+    things = spark.createDataFrame([("E1", "Tool", "Wrench", "71", "c1,zz"), ("", "Tool", "none", "71", "c1")], "id string, type string, name string, ata string, source_chunks string")
+    rels = spark.createDataFrame([("E1", "c2", "USED_IN"), ("E1", "nowhere", "USED_IN")], "source string, target string, type string")
+    vectors = spark.createDataFrame([("c1", [1.0]), ("c1", [2.0])], "id string, embedding array<float>")
+    nodes, edges = sections.build_graph(chunks, things, rels, vectors)
+    sections.store_graph(nodes, edges, str(tmp_path / "g"))
+    assert {(r["label"], r["id"], r["name"]) for r in spark.read.parquet(str(tmp_path / "g/nodes")).collect()} == {("Chunk", "c1", "One"), ("Chunk", "c2", "Other"), ("Chunk", "c3", None), ("DocumentSection", "s1", "One"), ("Tool", "E1", "Wrench")}
+    assert {(r["src"], r["type"], r["dst"]) for r in spark.read.parquet(str(tmp_path / "g/edges")).collect()} == {("c1", "ADJACENT_TO", "c2"), ("c2", "ADJACENT_TO", "c3"), ("c1", "PART_OF_SECTION", "s1"), ("c2", "PART_OF_SECTION", "s1"), ("c1", "CONTAINS", "E1"), ("E1", "USED_IN", "c2")}
+
+
 def test_numbered(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     got = ranking.numbered(rows, "k", into="n").collect()
