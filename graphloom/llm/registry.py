@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, hosts, lines, packing, passages, quality, secrets, simhash, topk, toxicity
+from graphloom.llm import bpe, changepoints, hosts, lines, packing, passages, quality, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_secrets": secrets.op9_secrets,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_change_points": changepoints.op11_change_points,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_url_filter": hosts.ORACLE_SQL,
     "op9_secrets": secrets.ORACLE_SQL,
     "op10_exact_topk": topk.ORACLE_SQL,
+    "op11_change_points": changepoints.ORACLE_SQL,
 }
