@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, changepoints, hosts, lines, packing, passages, quality, secrets, simhash, topk, toxicity
+from graphloom.llm import bpe, changepoints, hosts, lines, manifest, packing, passages, quality, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_change_points": changepoints.op11_change_points,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_secrets": secrets.ORACLE_SQL,
     "op10_exact_topk": topk.ORACLE_SQL,
     "op11_change_points": changepoints.ORACLE_SQL,
+    "op12_merkle_manifest": manifest.ORACLE_SQL,
 }
