@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, changepoints, hosts, lines, manifest, packing, passages, quality, secrets, simhash, topk, toxicity
+from graphloom.llm import bpe, changepoints, hosts, lines, manifest, packing, passages, quality, secrets, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_change_points": changepoints.op11_change_points,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op10_exact_topk": topk.ORACLE_SQL,
     "op11_change_points": changepoints.ORACLE_SQL,
     "op12_merkle_manifest": manifest.ORACLE_SQL,
+    "op13_warc": warc.ORACLE_SQL,
 }

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -20,7 +21,7 @@ def test_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{file}'")
     ours, theirs = registry.QUERIES[name](spark, DATA).toPandas(), con.execute(registry.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
-    key = lambda f: sorted(tuple("null" if x is None or x != x else str(x) for x in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    key = lambda f: sorted(tuple("null" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x == int(x) else str(x) for x in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
     assert key(ours) == key(theirs)
 
 
