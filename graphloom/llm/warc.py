@@ -178,9 +178,12 @@ def _deduplicated(source: str, uri: str, roll: int, date: str, level: int, gap:
     return run
 
 
-def in_reading_order(index: DataFrame, region: int = 32 << 20) -> DataFrame:
-    """Index rows dealt by regions of an archive's bytes and sorted there by file and offset, as one task reads them."""
-    return index.withColumn("_region", F.floor(F.col("offset") / region)).repartition("file", "_region").sortWithinPartitions("file", "offset").drop("_region")
+def in_reading_order(index: DataFrame, region: int = 8 << 20) -> DataFrame:
+    """Index rows dealt by regions of an archive's bytes and sorted there by file and offset, as one task reads them.
+
+    There is a task for about every region bytes that the rows name: index rows are short, and tasks measured by them would read archives by the GB."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return index.withColumn("_region", F.floor(F.col("offset") / region)).repartition(1 + total // region, "file", "_region").sortWithinPartitions("file", "offset").drop("_region")
 
 
 def originals(index: DataFrame, least: int, order: str, hot: int = 50_000, most: int = 10_000) -> DataFrame:
