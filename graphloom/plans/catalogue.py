@@ -37,6 +37,11 @@ def _benchmark(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _questions(spark, d):
+    """Every turn of a user is a question."""
+    return table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+
+
 # -- text
 
 SQL_TOKENS = "list_filter(string_split_regex(regexp_replace(lower({}), '[^a-z0-9]', ' ', 'g'), ' +'), lambda w: w <> '')"
@@ -195,9 +200,7 @@ def cosine_topk(spark, d):
 
 @query(f"WITH {_VQ} SELECT query_id, count(*) AS n FROM s WHERE round(c, 6) >= 0.5 GROUP BY query_id")
 def cosine_threshold(spark, d):
-    corpus, asked = _vectors(spark, d)
-    rows = corpus.join(asked, F.lit(True)).withColumn("c", vector.cosine(F.col("vector"), F.col("q")))
-    return rows.filter(F.round("c", 6) >= 0.5).groupBy("query_id").agg(F.count("*").alias("n"))
+    return retrieval.vectors_within(*_vectors(spark, d), 0.5).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_VQ}, r AS (SELECT query_id, id, round((1 + c) / 2, 6) AS score FROM s) SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r WHERE score >= 0.3) WHERE rank <= 5")
@@ -374,7 +377,7 @@ def _searched(spark, d):
 @query(f"WITH {SQL_GRAPH}, {_sql_bm25(_NAMED, _BY_NATION, 8, ' HAVING round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) > 0.3')} SELECT query_id, doc, score, rank FROM bm25")
 def keyword_search(spark, d):
     asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" 05")).alias("query"))
-    return search.keyword_search(_searched(spark, d), asked, ["name", "code"]).select("query_id", "doc", "score", "rank")
+    return search.keyword_search(search.new_index(_searched(spark, d), "id", "name", "code"), asked).select("query_id", "doc", "score", "rank")
 
 
 _EXPANDED = "SELECT n_nationkey::VARCHAR AS query_id, n_name || ' 05' AS query FROM nation UNION ALL SELECT n_nationkey || '|05', 'ATA 05' FROM nation"
@@ -385,17 +388,17 @@ x AS (SELECT string_split(query_id, '|')[1] AS query_id, doc, score, rank, CASE
 SELECT query_id, doc, score, branch::BIGINT AS branch FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY branch) AS rn FROM x WHERE branch = 0 OR rank <= 3) WHERE rn = 1""")
 def keyword_expand_codes(spark, d):
     asked = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat("n_name", F.lit(" 05")).alias("query"))
-    return search.expand_codes(_searched(spark, d), asked, ["name", "code"]).select("query_id", "doc", "score", "branch")
+    return search.expand_codes(search.new_index(_searched(spark, d), "id", "name", "code"), asked).select("query_id", "doc", "score", "branch")
 
 
-_OVERLAP = """ow AS (SELECT query_id, w, count(*) AS n FROM (SELECT conv_id AS query_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM conversations WHERE turn = 0) WHERE length(w) > 4 GROUP BY ALL),
+_OVERLAP = """ow AS (SELECT query_id, w, count(*) AS n FROM (SELECT conv_id || ':' || turn AS query_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM conversations WHERE role = 'user') WHERE length(w) > 4 GROUP BY ALL),
 os AS (SELECT query_id, item_id AS id, CAST(sum(n) AS DOUBLE) AS score FROM benchmark JOIN ow ON contains(lower(text), w) GROUP BY ALL),
 overlap AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM os) WHERE rank <= 2)"""
 
 
 def _overlap(spark, d):
     communities = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("summary"))
-    return search.community_overlap(communities, table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")))
+    return search.community_overlap(communities, _questions(spark, d))
 
 
 @query(f"WITH {_OVERLAP} SELECT query_id, id, score, rank FROM overlap")
@@ -446,14 +449,13 @@ def louvain_modularity(spark, d):
 
 # -- fusion and context
 
-_FUSED = f"""{_sql_bm25(_DOCS, 'SELECT conv_id AS query_id, text AS query FROM conversations WHERE turn = 0', 4)}, {_OVERLAP},
+_FUSED = f"""{_sql_bm25(_DOCS, "SELECT conv_id || ':' || turn AS query_id, text AS query FROM conversations WHERE role = 'user'", 4)}, {_OVERLAP},
 h AS (SELECT query_id, 'D' || doc AS id, score, rank, 'bm25' AS source, 0 AS branch FROM bm25 UNION ALL SELECT query_id, 'B' || id, score, rank, 'community', 1 FROM overlap),
 fused AS (SELECT query_id, id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, branch, rank, id) AS place FROM h)"""
 
 
 def _hits(spark, d):
-    asked = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
-    by_words = search.bm25_topk(table(spark, d, "documents"), asked, "doc_id", "source", "text").select("query_id", F.concat(F.lit("D"), "doc").alias("id"), "score", "rank", F.lit("bm25").alias("source"))
+    by_words = search.bm25_topk(table(spark, d, "documents"), _questions(spark, d), "doc_id", "source", "text").select("query_id", F.concat(F.lit("D"), "doc").alias("id"), "score", "rank", F.lit("bm25").alias("source"))
     return by_words, _overlap(spark, d).select("query_id", F.concat(F.lit("B"), "id").alias("id"), "score", "rank", F.lit("community").alias("source"))
 
 

@@ -41,7 +41,7 @@ def text_hits(found: Artefacts, questions: DataFrame, mode: str = "hybrid") -> D
 
 def graph_hits(found: Artefacts, questions: DataFrame, hops: int = HOPS) -> tuple[DataFrame, DataFrame]:
     """Ranked nodes (query_id, node, label, score, ord) about a question, and the edges (query_id, src, dst, type) on the way to them."""
-    hits = search.expand_codes(found.nodes.filter("label <> 'Entity'"), questions, ["name", "description", "ata"])
+    hits = search.expand_codes(search.new_index(found.nodes.filter("label <> 'Entity'"), "id", "name", "description", "ata"), questions)
     roots = ranking.top_k(hits, MAX_ROOTS, ["query_id"], F.asc("branch"), F.asc("rank"), F.asc("doc"), into="at").select("query_id", F.col("doc").alias("root"), "at")
     roots = settled(roots)
     distinct = roots.select("root").distinct()
