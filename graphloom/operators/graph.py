@@ -22,19 +22,29 @@ def priority(label: Column) -> Column:
 
 
 def clean_properties(rows: DataFrame, *drop: str) -> DataFrame:
-    """rows without the columns drop; empty strings become null, structs and maps JSON."""
+    """rows without the columns drop; empty strings become null, structs and maps JSON, in lists too, where a null becomes an empty string."""
     out = []
     for f in rows.drop(*drop).schema.fields:
         kind = f.dataType.typeName()
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`")
+        if kind == "array":
+            inner = f.dataType.elementType.typeName()
+            c = F.transform(c, lambda x: F.to_json(x)) if inner in ("struct", "map") else c
+            c = F.transform(c, lambda x: F.coalesce(x, F.lit(""))) if inner in ("struct", "map", "string") else c
         out.append((T.truthy(c) if kind == "string" else F.to_json(c) if kind in ("struct", "map") else c).alias(f.name))
     return rows.select(*out)
 
 
+def last_properties(rows: DataFrame) -> DataFrame:
+    """One row of each (label, id), without ord: of every other column the last value by ord that isn't null. Values combine before they move."""
+    columns = [c for c in rows.columns if c not in ("label", "id", "ord")]
+    return rows.groupBy("label", "id").agg(*[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("ord"))).alias(c) for c in columns])
+
+
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """old with new merged in by (label, id): a value that new has overwrites, one that it lacks stays. In new the last by ord wins, column by column."""
     columns = [c for c in old.columns if c not in ("label", "id")]
-    last = new.groupBy("label", "id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in columns])
+    last = last_properties(new.select("label", "id", *columns, "ord"))
     both = old.alias("o").join(last.alias("n"), ["label", "id"], "full")
     return both.select("label", "id", *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in columns])
 

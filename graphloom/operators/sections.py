@@ -70,24 +70,40 @@ def projection_counts(nodes: DataFrame, pairs: DataFrame, partition: DataFrame,
     return kept.join(pairs.agg(F.count("*").alias("edges")), F.lit(True)).join(partition.agg(F.countDistinct("community").alias("communities")), F.lit(True))  # one row each
 
 
+CHUNK_PROPERTIES = ["text", "section_title", "ata", "page_start", "page_end", "word_count", "global_seq", "section_id"]
+
+
+def stacked(*tables: DataFrame) -> DataFrame:
+    """All rows of tables whose columns differ: a column that one lacks is null there, and one of unlike types becomes text."""
+    kinds: dict[str, set[str]] = {}
+    for t in tables:
+        for name, kind in t.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    out = None
+    for t in tables:
+        t = t.select(*[F.col(f"`{c}`").cast("string").alias(c) if len(kinds[c]) > 1 else F.col(f"`{c}`") for c in t.columns])
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def build_graph(chunks: DataFrame, entities: DataFrame, relationships: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a corpus: chunks, sections and entities as nodes; adjacency, containment, sections and relationships as edges between nodes that exist.
+    """(nodes, edges) of a corpus: sections, chunks and entities as nodes with all their properties; adjacency, containment, sections and relationships as edges between nodes that exist.
 
-    chunks: chunk_id, section_id, section_title, ata, level, text, global_seq; entities: id, type, name, ata,
-    source_chunks; relationships: source, target, type; embeddings: id, embedding. Nodes come before edges, so that an
-    edge to an entity counts whatever its order; an id of several entities keeps its first by name."""
-    c = with_embeddings(chunks, embeddings.withColumnRenamed("id", "id"), "chunk_id")
+    chunks: chunk_id, section_id, section_title, ata, level, text, global_seq and what else of CHUNK_PROPERTIES they have; entities: id, type, source_chunks
+    (comma-joined or a list) and any properties, by ord where they have it; relationships: source, target, type; embeddings: id, embedding. nodes have label, id
+    and one column a property (null where a node lacks it; unlike types become text). Of a (label, id) that comes more than once, the last to have a property gives
+    it: chunks by global_seq, entities by ord, else in the tables' order. Blank ids make no node. Nodes come before edges, so that an edge counts whatever its order."""
     sections = sections_of(chunks)
-    things = with_embeddings(entities.filter(T.truthy(F.col("id")).isNotNull()), embeddings, "id")
-    nodes = c.select(F.col("chunk_id").alias("id"), F.lit("Chunk").alias("label"), F.col("section_title").alias("name"), "ata", "embedding")
-    nodes = nodes.unionAll(sections.select("id", F.lit("DocumentSection").alias("label"), F.col("title").alias("name"), "ata", F.lit(None).cast("array<float>").alias("embedding")))
-    nodes = nodes.unionAll(things.select("id", graph.label_of(F.col("type")).alias("label"), "name", "ata", "embedding"))
-    nodes = nodes.groupBy("label", "id").agg(F.min(F.struct("name", "ata", "embedding")).alias("p")).select("id", "label", "p.*")
-    edges = chunking.adjacent(chunks, "global_seq").unionAll(section_edges(chunks, sections)).unionAll(graph.contains_edges(entities, chunks)).unionAll(relationships.select(F.col("source").alias("src"), F.col("target").alias("dst"), "type"))
-    return nodes, graph.upsert_edges(edges, nodes)
-
-
-def store_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph as tables by label and by type, for readers that want some of them."""
-    nodes.write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
+    held = chunks.filter(T.truthy(F.col("chunk_id")).isNotNull())
+    c = with_embeddings(held.select(F.col("chunk_id").alias("id"), *[p for p in CHUNK_PROPERTIES if p in chunks.columns], F.col("global_seq").cast("long").alias("ord")), embeddings, "id")
+    named = entities.withColumn("id", F.trim("id")).filter(T.truthy(F.col("id")).isNotNull())
+    listed = dict(entities.dtypes)["source_chunks"].startswith("array")
+    named = named.withColumn("source_chunks", F.col("source_chunks") if listed else F.filter(F.split(F.coalesce("source_chunks", F.lit("")), ","), lambda x: x != ""))
+    named = named.withColumn("ord", F.col("ord").cast("long") if "ord" in entities.columns else F.monotonically_increasing_id())
+    things = with_embeddings(named.withColumns({"label": graph.label_of(F.col("type")), "source_chunks": source_list(F.col("source_chunks"))}).drop("type"), embeddings, "id")
+    nodes = [sections.select(F.lit("DocumentSection").alias("label"), "id", "title", "ata", "level", F.lit(0).cast("long").alias("ord")), c.withColumn("label", F.lit("Chunk")), things]
+    nodes = graph.last_properties(graph.clean_properties(stacked(*nodes)))
+    edges = chunking.adjacent(held, "global_seq").unionAll(section_edges(chunks, sections))
+    edges = edges.unionAll(graph.contains_edges(named.withColumn("source_chunks", F.array_join("source_chunks", ",")), held))
+    kind = F.translate(F.upper(F.coalesce(T.truthy(F.col("type")), F.lit("CONNECTED_TO"))), " -", "__")
+    return nodes, graph.upsert_edges(edges.unionAll(relationships.select(F.trim("source").alias("src"), F.trim("target").alias("dst"), kind.alias("type"))), nodes)

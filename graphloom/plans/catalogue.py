@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from graphloom.config import CHAPTERS
 from graphloom.functions import jsons, vector
 from graphloom.functions import text as T
-from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, reports, resolution, retrieval, search, sections
+from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, reports, resolution, retrieval, search, sections, store
 from graphloom.plans.retrieve import Artefacts, retrieve
-from graphloom.sources.tables import table
+from graphloom.sources.tables import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -727,24 +728,69 @@ def projection_counts(spark, d):
 
 
 def _built(spark, d):
-    things = _resolved(spark, d).select("id", "type", F.col("norm_name").alias("name"), F.lit("00").alias("ata"), F.lit("K0-0,K1-1").alias("source_chunks"))
+    things = _resolved(spark, d).select("id", "type", F.col("norm_name").alias("name"), F.col("brand").alias("description"), F.lit("00").alias("ata"), "merged", "ord", F.array(F.lit("K0-0"), F.lit("K1-1")).alias("source_chunks"))
     rels = resolution.resolve_relationships(_rels(spark, d), _resolved(spark, d))
     return sections.build_graph(_section_chunks(spark, d), things, rels, _embedded(spark, d))
 
 
-@query(f"""{SQL_SECTION_CHUNKS}, {_SQL_SECTIONS}, {SQL_RESOLVED} SELECT 'Chunk' AS label, count(*) AS n, 0::BIGINT AS embedded FROM c UNION ALL SELECT 'DocumentSection', count(*), 0 FROM s
-UNION ALL SELECT 'Entity', count(*), count(*) FILTER (id IN (SELECT 'P' || vec_id FROM embeddings)) FROM res""")
+_SQL_BUILT_NODES = """bn AS (SELECT 'Chunk' AS label, chunk_id AS id, NULL AS name, NULL AS title, section_title, ata, nullif(text, '') AS text, section_id, NULL AS level, NULL AS description, NULL::BIGINT AS merged, NULL AS source_chunks, false AS embedded, global_seq FROM c
+UNION ALL SELECT 'DocumentSection', id, NULL, title, NULL, ata, NULL, NULL, level::VARCHAR, NULL, NULL, NULL, false, NULL FROM s
+UNION ALL SELECT 'Entity', id, norm_name, NULL, NULL, '00', NULL, NULL, NULL, brand, merged, 'K0-0,K1-1', id IN (SELECT 'P' || vec_id FROM embeddings), NULL FROM res)"""
+_SQL_BUILT_EDGES = f"""{SQL_RELS}, be AS (SELECT chunk_id AS src, lead(chunk_id) OVER (ORDER BY global_seq) AS dst, 'ADJACENT_TO' AS type FROM c UNION SELECT chunk_id, section_id, 'PART_OF_SECTION' FROM c
+UNION SELECT chunk_id, id, 'CONTAINS' FROM c, res WHERE chunk_id IN ('K0-0', 'K1-1') UNION SELECT rels.s, names.id, rels.type FROM rels JOIN res ON rels.s = res.id JOIN names ON names.norm_name = {SQL_DEDUP.format('rels.t')})"""
+_NODE_COLUMNS = "label, id, name, title, section_title, ata, md5(text) AS text, section_id, level, description, merged, source_chunks, embedded, global_seq"
+
+
+def _node_rows(nodes):
+    return nodes.select("label", "id", "name", "title", "section_title", "ata", F.md5("text").alias("text"), "section_id", F.col("level").cast("string").alias("level"), "description", "merged", "source_chunks", F.col("embedding").isNotNull().alias("embedded"), "global_seq")
+
+
+@query(f"{SQL_SECTION_CHUNKS}, {_SQL_SECTIONS}, {SQL_RESOLVED}, {_SQL_BUILT_NODES} SELECT {_NODE_COLUMNS} FROM bn")
 def built_nodes(spark, d):
-    nodes, _ = _built(spark, d)
-    return nodes.groupBy("label").agg(F.count("*").alias("n"), F.count("embedding").alias("embedded"))
+    """All nodes with all their properties."""
+    return _node_rows(_built(spark, d)[0])
 
 
-@query(f"""{SQL_SECTION_CHUNKS}, {SQL_RESOLVED}, {SQL_RELS}, e AS (SELECT chunk_id AS src, lead(chunk_id) OVER (ORDER BY global_seq) AS dst, 'ADJACENT_TO' AS type FROM c UNION SELECT chunk_id, section_id, 'PART_OF_SECTION' FROM c
-UNION SELECT chunk_id, id, 'CONTAINS' FROM c, res WHERE chunk_id IN ('K0-0', 'K1-1') UNION SELECT rels.s, names.id, rels.type FROM rels JOIN res ON rels.s = res.id JOIN names ON names.norm_name = {SQL_DEDUP.format('rels.t')})
-SELECT type, count(*) AS n FROM e WHERE dst IS NOT NULL GROUP BY type""")
+@query(f"{SQL_SECTION_CHUNKS}, {SQL_RESOLVED}, {_SQL_BUILT_EDGES} SELECT src, dst, type FROM be WHERE dst IS NOT NULL")
 def built_edges(spark, d):
-    _, edges = _built(spark, d)
-    return edges.groupBy("type").agg(F.count("*").alias("n"))
+    return _built(spark, d)[1]
+
+
+def _stored(spark, d):
+    """The built graph stored, then brought up to date: tools that are renamed, one that is new, an edge from it and one to nowhere."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    nodes, edges = _built(spark, d)
+    store.store_graph(nodes, edges, path, buckets=16)
+    renamed = table(spark, d, "supplier").select(F.lit("Entity").alias("label"), F.concat(F.lit("P"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("renamed").alias("description"), F.col("s_suppkey").alias("ord"))
+    ways = table(spark, d, "supplier").select(F.concat(F.lit("P"), "s_suppkey").alias("src"), F.lit("S1").alias("dst"), F.lit("LOCATED_IN").alias("type"))
+    store.upsert_graph(path, renamed, ways.unionAll(ways.withColumn("dst", F.lit("nowhere"))))
+    return store.open_graph(spark, path)
+
+
+@query(f"""{SQL_SECTION_CHUNKS}, {_SQL_SECTIONS}, {SQL_RESOLVED}, {_SQL_BUILT_NODES}, sup AS (SELECT 'P' || s_suppkey AS sid, s_name FROM supplier),
+st AS (SELECT * REPLACE (coalesce(s_name, name) AS name, CASE WHEN s_name IS NOT NULL THEN 'renamed' ELSE description END AS description) FROM bn LEFT JOIN sup ON label = 'Entity' AND id = sid
+UNION ALL SELECT 'Entity', sid, s_name, NULL, NULL, NULL, NULL, NULL, NULL, 'renamed', NULL, NULL, false, NULL, sid, s_name FROM sup WHERE sid NOT IN (SELECT id FROM bn WHERE label = 'Entity'))
+SELECT {_NODE_COLUMNS} FROM st""")
+def stored_graph_nodes(spark, d):
+    """The stored graph's nodes after a change, read back."""
+    return _node_rows(_stored(spark, d)[0])
+
+
+@query(f"{SQL_SECTION_CHUNKS}, {SQL_RESOLVED}, {_SQL_BUILT_EDGES} SELECT src, dst, type FROM be WHERE dst IS NOT NULL UNION SELECT 'P' || s_suppkey, 'S1', 'LOCATED_IN' FROM supplier")
+def stored_graph_edges(spark, d):
+    return _stored(spark, d)[1]
+
+
+_SQL_GRAPH_TEXTS = "SELECT id AS doc, concat_ws(' ', id, name, title, description, text, ata) AS x FROM bn"
+_SQL_GRAPH_ASKED = "SELECT n_nationkey AS query_id, n_name || ' the renamed 05 and Brand' AS query FROM nation"
+
+
+@query(f"{SQL_SECTION_CHUNKS}, {_SQL_SECTIONS}, {SQL_RESOLVED}, {_SQL_BUILT_NODES}, {_sql_bm25(_SQL_GRAPH_TEXTS, _SQL_GRAPH_ASKED, 8)} SELECT query_id, doc, score, rank FROM bm25 WHERE score > 0.3")
+def graph_keyword_search(spark, d):
+    """Full-text search over the built graph: names, titles, descriptions and chunk texts."""
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" the renamed 05 and Brand")).alias("query"))
+    held = search.new_index(_built(spark, d)[0], "id", *search.NODE_TEXTS)
+    return search.keyword_search(held, asked).select("query_id", "doc", "score", "rank")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size = 0 THEN NULL ELSE array_to_string(list_transform(range(1, p_size + 1), lambda i: 'K' || i)[1:10], ',') END AS source_chunks FROM part")

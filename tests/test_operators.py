@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import jsons
-from graphloom.operators import chunking, community, encoding, graph, ranking, reports, resolution, retrieval, sections
+from graphloom.operators import chunking, community, encoding, graph, ranking, reports, resolution, retrieval, sections, store
 from graphloom.sources import tables
+from graphloom.sources.versions import VersionedTables
 from graphloom.streaming.progress import extraction_stream
 
 
@@ -60,15 +61,59 @@ def test_judges_that_fail_score_nothing(spark):
     assert plain == {1: (0.0, 0.0), 2: (None, None)}
 
 
-def test_stored_graph(spark, tmp_path):
-    chunks = spark.createDataFrame([("c1", "s1", "One", "71", 1, "t", 0), ("c2", "s1", "Other", "72", 2, "t", 1), ("c3", None, None, None, None, "t", 2)], "chunk_id string, section_id string, section_title string, ata string, level int, text string, global_seq long")
-    things = spark.createDataFrame([("E1", "Tool", "Wrench", "71", "c1,zz"), ("", "Tool", "none", "71", "c1")], "id string, type string, name string, ata string, source_chunks string")
-    rels = spark.createDataFrame([("E1", "c2", "USED_IN"), ("E1", "nowhere", "USED_IN")], "source string, target string, type string")
+def _corpus(spark):
+    chunks = spark.createDataFrame([("c1", "s1", "One", "71", 1, "oil filter", 0), ("c2", "s1", "Other", "72", 2, "", 1), ("c3", None, None, None, None, "t", 2)], "chunk_id string, section_id string, section_title string, ata string, level int, text string, global_seq long")
+    things = spark.createDataFrame([("E1", "Tool", "Wrench", "71", "c1,zz", None, 0), (" E1 ", "Tool", "Spanner", None, "c1", "for filters", 1), ("", "Tool", "none", "71", "c1", None, 2), ("E2", "Gadget", None, "", None, None, 3)], "id string, type string, name string, ata string, source_chunks string, description string, ord int")
+    rels = spark.createDataFrame([("E1", "c2", "used-in"), (" E1", "c2", "USED IN"), ("E1", "nowhere", "USED_IN"), ("E2", "E1", None)], "source string, target string, type string")
     vectors = spark.createDataFrame([("c1", [1.0]), ("c1", [2.0])], "id string, embedding array<float>")
+    return chunks, things, rels, vectors
+
+
+def test_built_graph_keeps_all_properties_and_the_last_value(spark):
+    nodes, edges = sections.build_graph(*_corpus(spark))
+    got = {(r["label"], r["id"]): r for r in nodes.collect()}
+    assert set(got) == {("Chunk", "c1"), ("Chunk", "c2"), ("Chunk", "c3"), ("DocumentSection", "s1"), ("Tool", "E1"), ("Entity", "E2")}
+    assert (got["Tool", "E1"]["name"], got["Tool", "E1"]["ata"], got["Tool", "E1"]["description"], got["Tool", "E1"]["source_chunks"]) == ("Spanner", "71", "for filters", "c1")
+    assert (got["Chunk", "c1"]["text"], got["Chunk", "c2"]["text"], got["Chunk", "c1"]["section_id"], got["DocumentSection", "s1"]["title"]) == ("oil filter", None, "s1", "One")
+    assert got["Chunk", "c1"]["embedding"] is not None
+    assert got["Chunk", "c2"]["embedding"] is None
+    assert {(r["src"], r["type"], r["dst"]) for r in edges.collect()} == {("c1", "ADJACENT_TO", "c2"), ("c2", "ADJACENT_TO", "c3"), ("c1", "PART_OF_SECTION", "s1"), ("c2", "PART_OF_SECTION", "s1"), ("c1", "CONTAINS", "E1"), ("E1", "USED_IN", "c2"), ("E2", "CONNECTED_TO", "E1")}
+
+
+def test_stored_graph_changes_bucket_by_bucket(spark, tmp_path):
+    chunks, things, rels, vectors = _corpus(spark)
     nodes, edges = sections.build_graph(chunks, things, rels, vectors)
-    sections.store_graph(nodes, edges, str(tmp_path / "g"))
-    assert {(r["label"], r["id"], r["name"]) for r in spark.read.parquet(str(tmp_path / "g/nodes")).collect()} == {("Chunk", "c1", "One"), ("Chunk", "c2", "Other"), ("Chunk", "c3", None), ("DocumentSection", "s1", "One"), ("Tool", "E1", "Wrench")}
-    assert {(r["src"], r["type"], r["dst"]) for r in spark.read.parquet(str(tmp_path / "g/edges")).collect()} == {("c1", "ADJACENT_TO", "c2"), ("c2", "ADJACENT_TO", "c3"), ("c1", "PART_OF_SECTION", "s1"), ("c2", "PART_OF_SECTION", "s1"), ("c1", "CONTAINS", "E1"), ("E1", "USED_IN", "c2")}
+    path = str(tmp_path / "g")
+    store.store_graph(nodes, edges, path, buckets=8)
+    first = VersionedTables(spark, path).snapshot()
+    assert store.store_graph(nodes, edges.repartition(3), path) == {"nodes": [], "edges": []}
+    assert VersionedTables(spark, path).versions() == [1]
+    changed = nodes.withColumn("name", F.when(F.col("id") == "E1", "Driver").otherwise(F.col("name")))
+    touched = store.store_graph(changed, edges, path)
+    second = VersionedTables(spark, path).snapshot()
+    assert (len(touched["nodes"]), touched["edges"]) == (1, [])
+    assert {b for b, v in second.tables["nodes"].items() if v != first.tables["nodes"].get(b)} == {str(touched["nodes"][0])}
+    assert second.tables["edges"] == first.tables["edges"]
+    assert [r["name"] for r in store.nodes_by_id(spark, path, ["E1"]).collect()] == ["Driver"]
+    assert store.open_graph(spark, path, 1)[0].filter("id = 'E1'").first()["name"] == "Spanner"
+    # nodes are written, then edges fail: readers keep the version before
+    boom = F.udf(lambda s: 1 // 0 and s, "string")
+    with pytest.raises(Exception, match="ZeroDivision"):
+        store.store_graph(nodes, edges.withColumn("dst", boom("dst")), path)
+    assert [r["name"] for r in store.nodes_by_id(spark, path, ["E1"]).collect()] == ["Driver"]
+    more = spark.createDataFrame([("Tool", "E1", None, "x", 0), ("Tool", "E9", "Nine", None, 1)], "label string, id string, name string, maker string, ord long")
+    ways = spark.createDataFrame([("E9", "E1", "PART_OF"), ("E9", "gone", "PART_OF")], "src string, dst string, type string")
+    store.upsert_graph(path, more, ways)
+    now, links = store.open_graph(spark, path)
+    assert {(r["id"], r["name"], r["maker"]) for r in now.filter("label = 'Tool'").collect()} == {("E1", "Driver", "x"), ("E9", "Nine", None)}
+    assert links.count() == edges.count() + 1
+    assert store.upsert_graph(path, more.limit(0).select("label", "id", "name", "ord"), ways.limit(0)) == {"nodes": [], "edges": []}
+
+
+def test_clean_properties(spark):
+    rows = spark.createDataFrame([("", ["a", None], [(1, "x")], {"k": "v"}, 0)], "s string, l array<string>, d array<struct<a:int,b:string>>, m map<string,string>, n int")
+    got = graph.clean_properties(rows).first()
+    assert tuple(got) == (None, ["a", ""], ['{"a":1,"b":"x"}'], '{"k":"v"}', 0)
 
 
 def test_numbered(spark):
