@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,50 +32,95 @@ def modularity(pairs: DataFrame, partition: DataFrame, resolution: float = COMMU
     return total.select(F.round(F.coalesce(F.try_divide("inside", "m") - resolution * F.try_divide(F.col("squares"), 4 * F.col("m") * F.col("m")), F.lit(0.0)), 6).alias("q"))
 
 
-def _moves(weights: DataFrame, degrees: DataFrame, partition: DataFrame, m: float, resolution: float, parity: int) -> DataFrame:
-    """One synchronous round of local moves: nodes of a parity go where modularity gains most, ties to the smaller community."""
+def gaining_moves(weights: DataFrame, degrees: DataFrame, partition: DataFrame, m: float, resolution: float = COMMUNITY_RESOLUTION) -> DataFrame:
+    """(node, community, to, d, gain): of every node that gains by it alone, its best move into a neighbour's community, ties to the smaller one.
+
+    weights: a, b, w both ways round; degrees: node, d; gain is that of modularity times m, the weight of all edges."""
     of_b = partition.select(F.col("node").alias("b"), F.col("community").alias("to"))
     links = weights.filter("a <> b").join(of_b, "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("links"))
-    mass = partition.join(degrees, "node").groupBy(F.col("community").alias("to")).agg(F.sum("d").alias("mass"))
     own = partition.join(degrees, "node")
+    mass = own.groupBy(F.col("community").alias("to")).agg(F.sum("d").alias("mass"))
     tried = links.join(mass, "to").join(own, "node")
-    gain = F.col("links") - resolution * F.col("d") * (F.col("mass") - F.when(F.col("to") == F.col("community"), F.col("d")).otherwise(0.0)) / (2 * m)
-    best = tried.groupBy("node").agg(F.max_by(F.struct("to", gain.alias("g")), F.struct(gain.alias("g"), -F.xxhash64("to"))).alias("best"), F.max(F.when(F.col("to") == F.col("community"), gain)).alias("stay"))
-    alone = -resolution * F.col("d") * (F.col("mass") - F.col("d")) / (2 * m)
-    now = own.join(mass.withColumnRenamed("to", "community"), "community").join(best, "node", "left")
-    move = (F.pmod(F.xxhash64("node"), F.lit(2)) == parity) & F.col("best").isNotNull() & (F.col("best")["g"] > F.coalesce("stay", alone) + 1e-12)
-    return now.select("node", F.when(move, F.col("best")["to"]).otherwise(F.col("community")).alias("community"))
-
-
-def louvain(pairs: DataFrame, resolution: float = COMMUNITY_RESOLUTION, levels: int = 4, rounds: int = 6, least_gain: float = 1e-7) -> DataFrame:
-    """(node, community) of every end of pairs (a, b): rounds of local moves until modularity stops to grow, then the same over communities as nodes.
-
-    Each round is joins and sums over edges; alternating halves of the nodes move, so that neighbours
-    don't swap. checkpoint() ends lineage a round, in the folder that the session names. A round that doesn't raise
-    modularity is not taken, so the result is never worse than every node by itself."""
-    weights = pairs.select("a", "b", F.lit(1.0).alias("w"))
-    weights = settled(weights.unionAll(weights.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    m = (weights.agg(F.sum("w")).first()[0] or 0.0) / 2
-    result = settled(weights.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
-    if not m:
-        return result
-    for _ in range(levels):
-        degrees = settled(weights.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d")))
-        partition = degrees.select("node", F.col("node").alias("community"))
-        once = weights.filter("a <= b").select("a", "b", F.when(F.col("a") == F.col("b"), F.col("w") / 2).otherwise(F.col("w")).alias("w"))
-        q = start = modularity(once, partition, resolution).first()["q"]
-        for at in range(rounds):
-            moved = settled(_moves(weights, degrees, partition, m, resolution, at % 2))
-            now = modularity(once, moved, resolution).first()["q"]
-            if now < q or now == q and at % 2:
+    here = F.col("to") == F.col("community")
+    value = F.col("links") - resolution * F.col("d") * (F.col("mass") - F.when(here, F.col("d")).otherwise(0.0)) / (2 * m)
+    best = tried.groupBy("node").agg(F.min(F.struct((-value).alias("v"), "to")).alias("best"), F.max(F.when(here, F.col("links"))).alias("kept"))
+    now = best.join(own.join(mass.withColumnRenamed("to", "community"), "community"), "node")
+    stay = F.coalesce("kept", F.lit(0.0)) - resolution * F.col("d") * (F.col("mass") - F.col("d")) / (2 * m)
+    moves = now.select("node", "community", F.col("best.to").alias("to"), "d", (-F.col("best.v") - stay).alias("gain"))
+    return moves.filter((F.col("to") != F.col("community")) & (F.col("gain") > 1e-9))
+
+
+def independent_moves(moves: DataFrame, m: float, resolution: float, turn: int) -> DataFrame:
+    """Of moves those that raise modularity when they are made at once, whatever the others do.
+
+    A move counts as the first of its community if none that leaves or enters it gains more. On even turns a hash parts communities into those that are
+    left and those that are entered: then two moves can only take from each other by their degrees' product, and a move is made if its gain exceeds
+    what all others of its two communities may take, or if it is the first of both. On odd turns moves that are the first of both
+    communities are made, which share no community with each other. Only sums and firsts by community meet."""
+    if turn % 2 == 0:
+        coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2))
+        moves = moves.filter((coin("community") == 0) & (coin("to") == 1))
+    rank = F.struct("gain", F.xxhash64("node", F.lit(turn)).alias("h"), "node")
+    ends = moves.select(F.explode(F.array("community", "to")).alias("c"), rank.alias("r"), "d")
+    by = ends.groupBy("c").agg(F.max("r").alias("first"), F.sum("d").alias("mass"))
+    side = lambda c: by.select(F.col("c").alias(c), F.col("first.node").alias(f"first_{c}"), F.col("mass").alias(f"mass_{c}"))
+    held = moves.join(side("community"), "community").join(side("to"), "to")
+    chosen = (F.col("first_community") == F.col("node")) & (F.col("first_to") == F.col("node"))
+    if turn % 2 == 0:
+        taken = resolution * F.col("d") * (F.col("mass_community") + F.col("mass_to") - 2 * F.col("d")) / (2 * m)
+        chosen = chosen | (F.col("gain") > taken)
+    return held.filter(chosen).select("node", "to")
+
+
+def settled_moves(weights: DataFrame, partition: DataFrame, m: float, resolution: float = COMMUNITY_RESOLUTION, most: int = 100_000) -> tuple[DataFrame, bool]:
+    """partition (node, community) after moves of single nodes until none gains any more, and whether there was any.
+
+    Every turn raises modularity, so this ends; most turns are allowed before it is called an error. Each turn is a few joins and sums over edges, and writes the partition."""
+    degrees = settled(weights.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d")))
+    moved = False
+    for turn in range(most):
+        moves = settled(gaining_moves(weights, degrees, partition, m, resolution))
+        if moves.isEmpty():
+            return partition, moved
+        made = independent_moves(moves, m, resolution, turn)
+        partition, moved = settled(partition.join(made, "node", "left").select("node", F.coalesce("to", "community").alias("community"))), True
+    raise RuntimeError(f"communities not settled after {most} turns")
+
+
+def aggregated(weights: DataFrame, partition: DataFrame) -> DataFrame:
+    """The graph whose nodes are communities: (a, b, w) both ways round, edges inside one as its loop."""
+    ca, cb = partition.select(F.col("node").alias("a"), F.col("community").alias("ca")), partition.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    return settled(weights.join(ca, "a").join(cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+
+
+def louvain(pairs: DataFrame, resolution: float = COMMUNITY_RESOLUTION, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, community) of every end of pairs (a, b[, w]) and every row of nodes (id); communities are named by one of their nodes.
+
+    Single nodes move until none gains; then communities move as nodes do, level upon level, until none gains by joining another; then
+    single nodes again, from where they are now, and so on until neither moves. So in the result no node gains by moving to a neighbour's
+    community, and no community by joining another one. Modularity rises with every turn and is never below that of every node by itself. Loops and null ends are left out, an edge that
+    comes more than once counts by its weights; nodes without an edge are communities of their own."""
+    w = F.col("w").cast("double") if "w" in pairs.columns else F.lit(1.0)
+    rows = pairs.select("a", "b", w.alias("w")).filter("a <> b")
+    base = settled(rows.unionAll(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    m = (base.agg(F.sum("w")).first()[0] or 0.0) / 2
+    result = settled(base.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    while m:
+        result, moved = settled_moves(base, result, m, resolution)
+        level, merged = aggregated(base, result), False
+        while True:
+            own = level.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
+            joined, some = settled_moves(level, settled(own), m, resolution)
+            if not some:
                 break
-            partition, q = moved, now
-        if q - start <= least_gain:
+            merged = True
+            result = settled(result.join(joined.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")))
+            level = aggregated(level, joined)
+        if not merged:
             break
-        of = partition.select(F.col("node").alias("community"), F.col("community").alias("next"))
-        result = settled(result.join(of, "community").select("node", F.col("next").alias("community")))
-        ca, cb = partition.select(F.col("node").alias("a"), F.col("community").alias("ca")), partition.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        weights = settled(weights.join(ca, "a").join(cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    if nodes is not None:
+        alone = nodes.select(F.col("id").alias("node")).filter("node is not null").distinct().join(result, "node", "left_anti")
+        result = result.unionByName(alone.select("node", F.col("node").alias("community")))
     return result
 
 
@@ -101,4 +147,9 @@ def summarised(communities: DataFrame, write: Callable[[str], str] | None = None
     """communities with summary; without a writer, a fixed sentence of the size."""
     if write is None:
         return communities.withColumn("summary", F.concat(F.lit("Community of "), F.col("size").cast("string"), F.lit(" entities.")))
-    return communities.withColumn("summary", F.udf(write, "string")(F.col("summary")))
+
+    @F.pandas_udf("string")
+    def written(texts: pd.Series) -> pd.Series:
+        return texts.map(write, na_action="ignore")
+
+    return communities.withColumn("summary", written(F.col("summary")))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.config import CHAPTERS
+from graphloom.config import CHAPTERS, PROJECTION_EXCLUDES
 from graphloom.functions import jsons, vector
 from graphloom.functions import text as T
 from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, reports, resolution, retrieval, search, sections, store
@@ -437,9 +437,13 @@ def modularity_score(spark, d):
     return community.modularity(community.projection(_nodes(spark, d), _edges(spark, d)), _partition(spark, d))
 
 
+def _projected(spark, d):
+    return _nodes(spark, d).filter(~F.col("label").isin(PROJECTION_EXCLUDES)).select("id")
+
+
 @query()
 def louvain_partition(spark, d):
-    return community.louvain(community.projection(_nodes(spark, d), _edges(spark, d)))
+    return community.louvain(community.projection(_nodes(spark, d), _edges(spark, d)), nodes=_projected(spark, d))
 
 
 @query()

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,73 @@ def test_louvain(spark):
     assert q > 0.2
 
 
+def _moves_that_gain(pairs, found, resolution=1.0):
+    """Nodes that would gain by moving to a neighbour's community, and communities that would by joining, in plain Python."""
+    near, degree = {}, {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    degree = {n: len(x) for n, x in near.items()}
+    m, mass = len(pairs), {}
+    for n, c in found.items():
+        mass[c] = mass.get(c, 0) + degree.get(n, 0)
+    out = []
+    for n, others in near.items():
+        links = {}
+        for o in others:
+            links[found[o]] = links.get(found[o], 0) + 1
+        worth = {c: links.get(c, 0) - resolution * degree[n] * (mass[c] - (degree[n] if c == found[n] else 0)) / (2 * m) for c in {*links, found[n]}}
+        if max(worth.values()) > worth[found[n]] + 1e-6:
+            out.append(n)
+    across = {}
+    for a, b in pairs:
+        if found[a] != found[b]:
+            key = tuple(sorted((found[a], found[b])))
+            across[key] = across.get(key, 0) + 1
+    return out + [k for k, w in across.items() if w - resolution * mass[k[0]] * mass[k[1]] / (2 * m) > 1e-6]
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "cliques"])
+def test_louvain_settles_where_no_move_gains(spark, kind):
+    rng = random.Random(8)
+    n = 200
+    if kind == "chain":
+        pairs = [(i, i + 1) for i in range(n)]
+    elif kind == "star":
+        pairs = [(0, i) for i in range(1, n)] + [(i, i + 1) for i in range(1, n, 7)]
+    elif kind == "cliques":
+        pairs = [(8 * c + i, 8 * c + j) for c in range(20) for i in range(8) for j in range(i)] + [(8 * c, 8 * c + 8) for c in range(19)]
+    else:
+        pairs = sorted({tuple(sorted(rng.sample(range(100), 2))) for _ in range(250)})
+    names = [(f"n{a:05d}", f"n{b:05d}") for a, b in pairs]
+    frame = spark.createDataFrame([*names, ("n00000", "n00000"), (None, "x")], "a string, b string")
+    alone = spark.createDataFrame([("alone",), ("n00001",), (None,)], "id string")
+    found = {r["node"]: r["community"] for r in community.louvain(frame, nodes=alone).collect()}
+    assert set(found) == {x for p in names for x in p} | {"alone"}
+    assert found.pop("alone") == "alone"
+    assert _moves_that_gain(names, found) == []
+    if kind == "cliques":
+        assert all(len({found[f"n{8 * c + i:05d}"] for i in range(8)}) == 1 for c in range(20))
+
+
+def test_moves_made_at_once_raise_modularity_by_turn(spark):
+    rng = random.Random(9)
+    pairs = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(300)})
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    weights = frame.unionAll(frame.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("w", F.lit(1.0))
+    degrees = weights.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d"))
+    for start in (1, 7):
+        now = {n: n % start if start > 1 else n for n in range(80)}
+        partition = spark.createDataFrame(list(now.items()), "node long, community long")
+        for turn in range(4):
+            before = community.modularity(frame, partition).first()["q"]
+            made = community.independent_moves(community.gaining_moves(weights, degrees, partition, float(len(pairs))), float(len(pairs)), 1.0, turn).collect()
+            now |= {r["node"]: r["to"] for r in made}
+            partition = spark.createDataFrame(list(now.items()), "node long, community long")
+            after = community.modularity(frame, partition).first()["q"]
+            assert after > before if made else after == before
+
+
 def test_encoding_and_answers(spark):
     rows = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id int, t string")
     got = {r["id"]: r["embedding"] for r in encoding.encode(rows, "t", dim=8).collect()}
