@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphloom.config import REQUIREMENT_CODES
+from graphloom.functions.numbers import round_even
 
 # Patterns of structural features.
 STEP = r"(?m)^\s*(?:\(\d+\)|\d+[.\):]|Step\s+\d+:|[a-z][.\)])\s+\S"
@@ -153,7 +154,7 @@ def without_thoughts(x: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """Milliseconds as a label, and in which band they fall (ok, warn, bad)."""
+    """In which band milliseconds fall: ok, warn, bad."""
     return F.when(ms >= 30000, "bad").when(ms >= 5000, "warn").otherwise("ok")
 
 
@@ -165,9 +166,9 @@ def short_label(x: Column, most: int = 16) -> Column:
 def keyword_recall(answer: Column, keywords: Column) -> Column:
     """Share of keywords that the answer holds, in any case; 1 of none."""
     hit = F.size(F.filter(keywords, lambda k: F.contains(F.lower(answer), F.lower(k)))).cast("double")
-    return F.when(F.size(keywords) == 0, 1.0).otherwise(F.round(hit / F.size(keywords), 3))
+    return F.when(F.size(keywords) == 0, 1.0).otherwise(round_even(hit / F.size(keywords), 3))
 
 
 def relative_gain(base: Column, now: Column) -> Column:
     """Percent of the room above base that now fills; 0 where base leaves none."""
-    return F.when(base >= 1, 0.0).otherwise(F.round((now - base) / F.when(base < 1, 1 - base) * 100, 1))
+    return F.when(base >= 1, 0.0).otherwise(round_even((now - base) / F.when(base < 1, 1 - base) * 100, 1))

@@ -63,11 +63,11 @@ def section_texts(pages: DataFrame, section: str, order: str, text: str) -> Data
     return rows.agg(F.array_join(parts, "\n").alias("text"), (F.min(order) + 1).alias("page_start"), (F.max(order) + 1).alias("page_end"))
 
 
-def toc_ends(toc: DataFrame, last_page: int) -> DataFrame:
-    """A table of contents (idx, level, page_1[, doc]) with id and page_start and page_end from 0: an entry ends before the next of its level or above, whatever the levels' numbers.
+def toc_ends(toc: DataFrame, last_page: int | None) -> DataFrame:
+    """A table of contents (idx, level, page_1[, doc, last_page]) with id and page_start and page_end from 0: an entry ends before the next of its level or above, whatever the levels' numbers.
 
     Entries of a document are gone through from the last, with a stack of those that may end an earlier one: of
-    lower and lower levels. Documents are groups; a table without doc is one document's."""
+    lower and lower levels. Documents are groups; a table without doc is one document's. With last_page None each document's is in its rows."""
     own = "doc" in toc.columns
     rows = toc if own else toc.withColumn("doc", F.lit(0))
     schema = T_.StructType([*rows.schema.fields, T_.StructField("_end", T_.LongType())])
@@ -79,7 +79,7 @@ def toc_ends(toc: DataFrame, last_page: int) -> DataFrame:
         for level, page in zip(part["level"].tolist(), part["page_1"].tolist(), strict=True):
             while stack and stack[-1][0] > level:
                 stack.pop()
-            ends.append(max(0, stack[-1][1] - 2) if stack else last_page)
+            ends.append(max(0, stack[-1][1] - 2) if stack else int(part["last_page"].iloc[0]) if last_page is None else last_page)
             stack.append((level, page))
         return part.assign(_end=ends)
 
@@ -89,10 +89,13 @@ def toc_ends(toc: DataFrame, last_page: int) -> DataFrame:
 
 
 def pages_to_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Each page (page_idx) with the deepest section that spans it, the first of those; the first section of all if none does.
+    """Each page (page_idx[, doc]) with section_idx: the deepest section (idx, level, page_start, page_end[, doc]) that spans it, the first of those; its document's first section if none does.
 
     Sections are opened to the pages they span, so the range join is an equi join, and the best of a page is an aggregate that combines before it moves."""
-    opened = sections.filter(F.col("page_end") >= F.col("page_start")).select("idx", "level", F.explode(F.sequence("page_start", "page_end")).alias("page_idx"))
-    owner = opened.groupBy("page_idx").agg(F.max_by("idx", F.struct(F.col("level"), -F.col("idx"))).alias("section_idx"))
-    first = sections.agg(F.min("idx").alias("first")).first()["first"]
-    return pages.join(owner, "page_idx", "left").withColumn("section_idx", F.coalesce("section_idx", F.lit(first)))
+    by = ["doc"] if "doc" in pages.columns else []
+    opened = sections.filter(F.col("page_end") >= F.col("page_start")).select(*by, "idx", "level", F.explode(F.sequence("page_start", "page_end")).alias("page_idx"))
+    owner = opened.groupBy(*by, "page_idx").agg(F.max_by("idx", F.struct(F.col("level"), -F.col("idx"))).alias("section_idx"))
+    first = sections.groupBy(*by).agg(F.min("idx").alias("_first"))
+    held = pages.join(owner, [*by, "page_idx"], "left")
+    held = held.join(first, by, "left") if by else held.join(F.broadcast(first), F.lit(True), "left")  # one row where there are no documents to tell apart
+    return held.withColumn("section_idx", F.coalesce("section_idx", "_first")).drop("_first")

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions import jsons
@@ -17,6 +17,8 @@ RESULT = "entities array<struct<id string, type string, name string, text string
 # The ontology's types.
 ENTITY_TYPES = ["ATAChapter", "Section", "Task", "Step", "Component", "System", "Tool", "Consumable", "PartNumber", "Warning", "Caution", "Note", "InspectionInterval", "Requirement", "Measurement", "Defect", "Chunk", "Community"]
 
+RELATIONSHIP_TYPES = ["CONTAINS", "PART_OF", "PRECEDES", "PART_OF_SECTION", "ADJACENT_TO", "REQUIRES_TOOL", "USES_CONSUMABLE", "APPLIES_TO", "REFERENCES", "USES_PART", "WARNS_BEFORE", "WARNS_ABOUT", "GOVERNS", "HAS_INTERVAL", "HAS_MEASUREMENT", "SOURCED_FROM", "MEMBER_OF", "CONTAINS_ENTITY"]
+
 
 def prompt(title: Column, chapter: Column, body: Column, hints: dict[str, Column]) -> Column:
     """What a model is asked of a chunk; each hint's line is there only if its condition holds."""
@@ -72,5 +74,32 @@ def checked(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entities.filter(good), entities.filter(~good)
 
 
+def judged_items(results: DataFrame) -> DataFrame:
+    """(chunk_id, what, pos, item, reason): every entity and relationship of results (chunk_id, parsed), as JSON, and why it isn't valid; null where it is.
+
+    An entity needs an id and a known type. A relationship's ends are from or source and to or target, which it needs, its type (CONNECTED_TO where
+    it has none) counts in upper case with underscores and has to be known, and its confidence, 1 where it has none, lies from 0 to 1."""
+    e, r = F.col("x"), F.col("x")
+    blank = lambda *c: T.first_truthy(*c).isNull()
+    entity = F.when(blank(e["id"]), "no id").when(~F.coalesce(e["type"].isin(ENTITY_TYPES), F.lit(False)), "unknown type")
+    kind = F.translate(F.upper(F.coalesce(r["type"], F.lit("CONNECTED_TO"))), " -", "__")
+    sure = F.coalesce(r["confidence"], F.lit(1.0))
+    way = F.when(blank(r["from"], r["source"]), "no source").when(blank(r["to"], r["target"]), "no target").when(~kind.isin(RELATIONSHIP_TYPES), "unknown type").when(~(sure.between(0.0, 1.0)), "confidence out of range")
+    pick = lambda what, reason: results.select("chunk_id", F.lit(what).alias("what"), F.posexplode(f"parsed.{what}").alias("pos", "x")).select("chunk_id", "what", "pos", F.to_json("x").alias("item"), reason.alias("reason"))
+    return pick("entities", entity).unionAll(pick("relationships", way))
+
+
+def validated_load(results: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Valid items, the quarantine, and counts of both by kind: written under path in one pass over results, counted while it runs.
+
+    The counts are what the write itself saw, so they are those of the files. A second load to the same path replaces the first."""
+    seen = Observation()
+    items = judged_items(results).withColumn("verdict", F.when(F.col("reason").isNull(), "valid").otherwise("quarantine"))
+    counts = [F.count_if((F.col("what") == w) & (F.col("verdict") == v)).alias(f"{w}_{v}") for w in ("entities", "relationships") for v in ("valid", "quarantine")]
+    items.observe(seen, *counts, F.count("*").alias("items")).write.mode("overwrite").partitionBy("verdict").parquet(path)
+    rows = results.sparkSession.read.schema(items.schema).parquet(path)
+    return rows.filter("verdict = 'valid'").drop("verdict", "reason"), rows.filter("verdict = 'quarantine'").drop("verdict"), seen.get
+
+
 def counts(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if(F.col("error").isNull() & F.col("parsed").isNotNull()).alias("ok"), F.count_if(F.col("error").isNotNull() | F.col("parsed").isNull()).alias("failed"), F.coalesce(F.sum(F.size("parsed.entities")), F.lit(0)).alias("n_entities"), F.coalesce(F.sum(F.size("parsed.relationships")), F.lit(0)).alias("n_relationships"))

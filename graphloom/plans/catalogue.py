@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from graphloom.config import CHAPTERS, PROJECTION_EXCLUDES
 from graphloom.functions import jsons, vector
 from graphloom.functions import text as T
+from graphloom.functions.numbers import round_even, sql_round_even
 from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, reports, resolution, retrieval, search, sections, store
 from graphloom.plans.retrieve import Artefacts, retrieve
-from graphloom.sources.tables import shared_dir, table
+from graphloom.sources import documents
+from graphloom.sources.tables import settled, shared_dir, table
+from graphloom.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -522,7 +525,8 @@ def snippets(spark, d):
 
 # -- evaluation: events stand for answered questions
 
-SQL_EVAL = "ev AS (SELECT event_id AS id, event_type AS mode, value * 100 AS total_ms, value * 60 + user_id AS llm_ms, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE '' END AS error, round((CASE WHEN contains(lower(props), '1') THEN 1 ELSE 0 END + CASE WHEN contains(lower(props), 'k') THEN 1 ELSE 0 END + CASE WHEN contains(lower(props), '7') THEN 1 ELSE 0 END)::DOUBLE / 3, 3) AS keyword_recall FROM events)"
+_HITS = "(CASE WHEN contains(lower(props), '1') THEN 1 ELSE 0 END + CASE WHEN contains(lower(props), 'k') THEN 1 ELSE 0 END + CASE WHEN contains(lower(props), '7') THEN 1 ELSE 0 END)::DOUBLE / 3"
+SQL_EVAL = f"ev AS (SELECT event_id AS id, event_type AS mode, value * 100 AS total_ms, value * 60 + user_id AS llm_ms, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE '' END AS error, {sql_round_even(_HITS, 3)} AS keyword_recall FROM events)"
 
 
 def _answers(spark, d):
@@ -535,7 +539,8 @@ def keyword_recall(spark, d):
     return _answers(spark, d).select("id", "keyword_recall", "retrieval_ms")
 
 
-_SUMMARY = "sm AS (SELECT mode, count(*) AS queries_total, count(*) FILTER (error = '') AS queries_successful, count(*) FILTER (error <> '') AS queries_failed, coalesce(round(median(total_ms) FILTER (error = ''), 1), 0) AS total_ms_p50, coalesce(round(avg(total_ms) FILTER (error = ''), 1), 0) AS total_ms_avg, coalesce(round(avg(keyword_recall) FILTER (error = ''), 3), 0) AS keyword_recall_avg FROM ev GROUP BY mode)"
+_SUMMARY = f"""sr AS (SELECT mode, count(*) AS queries_total, count(*) FILTER (error = '') AS queries_successful, count(*) FILTER (error <> '') AS queries_failed, median(total_ms) FILTER (error = '') AS r50, avg(total_ms) FILTER (error = '') AS ravg, avg(keyword_recall) FILTER (error = '') AS rkeep FROM ev GROUP BY mode),
+sm AS (SELECT mode, queries_total, queries_successful, queries_failed, coalesce({sql_round_even('r50', 1)}, 0) AS total_ms_p50, coalesce({sql_round_even('ravg', 1)}, 0) AS total_ms_avg, coalesce({sql_round_even('rkeep', 3)}, 0) AS keyword_recall_avg FROM sr)"""
 
 
 @query(f"WITH {SQL_EVAL}, {_SUMMARY} SELECT * FROM sm")
@@ -543,12 +548,12 @@ def eval_summary(spark, d):
     return evaluation.summarised(_answers(spark, d))
 
 
-@query(f"WITH {SQL_EVAL}, {_SUMMARY} SELECT round(o.keyword_recall_avg - b.keyword_recall_avg, 3) AS absolute_gain, CASE WHEN b.keyword_recall_avg >= 1 THEN 0 ELSE round((o.keyword_recall_avg - b.keyword_recall_avg) / (1 - b.keyword_recall_avg) * 100, 1) END AS relative_gain_pct, round(o.total_ms_avg - b.total_ms_avg, 1) AS latency_delta_ms FROM sm b, sm o WHERE b.mode = 'click' AND o.mode = 'view'")
+@query(f"WITH {SQL_EVAL}, {_SUMMARY} SELECT {sql_round_even('o.keyword_recall_avg - b.keyword_recall_avg', 3)} AS absolute_gain, CASE WHEN b.keyword_recall_avg >= 1 THEN 0 ELSE {sql_round_even('(o.keyword_recall_avg - b.keyword_recall_avg) / (1 - b.keyword_recall_avg) * 100', 1)} END AS relative_gain_pct, {sql_round_even('o.total_ms_avg - b.total_ms_avg', 1)} AS latency_delta_ms FROM sm b, sm o WHERE b.mode = 'click' AND o.mode = 'view'")
 def eval_comparison(spark, d):
     return evaluation.compared(evaluation.summarised(_answers(spark, d)), "click", "view")
 
 
-@query("SELECT round(avg(CASE WHEN user_id % 5 <> 0 THEN value END), 3) AS faithfulness, round(avg(CASE WHEN user_id < 0 THEN value END), 3) AS relevancy FROM events")
+@query(f"SELECT {sql_round_even('f', 3)} AS faithfulness, {sql_round_even('r', 3)} AS relevancy FROM (SELECT avg(CASE WHEN user_id % 5 <> 0 THEN value END) AS f, avg(CASE WHEN user_id < 0 THEN value END) AS r FROM events)")
 def nullable_averages(spark, d):
     return evaluation.averages(table(spark, d, "events").select(F.when(F.col("user_id") % 5 != 0, F.col("value")).alias("faithfulness"), F.when(F.col("user_id") < 0, F.col("value")).alias("relevancy")), "faithfulness", "relevancy")
 
@@ -602,12 +607,17 @@ def encoded_documents(spark, d):
     return rows.select("doc_id", F.size("vector").alias("dim"), F.round(vector.dot(F.col("vector"), F.col("vector")), 4).alias("norm"))
 
 
-@query()
+_SQL_FOUND = r"""fd AS (SELECT {key} AS chunk_id, 'PartNumber' AS type, unnest(regexp_extract_all(text, '\b\d{{3,}}\s*[\-]\s*\d{{3,}}\b')) AS text, generate_subscripts(regexp_extract_all(text, '\b\d{{3,}}\s*[\-]\s*\d{{3,}}\b'), 1) - 1 AS ord FROM {rows}
+UNION ALL SELECT {key}, 'Measurement', unnest(regexp_extract_all(text, '(?i)\b\d+(?:[.,]\d+)?\s*(?:Nm|N\.m|ft\.?lb|bar|psi|mm|cm|°[CF]|kPa)\b')), generate_subscripts(regexp_extract_all(text, '(?i)\b\d+(?:[.,]\d+)?\s*(?:Nm|N\.m|ft\.?lb|bar|psi|mm|cm|°[CF]|kPa)\b'), 1) - 1 FROM {rows}
+UNION ALL SELECT {key}, 'Warning', unnest(regexp_extract_all(text, '(?i)\bWARNING\b[^.]*')), generate_subscripts(regexp_extract_all(text, '(?i)\bWARNING\b[^.]*'), 1) - 1 FROM {rows})"""
+
+
+@query(f"WITH {SQL_CHUNKS}, {_SQL_FOUND.format(key='chunk_id', rows='chunks')} SELECT chunk_id, upper(type) || '-' || chunk_id || '-' || ord AS id, type, text, CAST(ord AS INTEGER) AS ord FROM fd")
 def extracted_entities(spark, d):
     return encoding.extract(_chunks(spark, d))
 
 
-@query()
+@query("SELECT count(*) AS ok, 0::BIGINT AS failed, count(*) AS n_entities, count(*) FILTER (user_id % 2 = 0) AS n_relationships FROM events")
 def extraction_counts(spark, d):
     """Events' properties stand for model results, some cut short."""
     raw = F.concat(F.lit('{"entities": [{"id": "E'), "event_id", F.lit('", "type": "Tool"}], "relationships": [{"from": "a", "to": "b"}'), F.when(F.col("user_id") % 2 == 0, "]}").otherwise(", {"))
@@ -879,3 +889,79 @@ def answer_blocks(spark, d):
 @query("SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 50)) AS confidence, CAST(floor(length(props) / 4) AS BIGINT) AS tokens FROM events")
 def clamped_confidence(spark, d):
     return table(spark, d, "events").select("event_id", reports.clamped(F.col("value") / 50).alias("confidence"), reports.token_estimate(F.col("props")).alias("tokens"))
+
+
+# -- documents read from files: each conversation is a file, each turn a page, some turns under a heading
+
+_SQL_FILES = r"""t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS page_idx, count(*) OVER (PARTITION BY conv_id) AS n_pages, conv_id % 3 <> 0 AND turn % 2 = 1 AS headed, 1 + turn % 3 AS level, role || ' ' || lpad((turn % 90)::VARCHAR, 2, '0') AS title,
+  regexp_replace(text, '[#\f]', '', 'g') AS body FROM conversations),
+pages AS (SELECT conv_id, page_idx, n_pages, regexp_replace(CASE WHEN page_idx = 0 THEN 'conv ' || conv_id || chr(10) ELSE '' END || CASE WHEN headed THEN repeat('#', level::INT) || ' ' || title || chr(10) ELSE '' END || body, '^\s+|\s+$', '', 'g') AS text FROM t),
+toc AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY page_idx) - 1 AS idx, level, title, page_idx + 1 AS page_1, n_pages FROM t WHERE headed
+  UNION ALL SELECT conv_id, 0, 1, 'Main Content', 1, max(n_pages) FROM t GROUP BY conv_id HAVING NOT bool_or(headed)),
+nx AS (SELECT a.conv_id, a.idx, min_by(b.page_1, b.idx) AS p FROM toc a JOIN toc b ON a.conv_id = b.conv_id AND b.idx > a.idx AND b.level <= a.level GROUP BY a.conv_id, a.idx),
+sec AS (SELECT toc.conv_id, toc.idx, level, title, page_1 - 1 AS page_start, CASE WHEN p IS NULL THEN n_pages - 1 ELSE greatest(0, p - 2) END AS page_end FROM toc LEFT JOIN nx ON toc.conv_id = nx.conv_id AND toc.idx = nx.idx)"""
+
+
+@query(rf"""WITH {_SQL_FILES}, own AS (SELECT pages.conv_id, page_idx, max_by(sec.idx, level * 1000 - sec.idx) AS idx FROM pages JOIN sec ON pages.conv_id = sec.conv_id AND page_idx BETWEEN page_start AND page_end GROUP BY ALL)
+SELECT pages.conv_id, pages.page_idx, md5(text) AS digest, printf('SEC-%04d', sec.idx + 1) AS id, level, title, CASE WHEN regexp_matches(title, '\b\d{{2}}\b') THEN regexp_extract(title, '\b(\d{{2}})\b', 1) ELSE '00' END AS ata, page_start, page_end
+FROM pages LEFT JOIN own ON pages.conv_id = own.conv_id AND pages.page_idx = own.page_idx JOIN sec ON sec.conv_id = pages.conv_id AND sec.idx = coalesce(own.idx, 0) WHERE text <> ''""")
+def paged_documents(spark, d):
+    """Conversations written as files of pages, read back through the data source with the section of each page."""
+    path = f"{shared_dir(spark)}/paged-{uuid.uuid4().hex}"
+    turn = F.struct("turn", F.concat(F.when((F.col("conv_id") % 3 != 0) & (F.col("turn") % 2 == 1), F.concat(F.expr("repeat('#', cast(1 + turn % 3 as int))"), F.lit(" "), "role", F.lit(" "), F.lpad((F.col("turn") % 90).cast("string"), 2, "0"), F.lit("\n"))).otherwise(F.lit("")), F.regexp_replace("text", r"[#\f]", "")).alias("page"))
+    files = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["page"]), "\f").alias("pages"))
+    files.select(F.concat(F.lit("conv "), "conv_id", F.lit("\n"), "pages")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = settled(documents.sections_read(spark, path, "*.txt"))
+    named = rows.filter("page_idx = 0").select("path", F.regexp_extract("text", r"^conv (\d+)", 1).cast("long").alias("conv_id"))
+    return rows.join(named, "path").select("conv_id", F.col("page_idx").cast("long").alias("page_idx"), F.md5("text").alias("digest"), "id", F.col("level").cast("long").alias("level"), "title", "ata", "page_start", "page_end")
+
+
+# -- numbers, validated loads, streams
+
+@query(f"SELECT event_id, {sql_round_even('value', 1)} AS p1, {sql_round_even('value / 3', 2)} AS p2, {sql_round_even('value / 80', 3)} AS p3, {sql_round_even('-value / 8', 0)} AS p0 FROM events")
+def rounded_values(spark, d):
+    """Rounding to the nearest decimal of the exact value, halves to even."""
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", round_even(v, 1).alias("p1"), round_even(v / 3, 2).alias("p2"), round_even(v / 80, 3).alias("p3"), round_even(-v / 8, 0).alias("p0"))
+
+
+_SQL_ITEMS = """ev AS (SELECT event_id::VARCHAR AS chunk_id, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'E' || event_id END AS id, CASE WHEN event_type = 'view' THEN 'Tool' WHEN event_type = 'click' THEN 'Gadget' END AS etype, CASE WHEN user_id % 4 = 0 THEN '' ELSE 'b' END AS dst, CASE WHEN event_type = 'view' THEN 'uses-part' WHEN event_type = 'click' THEN 'made up' END AS rtype, value / 100 AS sure FROM events),
+items AS (SELECT chunk_id, 'entities' AS what, CASE WHEN id = '' THEN 'no id' WHEN etype IS DISTINCT FROM 'Tool' THEN 'unknown type' END AS reason FROM ev
+UNION ALL SELECT chunk_id, 'relationships', CASE WHEN dst = '' THEN 'no target' WHEN rtype IS DISTINCT FROM 'uses-part' THEN 'unknown type' WHEN NOT sure BETWEEN 0 AND 1 THEN 'confidence out of range' END FROM ev)"""
+
+
+def _validated(spark, d):
+    """Events stand for model results of one entity and one relationship each."""
+    text = lambda c: c.cast("string")
+    kind = lambda a, b: F.when(F.col("event_type") == "view", a).when(F.col("event_type") == "click", b)
+    none = F.lit(None).cast("string")
+    entity = F.struct(F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("E"), "event_id")).alias("id"), kind("Tool", "Gadget").alias("type"), text(F.col("props")).alias("name"))
+    way = F.struct(F.lit("a").alias("from"), none.alias("to"), none.alias("source"), F.when(F.col("user_id") % 4 == 0, "").otherwise("b").alias("target"), kind("uses-part", "made up").alias("type"), (F.col("value") / 100).alias("confidence"))
+    rows = table(spark, d, "events").select(text(F.col("event_id")).alias("chunk_id"), F.struct(F.array(entity).alias("entities"), F.array(way).alias("relationships")).alias("parsed"))
+    return extraction.validated_load(rows, f"{shared_dir(spark)}/validated-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {_SQL_ITEMS} SELECT chunk_id, what, coalesce(reason, 'valid') AS reason FROM items")
+def validated_items(spark, d):
+    """What was loaded and what was set aside, and why."""
+    good, bad, _ = _validated(spark, d)
+    return good.select("chunk_id", "what", F.lit("valid").alias("reason")).unionAll(bad.select("chunk_id", "what", "reason"))
+
+
+@query(f"WITH {_SQL_ITEMS} SELECT count(*) FILTER (what = 'entities' AND reason IS NULL) AS entities_valid, count(*) FILTER (what = 'entities' AND reason IS NOT NULL) AS entities_quarantine, count(*) FILTER (what = 'relationships' AND reason IS NULL) AS relationships_valid, count(*) FILTER (what = 'relationships' AND reason IS NOT NULL) AS relationships_quarantine, count(*) AS items FROM items")
+def validated_counts(spark, d):
+    """The counters of the same load, as it saw them."""
+    counts = _validated(spark, d)[2]
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
+
+
+@query(f"WITH {_SQL_FOUND.format(key='doc_id::VARCHAR', rows='documents')} SELECT chunk_id, upper(type) || '-' || chunk_id || '-' || ord AS id, type, text, CAST(ord AS INTEGER) AS ord FROM fd")
+def streamed_extraction(spark, d):
+    """Documents through the extraction stream: run, run again from its checkpoint, and from a new one over the same rows."""
+    path = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    rows.write.parquet(f"{path}/in")
+    for state in ("first", "first", "second"):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+        progress.extraction_stream(stream, f"{path}/out", f"{path}/{state}").awaitTermination()
+    return progress.results(spark, f"{path}/out")

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import jsons, vector
 from graphloom.functions import text as T
+from graphloom.functions.numbers import round_even
 
 
 def one(spark, column, **values):
@@ -59,3 +62,13 @@ def test_cosine(spark):
     got = [r["c"] for r in rows.select(vector.cosine(F.col("a"), F.col("b")).alias("c")).collect()]
     assert got[0] == pytest.approx(2**-0.5)
     assert got[1] is None
+
+
+def test_round_even_is_that_of_exact_values(spark):
+    rng = random.Random(3)
+    values = [0.0625, 2.675, -0.0625, -2.675, 0.5, 1.5, 2.5, -0.5, 1.0005, 123.25, 123.35, 0.0, 1e-320, 4.4e12]
+    values += [rng.choice([1, -1]) * rng.randint(0, 10**6) / rng.choice([8, 16, 1000, 2000, 7, 80]) for _ in range(3000)] + [rng.uniform(-1e9, 1e9) for _ in range(500)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", *[round_even(F.col("x"), p).alias(f"p{p}") for p in range(4)]).collect()
+    assert all(r[f"p{p}"] == round(r["x"], p) for r in got for p in range(4))
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(round_even(F.col("x"), 2).alias("y")).collect()
+    assert (odd[0]["y"] != odd[0]["y"], odd[1]["y"], odd[2]["y"]) == (True, float("inf"), None)

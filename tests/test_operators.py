@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import jsons
-from graphloom.operators import chunking, community, encoding, graph, ranking, reports, resolution, retrieval, sections, store
-from graphloom.sources import tables
+from graphloom.operators import chunking, community, encoding, extraction, graph, ranking, reports, resolution, retrieval, sections, store
+from graphloom.sources import documents, tables
 from graphloom.sources.versions import VersionedTables
-from graphloom.streaming.progress import extraction_stream
+from graphloom.streaming import progress
 
 
 @pytest.mark.parametrize(("n", "sizes"), [(512, [512, 100]), (480, [480]), (79, []), (0, []), (925, [512, 512, 101])])
@@ -267,10 +267,68 @@ def test_json_sources(spark, tmp_path):
     assert not tables.write_csv(spark.range(0).toDF("x"), str(tmp_path / "csv"))
 
 
-def test_stream_resumes(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "part 1234-5678"), ("b", "25 Nm")], "chunk_id string, text string")
-    rows.write.parquet(str(tmp_path / "in"))
-    for k in range(2):
-        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-        extraction_stream(stream, str(tmp_path / "out"), str(tmp_path / "done"), str(tmp_path / f"state{k}")).awaitTermination()
-    assert sorted(r["type"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Measurement", "PartNumber"]
+def _streamed(spark, tmp_path, state):
+    stream = spark.readStream.schema("chunk_id string, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    return progress.extraction_stream(stream, str(tmp_path / "out"), str(tmp_path / state))
+
+
+def test_stream_does_each_chunk_once(spark, tmp_path, monkeypatch):
+    rows = [("a", "part 1234-5678"), ("b", "25 Nm"), ("c", "nothing"), ("d", "WARNING hot. 3 bar"), ("a", "part 1234-5678"), (None, "9 mm")]
+    spark.createDataFrame(rows, "chunk_id string, text string").repartition(3).write.parquet(str(tmp_path / "in"))
+    whole, calls = progress.written, []
+
+    def dies(after):
+        def run(frame, out, batch):
+            calls.append(batch)
+            if len(calls) == 2 and not after:
+                raise RuntimeError("killed before")
+            whole(frame, out, batch)
+            if len(calls) == 2 and after:
+                raise RuntimeError("killed after")
+
+        return run
+
+    for state, after in (("s1", True), ("s2", False)):
+        calls.clear()
+        monkeypatch.setattr(progress, "written", dies(after))
+        with pytest.raises(Exception, match="killed"):
+            _streamed(spark, tmp_path, state).awaitTermination()
+        monkeypatch.setattr(progress, "written", whole)
+        _streamed(spark, tmp_path, state).awaitTermination()
+        assert sorted(r["chunk_id"] for r in progress.done(spark, str(tmp_path / "out")).collect()) == ["a", "b", "c", "d"]
+    assert sorted((r["chunk_id"], r["type"]) for r in progress.results(spark, str(tmp_path / "out")).collect()) == [("a", "PartNumber"), ("b", "Measurement"), ("d", "Measurement"), ("d", "Warning")]
+
+
+def test_validated_load(spark, tmp_path):
+    kind = "chunk_id string, parsed struct<entities:array<struct<id:string,type:string>>,relationships:array<struct<from:string,to:string,source:string,target:string,type:string,confidence:double>>>"
+    ways = [("a", "b", None, None, "part of", 0.5), ("", None, "a", "b", "PART-OF", None), ("a", None, None, "", "PART_OF", 1.0), (None, "b", "", None, "PART_OF", 1.0), ("a", "b", None, None, "made up", 1.0), ("a", "b", None, None, "PART_OF", 1.5), ("a", "b", None, None, None, 1.0)]
+    rows = spark.createDataFrame([("c", ([("x", "Tool"), ("", "Tool"), ("y", "Gadget"), ("z", None)], ways)), ("d", ([], None)), ("e", None)], kind)
+    good, bad, counts = extraction.validated_load(rows, str(tmp_path / "v"))
+    assert counts == {"entities_valid": 1, "entities_quarantine": 3, "relationships_valid": 2, "relationships_quarantine": 5, "items": 11}
+    assert sorted((r["what"], r["pos"]) for r in good.collect()) == [("entities", 0), ("relationships", 0), ("relationships", 1)]
+    assert sorted((r["what"], r["reason"]) for r in bad.collect()) == sorted([("entities", "no id"), ("entities", "unknown type"), ("entities", "unknown type"), ("relationships", "no target"), ("relationships", "no source"), ("relationships", "unknown type"), ("relationships", "confidence out of range"), ("relationships", "unknown type")])
+    assert extraction.validated_load(rows.limit(0), str(tmp_path / "w"))[2]["items"] == 0
+
+
+def test_documents_of_several_files(spark, tmp_path):
+    (tmp_path / "d/sub").mkdir(parents=True)
+    (tmp_path / "d/a.txt").write_text("# 71-10 Engine\none\f\f## Oil\nthree\f# Last\nfour")
+    (tmp_path / "d/sub/b.txt").write_text("plain\fsecond")
+    (tmp_path / "d/_skipped.txt").write_text("# no")
+    (tmp_path / "d/c.md").write_text("# other")
+    (tmp_path / "d/sub/e.txt").write_bytes(b"")
+    path = str(tmp_path / "d")
+    got = {(r["path"].rsplit("/", 1)[1], r["page_idx"]): r for r in documents.sections_read(spark, path, "*.txt").collect()}
+    assert set(got) == {("a.txt", 0), ("a.txt", 2), ("a.txt", 3), ("b.txt", 0), ("b.txt", 1)}
+    assert (got["a.txt", 0]["title"], got["a.txt", 0]["ata"], got["a.txt", 2]["title"], got["a.txt", 2]["page_end"], got["a.txt", 3]["title"]) == ("71-10 Engine", "71", "Oil", 2, "Last")
+    assert {(got["b.txt", i]["title"], got["b.txt", i]["id"], got["b.txt", i]["page_end"]) for i in (0, 1)} == {(documents.UNTITLED, "SEC-0001", 1)}
+    contents = documents.read_documents(spark, path, "contents", "*.txt")
+    assert contents.count() == 5
+    assert documents.read_documents(spark, str(tmp_path / "d/c.md")).first()["text"] == "# other"
+    reader = documents.DocumentReader({"path": path, "pattern": "*.txt", "bytesatask": "1"})
+    assert len(reader.partitions()) == 3
+    from pyspark.sql.datasource import EqualTo
+
+    assert list(reader.pushFilters([EqualTo(("path",), f"{path}/a.txt")])) == []
+    assert [p.paths for p in reader.partitions()] == [[f"{path}/a.txt"]]
+    assert documents.read_documents(spark, path, "pages", "*.none").count() == 0
