@@ -26,25 +26,47 @@ def prompt(title: Column, chapter: Column, body: Column, hints: dict[str, Column
     return F.concat_ws("\n", F.lit("Extract entities and relationships as JSON."), F.concat(F.lit("Chapter "), chapter, F.lit(": "), title), *lines, F.lit("Text:"), body)
 
 
-def called(chunks: DataFrame, ask: Callable[[str], str], tries: int = 3, pause: float = 1.0) -> DataFrame:
-    """(chunk_id, result, error) of a model asked about each chunk's prompt; a call that fails is tried again, longer apart each time."""
+# Tries of a call, and seconds to wait by how it failed: a busy service and a rate limit longer each time, another status before giving up, anything else.
+TRIES = 3
+BUSY, LIMITED, REFUSED, OTHER = 90.0, 45.0, 10.0, 5.0
+
+
+def pause_after(error: Exception | None, attempt: int) -> tuple[float, bool]:
+    """How long to wait after a call's attempt (from 1) failed with error, and whether to try again. The error's status_code says which kind it is."""
+    status = getattr(error, "status_code", None)
+    if status in (529, 429):
+        return (BUSY if status == 529 else LIMITED) * attempt, True
+    return (REFUSED, False) if status is not None else (OTHER, True)
+
+
+def called(chunks: DataFrame, ask: Callable[[str], str], usable: Callable[[str], bool] = bool, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(chunk_id, result, error, attempts) of a model asked about each chunk's prompt.
+
+    A call that raises is tried again as pause_after() says, one whose result isn't usable at once, TRIES times in all; what remains of it then is the last error, or a
+    null result. Null prompts are empty ones."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for chunk, text in zip(frame["chunk_id"], frame["prompt"], strict=True):
-                result, error = None, None
-                for n in range(1, tries + 1):
+                result, error, n = None, None, 0
+                while n < TRIES:
+                    n += 1
                     try:
-                        result, error = ask(text), None
-                        break
+                        result, error = ask(text or ""), None
+                        if usable(result):
+                            break
+                        result = None
                     except Exception as e:  # noqa: BLE001  whatever the client raises is data here
                         error = str(e)[:200]
-                        time.sleep(pause * n if n < tries else 0)
-                rows.append((chunk, result, error))
-            yield pd.DataFrame(rows, columns=["chunk_id", "result", "error"])
-
-    return chunks.select("chunk_id", "prompt").mapInPandas(run, "chunk_id string, result string, error string")
+                        seconds, again = pause_after(e, n)
+                        sleep(seconds)
+                        if not again:
+                            break
+                rows.append((chunk, result, error, n))
+            yield pd.DataFrame(rows, columns=["chunk_id", "result", "error", "attempts"])
+
+    return chunks.select("chunk_id", "prompt").mapInPandas(run, "chunk_id string, result string, error string, attempts int")
 
 
 def joined(results: DataFrame, chunks: DataFrame) -> DataFrame:
