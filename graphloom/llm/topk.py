@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import shared_dir, table
 
 FOUND = "query_id long, vec_id long, score long"
 
@@ -69,17 +70,40 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))]
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, k: int, scale: float, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
-        seen = False
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
-                ids = np.asarray(batch.column(0), dtype=np.int64)
+class QueryBlocks:
+    """Blocks of queries in the shared folder, as tasks read them: one after the other, the last one kept."""
+
+    def __init__(self, path: str, blocks: int, scale: float):
+        self.path, self.blocks, self.scale, self._last = path, blocks, scale, (None, None)
+
+    def read(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block's ids, ascending, and quantised vectors."""
+        if self._last[0] != block:
+            from pyarrow import fs, parquet
+
+            store, base = fs.FileSystem.from_uri(self.path)
+            folder = f"{base}/block={block}"
+            found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            tables = [parquet.ParquetFile(store.open_input_file(x.path)).read(["vec_id", "x"]) for x in found if x.path.endswith(".parquet")]
+            if tables:
+                rows = pa.concat_tables(tables).combine_chunks()
+                ids = np.asarray(rows.column(0), dtype=np.int64)
                 order = np.argsort(ids, kind="stable")
-                ids, block = ids[order], quantised(batch.column(1), scale)[order]
-                seen = seen or len(ids) > 0
+                x = quantised(rows.column(1).combine_chunks(), self.scale)
+                self._last = block, (ids[order], x[order])
+            else:
+                self._last = block, (np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
+        return self._last[1]
+
+
+def _search(asked: QueryBlocks, k: int, scale: float, rows: int, held: int):
+    """Vectors of a task in runs of about held; each run meets every block of queries, of which k rows a query go on."""
+
+    def found(run: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for number in range(asked.blocks):
+            query_ids, queries = asked.read(number)
+            kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
+            for ids, block in run:
                 for low in range(0, len(query_ids), 256):
                     scores = accumulate(queries[low : low + 256], block)
                     for i, own in enumerate(query_ids[low : low + 256]):
@@ -92,46 +116,52 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int, scale: float, ro
                         s, n = np.concatenate([old_scores, mine[top]]), np.concatenate([old_ids, names[top]])
                         keep = np.lexsort((n, -s))[:k]
                         kept[low + i] = s[keep], n[keep]
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(query_ids, [len(s) for s, _ in kept]), pa.int64()),
-                    pa.array(np.concatenate([n for _, n in kept]) if kept else [], pa.int64()),
-                    pa.array([int(x) for s, _ in kept for x in s], pa.int64()),
-                ],
-                names=["query_id", "vec_id", "score"],
-            )
+            if kept:
+                yield _batch(query_ids, kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, size = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                ids = np.asarray(batch.column(0), dtype=np.int64)
+                order = np.argsort(ids, kind="stable")
+                blocks.append((ids[order], quantised(batch.column(1), scale)[order]))
+                size += len(ids)
+                if size >= held:
+                    yield from found(blocks)
+                    blocks, size = [], 0
+        if size:
+            yield from found(blocks)
 
     return run
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", queries_per_round: int = 8192, block_rows: int = 4096) -> DataFrame:
+def _batch(query_ids: np.ndarray, kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    scores = [int(x) for s, _ in kept for x in s]
+    if scores and not -(1 << 63) <= min(scores) <= max(scores) < 1 << 63:
+        raise ValueError("a score is beyond 64 bits: vectors as large as these can't be scored in integers of that width")
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, [len(s) for s, _ in kept]), pa.int64()), pa.array(np.concatenate([n for _, n in kept]), pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", queries_per_round: int = 8192, block_rows: int = 4096, held_rows: int = 1 << 18) -> DataFrame:
     """The k rows of vectors with the highest integer inner product, for every row of queries.
 
-    Components become floor(scale * x). Queries travel in rounds of at most queries_per_round (the
-    bound of what is shipped to the executors); each round scans all vectors block by block, and every
-    partition returns its k best a query, which a window merges. Ties go to the smaller id, rows with
+    Components become floor(scale * x). Queries are written to the shared folder in blocks of about queries_per_round; one scan reads
+    the vectors, and a task holds about held_rows of them at a time, reads the blocks one after the other and returns its k best
+    a query, which a window merges. So neither the driver nor a task ever has all queries. Ties go to the smaller id, rows with
     the query's own id are no candidates, and a query with fewer than k candidates returns all of them.
     Null vectors or ids, and vectors with a null or non-finite component, take no part; vectors of
     different lengths meet in the terms they share. An id repeated among the queries is asked once, with
-    the smallest of its vectors; repeated candidates stay separate rows. Empty tables give no rows.
-    Returns query_id, rank (int, from 1), vec_id, score."""
+    the smallest of its vectors; repeated candidates stay separate rows. Among the best, a score beyond 64 bits is an error, since
+    none of them can be returned. Empty tables give no rows. Returns query_id, rank (int, from 1), vec_id, score."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("x").alias("x"))
-    found, last = None, None
-    while True:
-        page = (asked if last is None else asked.filter(F.col("vec_id") > last)).orderBy("vec_id").limit(queries_per_round).toArrow().combine_chunks()
-        if page.num_rows:
-            ids = np.asarray(page.column(0), dtype=np.int64)
-            weights = quantised(page.column(1).combine_chunks() if isinstance(page.column(1), pa.ChunkedArray) else page.column(1), scale)
-            part = rows.mapInArrow(_search(ids, weights, k, scale, block_rows), FOUND)
-            found = part if found is None else found.unionAll(part)
-            last = int(ids[-1])
-        if page.num_rows < queries_per_round:
-            break
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
+    blocks = -(-asked.count() // queries_per_round)
+    path = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
+    asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks)))).write.partitionBy("block").parquet(path)
+    found = rows.mapInArrow(_search(QueryBlocks(path, blocks, scale), k, scale, block_rows, held_rows), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

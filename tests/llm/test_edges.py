@@ -170,3 +170,6 @@ def test_topk(spark):
     got = [tuple(r) for r in topk.exact_topk(rows, rows.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 256 * 128), (0, 2, 3, 256 * 128), (0, 3, 4, 256 * 128), (0, 4, 5, 0)]
     assert topk.exact_topk(rows.limit(0), rows.limit(0)).count() == 0
+    large = spark.createDataFrame([(0, [1e15, 0.0]), (1, [1e15, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.exact_topk(large, large).count()

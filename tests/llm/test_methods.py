@@ -307,7 +307,7 @@ def test_topk_in_rounds(spark):
     data[rng.random((400, 8)) < 0.7] = 0  # sparse: scattered postings
     rows = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(data)], "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in topk.exact_topk(rows, rows.filter("vec_id % 50 = 0"), queries_per_round=3, block_rows=37).orderBy("query_id", "rank").collect():
+    for r in topk.exact_topk(rows, rows.filter("vec_id % 50 = 0"), queries_per_round=3, block_rows=37, held_rows=90).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     ints = np.floor(data.astype(np.float64) * 256).astype(np.int64)
     for q in range(0, 400, 50):
