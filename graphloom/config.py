@@ -38,10 +38,9 @@ CHAPTERS = {
 class Settings:
     """Tunable settings, each overridable by the session's graphloom.<name>."""
 
-    encoder_dim: int = 384
-    embedding_batch: int = 32
-    score_mode: str = "raw"
-    hops: int = HOPS
+    encoder_dim: int = 384  # of the hashed encoder
+    score_mode: str = "raw"  # or unit: cosines as 0..1
+    hops: int = HOPS  # of the graph's part of a context
 
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.config import COMMUNITY_MIN, COMMUNITY_RESOLUTION, PROJECTION_EXCLUDES
+from graphloom.config import COMMUNITY_MIN, COMMUNITY_RESOLUTION, MEMBERS_STORED, PROJECTION_EXCLUDES
 from graphloom.sources.tables import settled
 
 
@@ -138,7 +138,7 @@ def described(partition: DataFrame, nodes: DataFrame, names: int = 8) -> DataFra
     return by_type.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", line.alias("line")))), lambda x: x["line"]), "\n").alias("summary"))
 
 
-def members(partition: DataFrame, stored: int = 50) -> DataFrame:
+def members(partition: DataFrame, stored: int = MEMBERS_STORED) -> DataFrame:
     """(community, size, member_ids) with at most stored ids, as a comma-joined list."""
     return partition.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_list("node")), 1, stored), ",").alias("member_ids"))
 

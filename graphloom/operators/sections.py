@@ -39,10 +39,11 @@ def chapter_names(chapters: Column, most: int = 5) -> Column:
 def community_table(partition: DataFrame, nodes: DataFrame, least: int = COMMUNITY_MIN) -> DataFrame:
     """(id, community, place, size, ata_chapters, ata_names) of the communities of least members or more, the largest first, ties by community.
 
-    Members are nodes that exist, each counted once. ids are numbered in that order."""
-    known = nodes.select(F.col("id").alias("node"), "ata").dropDuplicates(["node"])
+    Members are nodes that exist, each counted once: of several rows of an id the last by ord has its chapter or community, without ord the
+    greatest. ids are numbered in that order."""
+    known = nodes.groupBy(F.col("id").alias("node")).agg((F.max_by("ata", "ord") if "ord" in nodes.columns else F.max("ata")).alias("ata"))
     chapters = F.array_sort(F.collect_set(F.when(F.col("ata") != "00", F.col("ata"))))
-    rows = partition.dropDuplicates(["node"]).join(known, "node").groupBy("community").agg(F.count("*").alias("size"), chapters.alias("ata_chapters")).filter(F.col("size") >= least)
+    rows = partition.groupBy("node").agg((F.max_by("community", "ord") if "ord" in partition.columns else F.max("community")).alias("community")).join(known, "node").groupBy("community").agg(F.count("*").alias("size"), chapters.alias("ata_chapters")).filter(F.col("size") >= least)
     rows = numbered(rows.withColumn("_order", -F.col("size")), "_order", "community", into="place").drop("_order")
     return rows.select(F.concat(F.lit("COMM-"), T.zfill(F.col("place").cast("string"), 4)).alias("id"), "community", "place", "size", "ata_chapters", chapter_names(F.col("ata_chapters")).alias("ata_names"))
 

@@ -13,7 +13,7 @@ from graphloom.functions import jsons, vector
 from graphloom.functions import text as T
 from graphloom.functions.numbers import round_even, sql_round_even
 from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, reports, resolution, retrieval, search, sections, store
-from graphloom.plans.retrieve import Artefacts, retrieve
+from graphloom.plans.retrieve import Artefacts, context_entities, graph_hits, retrieve
 from graphloom.sources import documents
 from graphloom.sources.tables import settled, shared_dir, table
 from graphloom.streaming import progress
@@ -965,3 +965,23 @@ def streamed_extraction(spark, d):
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
         progress.extraction_stream(stream, f"{path}/out", f"{path}/{state}").awaitTermination()
     return progress.results(spark, f"{path}/out")
+
+
+_SQL_CONTEXT = f"""{_sql_bm25("SELECT id AS doc, name || ' ATA ' || ata || ' ' || ata AS x FROM nodes", _EXPANDED, 8)},
+fx AS (SELECT string_split(query_id, '|')[1] AS query_id, doc, rank, CASE WHEN query_id LIKE '%|%' THEN 1 ELSE 0 END AS branch FROM bm25 WHERE score > 0.3),
+fh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY branch) AS rn FROM fx WHERE branch = 0 OR rank <= 3) WHERE rn = 1),
+fr AS (SELECT * FROM (SELECT query_id, doc AS root, row_number() OVER (PARTITION BY query_id ORDER BY branch, rank, doc) AS pl FROM fh) WHERE pl <= 6),
+ways AS (SELECT src || '>' || type || '>' || dst AS e, src AS a, dst AS b FROM edges UNION ALL SELECT src || '>' || type || '>' || dst, dst, src FROM edges),
+f1 AS (SELECT root, b AS node, e AS e1 FROM (SELECT DISTINCT root FROM fr) JOIN ways ON root = a), f2 AS (SELECT root, b AS node FROM f1 JOIN ways ON node = a WHERE e <> e1),
+near AS (SELECT DISTINCT root, node FROM (SELECT root, node FROM f1 UNION ALL SELECT root, node FROM f2) JOIN nodes ON node = id WHERE label <> 'Chunk'),
+cand AS (SELECT query_id, root AS node, pl * 2 AS ord FROM fr UNION ALL SELECT query_id, node, pl * 2 + 1 FROM fr JOIN near ON fr.root = near.root),
+best AS (SELECT query_id, node, min(ord) AS ord FROM cand GROUP BY ALL),
+rk AS (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY CASE label WHEN 'Component' THEN 0.80 WHEN 'System' THEN 0.75 WHEN 'Tool' THEN 0.65 ELSE 0.50 END DESC, ord, node) AS place FROM best JOIN nodes ON node = id)"""
+
+
+@query(f"WITH {SQL_GRAPH}, {_SQL_CONTEXT} SELECT query_id, string_agg(node, ',' ORDER BY place) FILTER (place <= 8) AS entities, count(*) AS entities_found FROM rk GROUP BY query_id")
+def first_entities(spark, d):
+    """The first eight nodes of each question's graph context, and how many there are."""
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat("n_name", F.lit(" 05")).alias("query"))
+    nodes, _ = graph_hits(_artefacts(spark, d), asked)
+    return context_entities(nodes).select("query_id", F.array_join("entities", ",").alias("entities"), "entities_found")

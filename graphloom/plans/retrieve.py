@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.config import DESCRIPTION_CLIP, HOPS, MAX_ROOTS, TOP_BM25
+from graphloom.config import DESCRIPTION_CLIP, MAX_ENTITIES, MAX_ROOTS, TOP_BM25, Settings
+from graphloom.functions import text as T
 from graphloom.operators import encoding, graph, ranking, retrieval, search
 from graphloom.sources.tables import settled
 
@@ -29,9 +30,11 @@ def valid_questions(questions: DataFrame, most: int = 2000) -> DataFrame:
 def text_hits(found: Artefacts, questions: DataFrame, mode: str = "hybrid") -> DataFrame:
     """Hits (query_id, id, score, rank, source, title, text, ata, place) of the vector, word and, if hybrid, community paths."""
     c = found.chunks.select(F.col("id").cast("string").alias("id"), "title", "text", "ata")
+    settings = Settings.of(questions.sparkSession)
+    c = c.filter(F.size(T.search_tokens(F.concat_ws(" ", "title", "text"))) > 0)  # a chunk without a token is in no path
     by_words = search.bm25_topk(c, questions, "id", "title", "text", k=TOP_BM25).withColumnRenamed("doc", "id").withColumn("source", F.lit("bm25"))
-    asked = encoding.encode(questions, "query", into="q").select("query_id", "q")
-    by_vector = retrieval.vector_topk(encoding.encode(c, "text", into="vector").select("id", "vector"), asked).withColumn("source", F.lit("vector"))
+    asked = encoding.encode(questions, "query", into="q", dim=settings.encoder_dim).select("query_id", "q")
+    by_vector = retrieval.vector_topk(encoding.encode(c, "text", into="vector", dim=settings.encoder_dim).select("id", "vector"), asked, mode=settings.score_mode).withColumn("source", F.lit("vector"))
     paths = [by_vector.join(c, "id"), by_words.join(c, "id")]
     if mode == "hybrid":
         texts = found.communities.select(F.col("id").cast("string").alias("id"), F.lit("").alias("title"), F.col("summary").alias("text"), F.lit("").alias("ata"))
@@ -39,8 +42,9 @@ def text_hits(found: Artefacts, questions: DataFrame, mode: str = "hybrid") -> D
     return retrieval.fused(*paths)
 
 
-def graph_hits(found: Artefacts, questions: DataFrame, hops: int = HOPS) -> tuple[DataFrame, DataFrame]:
-    """Ranked nodes (query_id, node, label, score, ord) about a question, and the edges (query_id, src, dst, type) on the way to them."""
+def graph_hits(found: Artefacts, questions: DataFrame, hops: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ranked nodes (query_id, node, label, score, ord) about a question, and the edges (query_id, src, dst, type) on the way to them. Without hops as many as the session's settings say."""
+    hops = Settings.of(questions.sparkSession).hops if hops is None else hops
     hits = search.expand_codes(search.new_index(found.nodes.filter("label <> 'Entity'"), "id", "name", "description", "ata"), questions)
     roots = ranking.top_k(hits, MAX_ROOTS, ["query_id"], F.asc("branch"), F.asc("rank"), F.asc("doc"), into="at").select("query_id", F.col("doc").alias("root"), "at")
     roots = settled(roots)
@@ -52,19 +56,35 @@ def graph_hits(found: Artefacts, questions: DataFrame, hops: int = HOPS) -> tupl
     return graph.ranked_nodes(own.unionAll(more), found.nodes), roots.join(ways, "root").select("query_id", "src", "dst", "type").distinct()
 
 
+def context_entities(nodes: DataFrame, most: int = MAX_ENTITIES) -> DataFrame:
+    """(query_id, entities, entities_found) of graph_hits()'s nodes: the ids of the first most in the order of a context, and how many there are."""
+    placed = ranking.top_k(nodes, 1 << 30, ["query_id"], F.desc("score"), F.asc("ord"), F.asc("node"), into="place")
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "node"))))
+    return placed.groupBy("query_id").agg(F.transform(first, lambda x: x["node"]).alias("entities"), F.count("*").alias("entities_found"))
+
+
 def retrieve(found: Artefacts, questions: DataFrame, mode: str = "hybrid") -> DataFrame:
-    """(query_id, query, context) of every valid question; mode baseline leaves out the graph and communities."""
+    """(query_id, query, context, contexts, entities, entities_found) of every valid question; mode baseline leaves out the graph and communities, and so finds no entities.
+
+    contexts: the texts that an answer is judged against; entities: the first nodes of the graph's part."""
     asked = valid_questions(questions.select(F.col("query_id").cast("string").alias("query_id"), "query"))
-    lines = retrieval.text_lines(text_hits(found, asked, mode)).select("query_id", F.lit(2).cast("long").alias("section"), "place", "line")
+    hits = settled(text_hits(found, asked, mode))
+    lines = retrieval.text_lines(hits).select("query_id", F.lit(2).cast("long").alias("section"), "place", "line")
+    entities = asked.select("query_id", F.array().cast("array<string>").alias("entities"), F.lit(0).cast("long").alias("entities_found")).limit(0)
     if mode == "hybrid":
         nodes, ways = graph_hits(found, asked)
-        d = F.coalesce(F.nullif(F.substring("description", 1, DESCRIPTION_CLIP), F.lit("")))
-        named = nodes.join(found.nodes.select(F.col("id").alias("node"), "name", "description", "ata").dropDuplicates(["node"]), "node")
-        line = F.concat(F.lit("["), "label", F.lit("|ATA-"), F.coalesce("ata", F.lit("")), F.lit("] "), "node", F.lit(": "), F.coalesce("name", "node"), F.coalesce(F.concat(F.lit(" — "), d), F.lit("")))
+        nodes = settled(nodes)
+        entities = context_entities(nodes)
+        d = T.truthy(F.substring("description", 1, DESCRIPTION_CLIP))
+        named = nodes.join(found.nodes.groupBy(F.col("id").alias("node")).agg(F.max(F.struct("name", "description", "ata")).alias("p")).select("node", "p.*"), "node")
+        line = F.concat(F.lit("["), "label", F.lit("|ATA-"), F.coalesce("ata", F.lit("")), F.lit("] "), "node", F.lit(": "), T.first_truthy(F.col("name"), F.col("node")), F.coalesce(F.concat(F.lit(" — "), d), F.lit("")))
         of_nodes = ranking.top_k(named.withColumn("line", line), 1 << 30, ["query_id"], F.desc("score"), F.asc("ord"), F.asc("node"), into="place")
         way = F.concat(F.lit("  ("), "src", F.lit(") -["), "type", F.lit("]-> ("), "dst", F.lit(")"))
         of_ways = ranking.top_k(ways.withColumn("line", way), 1 << 30, ["query_id"], F.asc("line"), into="place")
         for section, rows in enumerate((of_nodes, of_ways)):
             lines = lines.unionAll(rows.select("query_id", F.lit(section).cast("long").alias("section"), "place", "line"))
     texts = retrieval.context_text(retrieval.within_budget(settled(lines)))
-    return asked.join(texts, "query_id", "left")
+    contexts = retrieval.snippets(hits).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "snippet"))), lambda x: x["snippet"]).alias("contexts"))
+    none = F.array().cast("array<string>")
+    rows = asked.join(texts, "query_id", "left").join(contexts, "query_id", "left").join(entities, "query_id", "left")
+    return rows.select("query_id", "query", "context", F.coalesce("contexts", none).alias("contexts"), F.coalesce("entities", none).alias("entities"), F.coalesce("entities_found", F.lit(0)).alias("entities_found"))
