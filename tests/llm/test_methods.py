@@ -182,6 +182,42 @@ def test_runs_with_words_changed_put_in_or_left_out():
         assert ((s >= 0.8) & (high_a - low_a >= 45) & (high_b - low_b >= 45)).all()
 
 
+def test_recall_of_one_word_changed_put_in_or_left_out(spark):
+    """End to end: passages of 52 words and more, the word anywhere but in the outer eight, one pair a passage and families of twenty variants."""
+    rng = random.Random(1)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def edited(p, kind):
+        q, at = list(p), rng.randrange(8, len(p) - 8)
+        return q[:at] + ([] if kind == "left out" else words(1)) + q[at + (kind != "put in") :]
+
+    rows, pairs, family = [], {}, {}
+    for size in (52, 55, 60, 100):
+        for kind in ("changed", "put in", "left out"):
+            for _ in range(40):
+                p = words(size)
+                pairs[len(rows)] = (kind, size)
+                rows += [words(30) + p + words(30), words(30) + edited(p, kind) + words(30)]
+    for f in range(6):
+        p = words(80)
+        for i in range(20):
+            family[len(rows)] = f
+            rows.append(words(20) + (p if i == 0 else edited(p, rng.choice(["changed", "put in", "left out"]))) + words(20))
+    frame = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "row long, text string")
+    got = {(r["a"], r["b"]) for r in passages.passage_links(frame).collect()}
+    for kind in ("changed", "put in", "left out"):
+        for size in (52, 55, 60, 100):
+            mine = [i for i, k in pairs.items() if k == (kind, size)]
+            assert sum((i, i + 1) in got for i in mine) >= 0.9 * len(mine), (kind, size)
+    assert sum((i, i + 1) in got for i in pairs) >= 0.97 * len(pairs)
+    owner = {i: i for i in family}
+    for a, b in got:
+        if a in owner and b in owner:
+            owner = {k: owner[a] if v == owner[b] else v for k, v in owner.items()}
+    assert all(len({owner[i] for i, g in family.items() if g == f}) == 1 for f in range(6))
+    assert not any(a in pairs and b != a + 1 for a, b in got)
+
+
 def _shared_words(texts, least):
     """Of each text, its runs of least words that an earlier text has too, and the texts that share any with another."""
     first, extra, sharing = {}, defaultdict(set), set()
