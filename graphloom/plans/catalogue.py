@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +14,7 @@ from graphloom.functions.numbers import round_even, sql_round_even
 from graphloom.operators import chunking, community, encoding, evaluation, extraction, graph, ranking, reports, resolution, retrieval, search, sections, store
 from graphloom.plans.retrieve import Artefacts, context_entities, graph_hits, retrieve
 from graphloom.sources import documents
-from graphloom.sources.tables import settled, shared_dir, table
+from graphloom.sources.tables import scratch_path, settled, table
 from graphloom.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -772,7 +771,7 @@ def built_edges(spark, d):
 
 def _stored(spark, d):
     """The built graph stored, then brought up to date: tools that are renamed, one that is new, an edge from it and one to nowhere."""
-    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "graph")
     nodes, edges = _built(spark, d)
     store.store_graph(nodes, edges, path, buckets=16)
     renamed = table(spark, d, "supplier").select(F.lit("Entity").alias("label"), F.concat(F.lit("P"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("renamed").alias("description"), F.col("s_suppkey").alias("ord"))
@@ -907,7 +906,7 @@ SELECT pages.conv_id, pages.page_idx, md5(text) AS digest, printf('SEC-%04d', se
 FROM pages LEFT JOIN own ON pages.conv_id = own.conv_id AND pages.page_idx = own.page_idx JOIN sec ON sec.conv_id = pages.conv_id AND sec.idx = coalesce(own.idx, 0) WHERE text <> ''""")
 def paged_documents(spark, d):
     """Conversations written as files of pages, read back through the data source with the section of each page."""
-    path = f"{shared_dir(spark)}/paged-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "paged")
     turn = F.struct("turn", F.concat(F.when((F.col("conv_id") % 3 != 0) & (F.col("turn") % 2 == 1), F.concat(F.expr("repeat('#', cast(1 + turn % 3 as int))"), F.lit(" "), "role", F.lit(" "), F.lpad((F.col("turn") % 90).cast("string"), 2, "0"), F.lit("\n"))).otherwise(F.lit("")), F.regexp_replace("text", r"[#\f]", "")).alias("page"))
     files = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["page"]), "\f").alias("pages"))
     files.select(F.concat(F.lit("conv "), "conv_id", F.lit("\n"), "pages")).write.option("maxRecordsPerFile", 1).text(path)
@@ -938,7 +937,7 @@ def _validated(spark, d):
     entity = F.struct(F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("E"), "event_id")).alias("id"), kind("Tool", "Gadget").alias("type"), text(F.col("props")).alias("name"))
     way = F.struct(F.lit("a").alias("from"), none.alias("to"), none.alias("source"), F.when(F.col("user_id") % 4 == 0, "").otherwise("b").alias("target"), kind("uses-part", "made up").alias("type"), (F.col("value") / 100).alias("confidence"))
     rows = table(spark, d, "events").select(text(F.col("event_id")).alias("chunk_id"), F.struct(F.array(entity).alias("entities"), F.array(way).alias("relationships")).alias("parsed"))
-    return extraction.validated_load(rows, f"{shared_dir(spark)}/validated-{uuid.uuid4().hex}")
+    return extraction.validated_load(rows, scratch_path(spark, "validated"))
 
 
 @query(f"WITH {_SQL_ITEMS} SELECT chunk_id, what, coalesce(reason, 'valid') AS reason FROM items")
@@ -958,7 +957,7 @@ def validated_counts(spark, d):
 @query(f"WITH {_SQL_FOUND.format(key='doc_id::VARCHAR', rows='documents')} SELECT chunk_id, upper(type) || '-' || chunk_id || '-' || ord AS id, type, text, CAST(ord AS INTEGER) AS ord FROM fd")
 def streamed_extraction(spark, d):
     """Documents through the extraction stream: run, run again from its checkpoint, and from a new one over the same rows."""
-    path = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "streamed")
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
     rows.write.parquet(f"{path}/in")
     for state in ("first", "first", "second"):

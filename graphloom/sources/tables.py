@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +20,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors reach: spark.checkpoint.dir, or the warehouse where that is unset."""
+    """The folder that all executors reach: spark.checkpoint.dir. Where that is unset the warehouse, if it lies in a store or all runs on one machine; else nothing is known to be shared, which is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/graphloom-intermediate"
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own_disk = warehouse.startswith("file:") or "://" not in warehouse
+    if own_disk and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return warehouse + "/graphloom-intermediate"
+
+
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, noted for sweep()."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what this session's operators wrote on the way (of it, what came after the first since paths), once no result that reads it is needed any more; the number of paths."""
+    held = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    gone, held[since:] = held[since:], []
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose intermediate tables are deleted at its end; results have to be written or collected inside."""
+    since = len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        sweep(spark, since)
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """rows computed once, written as Parquet to the shared folder and read again: cut off from what made them."""
-    path = f"{shared_dir(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
+    """rows computed once, written as Parquet to the shared folder and read again: cut off from what made them. scratch() or sweep() deletes the files."""
+    path = scratch_path(rows.sparkSession, "settled")
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

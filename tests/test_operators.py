@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import jsons
-from graphloom.operators import chunking, community, encoding, extraction, graph, ranking, reports, resolution, retrieval, sections, store
+from graphloom.operators import chunking, community, encoding, extraction, graph, ranking, reports, resolution, retrieval, search, sections, store
 from graphloom.sources import documents, tables
 from graphloom.sources.versions import VersionedTables
 from graphloom.streaming import progress
@@ -332,3 +332,19 @@ def test_documents_of_several_files(spark, tmp_path):
     assert list(reader.pushFilters([EqualTo(("path",), f"{path}/a.txt")])) == []
     assert [p.paths for p in reader.partitions()] == [[f"{path}/a.txt"]]
     assert documents.read_documents(spark, path, "pages", "*.none").count() == 0
+
+
+def test_intermediate_tables_are_deleted_by_their_owner(spark, tmp_path):
+    from pathlib import Path
+
+    folder = Path(tables.shared_dir(spark))
+    kept = tables.settled(spark.range(3))
+    before = set(folder.iterdir())
+    with tables.scratch(spark):
+        docs = spark.createDataFrame([(i, f"w{i} common") for i in range(20)], "doc long, text string")
+        asked = spark.createDataFrame([(1, "w3 common")], "query_id int, query string")
+        assert search.bm25_topk(docs, asked, "doc", "text", k=1).collect()[0]["doc"] == 3
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
+    assert kept.count() == 3
+    assert tables.sweep(spark) >= 1
