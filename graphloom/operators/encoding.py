@@ -58,5 +58,10 @@ def extract(chunks: DataFrame) -> DataFrame:
 def answered(contexts: DataFrame, generate: Callable[[str], str] | None = None, missing: str = "No relevant passages were found.") -> DataFrame:
     """contexts (query_id, query, context) with an answer: a model's, or without one the context's beginning."""
     blank = F.length(F.trim(F.coalesce("context", F.lit("")))) == 0
-    text = F.udf(generate, "string")(F.concat_ws("\n\n", "context", "query")) if generate else F.concat(F.lit("Retrieved context:\n"), F.substring("context", 1, 1800))
+
+    @F.pandas_udf("string")
+    def asked(prompts: pd.Series) -> pd.Series:
+        return prompts.map(generate, na_action="ignore")
+
+    text = asked(F.concat_ws("\n\n", "context", "query")) if generate else F.concat(F.lit("Retrieved context:\n"), F.substring("context", 1, 1800))
     return contexts.withColumn("answer", F.when(blank, missing).otherwise(T.without_thoughts(text)))

@@ -83,7 +83,13 @@ def by_count(counts: DataFrame, key: str = "type", n: str = "n") -> DataFrame:
     return numbered(counts.withColumn("_order", -F.col(n)), "_order", key, into="place", start=1).drop("_order")
 
 
-def base_url(x: Column, default: str = "http://localhost:8000") -> Column:
+# The address that is asked where none is set, and how blocks and spans of Markdown are told apart.
+DEFAULT_URL = "http://localhost:8000"
+HEADING, BULLET, NUMBERED = r"^#{1,6}\s", r"^[-*•]\s", r"^\d+[.)]\s"
+BOLD, CODE = r"\*\*[^*]+\*\*", "`[^`]+`"
+
+
+def base_url(x: Column, default: str = DEFAULT_URL) -> Column:
     """An address without white space around and slashes behind, with https:// where it names no scheme; default for null or empty."""
     bare = F.regexp_replace(F.trim(F.coalesce(T.truthy(x), F.lit(default))), "/+$", "")
     return F.when(bare.rlike("(?i)^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare))
@@ -104,15 +110,15 @@ def fingerprint(key: Column) -> Column:
 def blocks(rows: DataFrame, text: str) -> DataFrame:
     """rows with place, kind (heading, bullet, numbered, paragraph) and body of every line that is not blank of a Markdown text."""
     line = F.trim(F.col("line"))
-    kind = F.when(line.rlike(r"^#{1,6}\s"), "heading").when(line.rlike(r"^[-*•]\s"), "bullet").when(line.rlike(r"^\d+[.)]\s"), "numbered").otherwise("paragraph")
+    kind = F.when(line.rlike(HEADING), "heading").when(line.rlike(BULLET), "bullet").when(line.rlike(NUMBERED), "numbered").otherwise("paragraph")
     lines = rows.select("*", F.posexplode(F.split(text, "\n")).alias("place", "line")).filter(F.length(line) > 0)
     return lines.select(*rows.columns, F.col("place").cast("long").alias("place"), kind.alias("kind"), F.regexp_replace(line, r"^(#{1,6}|[-*•]|\d+[.)])\s+", "").alias("body"))
 
 
 def spans(line: Column) -> Column:
     """Structs (kind, text) of a line's **bold**, `code` and plain parts."""
-    parts = F.filter(F.regexp_extract_all(line, F.lit(r"\*\*[^*]+\*\*|`[^`]+`|(?:(?!\*\*[^*]+\*\*|`[^`]+`).)+"), F.lit(0)), lambda x: x != "")
-    bold, code = lambda x: x.rlike(r"^\*\*[^*]+\*\*$"), lambda x: x.rlike("^`[^`]+`$")
+    parts = F.filter(F.regexp_extract_all(line, F.lit(f"{BOLD}|{CODE}|(?:(?!{BOLD}|{CODE}).)+"), F.lit(0)), lambda x: x != "")
+    bold, code = lambda x: x.rlike(f"^{BOLD}$"), lambda x: x.rlike(f"^{CODE}$")
     return F.transform(parts, lambda x: F.struct(F.when(bold(x), "bold").when(code(x), "code").otherwise("text").alias("kind"), F.when(bold(x), F.substring(x, F.lit(3), F.length(x) - 4)).when(code(x), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x).alias("text")))
 
 

@@ -142,9 +142,11 @@ def chunk_windows(spark, d):
     return _chunks(spark, d).select("section_id", "chunk_id", "chunk_seq", "word_count", F.md5("text").alias("digest"))
 
 
-@query(f"WITH {SQL_CHUNKS} SELECT count(*) AS n_chunks, round(avg(word_count), 6) AS avg_words, 0::BIGINT + count(*) FILTER (regexp_matches(text, '(?i)\\bWARNING\\b')) AS n_warning FROM chunks")
+@query(rf"""WITH {SQL_CHUNKS} SELECT count(*) AS n_chunks, round(avg(word_count), 6) AS avg_words, 0::BIGINT + count(*) FILTER (regexp_matches(text, '(?i)\bWARNING\b')) AS n_warning,
+  CAST(coalesce(sum(len(regexp_extract_all(text, '(?m)^\s*(?:\(\d+\)|\d+[.\):]|Step\s+\d+:|[a-z][.\)])\s+\S'))), 0) AS BIGINT) AS n_steps,
+  CAST(coalesce(sum(len(regexp_extract_all(text, '(?i)\b\d+(?:[.,]\d+)?\s*(?:Nm|N\.m|ft\.?lb|bar|psi|mm|cm|°[CF]|kPa)\b'))), 0) AS BIGINT) AS n_measurements FROM chunks""")
 def chunk_stats(spark, d):
-    return chunking.chunk_stats(_chunks(spark, d)).select("n_chunks", "avg_words", "n_warning")
+    return chunking.chunk_stats(_chunks(spark, d)).select("n_chunks", "avg_words", "n_warning", "n_steps", "n_measurements")
 
 
 @query(f"WITH {SQL_CHUNKS} SELECT chunk_id, row_number() OVER (ORDER BY doc_id, chunk_seq) - 1 AS global_seq FROM chunks")
@@ -984,3 +986,23 @@ def first_entities(spark, d):
     asked = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat("n_name", F.lit(" 05")).alias("query"))
     nodes, _ = graph_hits(_artefacts(spark, d), asked)
     return context_entities(nodes).select("query_id", F.array_join("entities", ",").alias("entities"), "entities_found")
+
+
+@query("SELECT p_partkey, CASE WHEN length(n) > 16 THEN substr(n, 1, 15) || '…' ELSE n END AS label FROM (SELECT p_partkey, replace(p_name || '_' || p_brand, '_', ' ') AS n FROM part)")
+def short_labels(spark, d):
+    """Labels of drawn nodes."""
+    return table(spark, d, "part").select("p_partkey", T.short_label(F.concat_ws("_", "p_name", "p_brand")).alias("label"))
+
+
+@query("SELECT conv_id, turn, 'text,bold,text,code' AS kinds, role AS bold, 'c' || turn AS code FROM conversations")
+def answer_spans(spark, d):
+    """Bold, code and plain parts of an answer's line."""
+    line = F.concat(F.lit("see **"), "role", F.lit("** or `c"), "turn", F.lit("`"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", reports.spans(line).alias("s"))
+    return rows.select("conv_id", "turn", F.array_join("s.kind", ",").alias("kinds"), F.col("s.text")[1].alias("bold"), F.col("s.text")[3].alias("code"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(string_split(p_name || ',,' || p_type || ',', ','), lambda x: x <> ''), '|') AS parts FROM part")
+def split_lists(spark, d):
+    """Comma-joined lists as arrays, without empty parts."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(jsons.split_list(F.concat("p_name", F.lit(",,"), "p_type", F.lit(","))), "|").alias("parts"))
