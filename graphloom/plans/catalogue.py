@@ -753,11 +753,11 @@ UNION ALL SELECT 'DocumentSection', id, NULL, title, NULL, ata, NULL, NULL, leve
 UNION ALL SELECT 'Entity', id, norm_name, NULL, NULL, '00', NULL, NULL, NULL, brand, merged, 'K0-0,K1-1', id IN (SELECT 'P' || vec_id FROM embeddings), NULL FROM res)"""
 _SQL_BUILT_EDGES = f"""{SQL_RELS}, be AS (SELECT chunk_id AS src, lead(chunk_id) OVER (ORDER BY global_seq) AS dst, 'ADJACENT_TO' AS type FROM c UNION SELECT chunk_id, section_id, 'PART_OF_SECTION' FROM c
 UNION SELECT chunk_id, id, 'CONTAINS' FROM c, res WHERE chunk_id IN ('K0-0', 'K1-1') UNION SELECT rels.s, names.id, rels.type FROM rels JOIN res ON rels.s = res.id JOIN names ON names.norm_name = {SQL_DEDUP.format('rels.t')})"""
-_NODE_COLUMNS = "label, id, name, title, section_title, ata, md5(text) AS text, section_id, level, description, merged, source_chunks, embedded, global_seq"
+_NODE_COLUMNS = "label, id, name, title, section_title, ata, md5(text) AS text, section_id, level, description, merged::VARCHAR AS merged, source_chunks, embedded, global_seq::VARCHAR AS global_seq"
 
 
 def _node_rows(nodes):
-    return nodes.select("label", "id", "name", "title", "section_title", "ata", F.md5("text").alias("text"), "section_id", F.col("level").cast("string").alias("level"), "description", "merged", "source_chunks", F.col("embedding").isNotNull().alias("embedded"), "global_seq")
+    return nodes.select("label", "id", "name", "title", "section_title", "ata", F.md5("text").alias("text"), "section_id", F.col("level").cast("string").alias("level"), "description", F.col("merged").cast("string").alias("merged"), "source_chunks", F.col("embedding").isNotNull().alias("embedded"), F.col("global_seq").cast("string").alias("global_seq"))
 
 
 @query(f"{SQL_SECTION_CHUNKS}, {_SQL_SECTIONS}, {SQL_RESOLVED}, {_SQL_BUILT_NODES} SELECT {_NODE_COLUMNS} FROM bn")

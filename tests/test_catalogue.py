@@ -24,7 +24,7 @@ def con():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    return sorted(tuple("null" if pd.isna(x) else repr(float(x)) if isinstance(x, float) else str(x) for x in r) for r in frame[columns].astype(object).itertuples(index=False))
+    return sorted(tuple("null" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x == int(x) else repr(float(x)) if isinstance(x, float) else str(x) for x in r) for r in frame[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
