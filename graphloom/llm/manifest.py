@@ -112,7 +112,7 @@ def _block_proofs(fanout: int, levels: int):
         k = min(levels, height(n, fanout))
         subroot, root, ways = (outer.column(c)[0].as_py() for c in ("subroot", "root", "ways"))
         con.register("leaves", leaves)
-        steps = ["s0 AS (SELECT row, pos, lower(hex(other)) AS cur, '' AS sib FROM (SELECT row_number() OVER () AS row, pos, other FROM leaves))"]
+        steps = ["s0 AS (SELECT row, pos, lower(hex(coalesce(other, leaf))) AS cur, '' AS sib FROM (SELECT row_number() OVER () AS row, pos, leaf, other FROM leaves))"]
         for at in range(1, k + 1):
             before, after = f"substr(r, 1, 64 * (pos % {fanout}))", f"substr(r, 64 * (pos % {fanout}) + 65)"
             steps.append(f"s{at} AS (SELECT row, pos // {fanout} AS pos, sha256({before} || cur || {after}) AS cur, sib || {before} || {after} AS sib FROM s{at - 1} JOIN r{at} ON run = pos // {fanout})")
@@ -124,7 +124,7 @@ def _block_proofs(fanout: int, levels: int):
         sql = f"{_level_sql(k, fanout)}, {', '.join(steps)} SELECT {cur} AS folded, sha256(sib || ?) AS proof FROM s{k} ORDER BY row"
         got = con.sql(sql, params=[*given, above]).to_arrow_table()
         con.unregister("leaves")
-        folded = [root if x is None else x for x in got.column("folded").to_pylist()]
+        folded = got.column("folded").to_pylist()
         same = lambda x: pa.array([x] * len(folded), pa.string())
         hexed = pa.array([x.hex() for x in leaves.column("leaf").to_pylist()], pa.string())
         return pa.table({"id": leaves.column("id"), "leaf": hexed, "subroot": same(subroot), "root": same(root), "proof_sha256": got.column("proof"), "folded_root": pa.array(folded, pa.string()), "verified": pa.array([x == root for x in folded], pa.bool_())})
@@ -139,7 +139,7 @@ def merkle_manifest(rows: DataFrame, columns: list[str], id_col: str, group_col:
     neighbours become the digest of theirs, the last run being shorter, until one is left, the subroot; a lone leaf is its own. Subroots in
     order of their groups, null first, bytewise, lead to the root in the same way. The proof is the digest of all that stands beside a row's way
     up, level by level, left to right. Where the condition where holds, the row counts as changed: its leaf is made of the columns as changed has them,
-    and folded_root is what that leaf and the original siblings lead to; elsewhere it is the root.
+    and folded_root is what that leaf and the original siblings lead to; elsewhere it is worked out in the same way from the row's own leaf.
 
     Leaves are made in one scan, so only digests move. They are numbered by ranges and dealt in aligned blocks of fanout ** levels; DuckDB
     works out a block's levels where it lies, first for its root, then, once Spark has combined the roots and handed every block the

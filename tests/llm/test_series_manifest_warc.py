@@ -8,6 +8,7 @@ import zlib
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,15 @@ def test_copies_of_a_hot_payload(spark, tmp_path):
         assert all(got[f"r{i}"] == (None if i == 0 else "r0") for i in range(0, 60, 3))
         assert len(got) == 60
     assert warc.write_archives(frame, str(tmp_path / "e")).filter("record_type = 'response'").count() == 1 + len({i % 20 for i in range(60) if i % 3})
+
+
+def test_unchanged_rows_are_folded_from_their_leaves():
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    leaves = [digest(str(i)) for i in range(3)]
+    held = pa.table({"id": [0, 1, 2], "pos": [0, 1, 2], "n": [3] * 3, "leaf": [bytes.fromhex(x) for x in leaves], "other": pa.nulls(3, pa.binary())})
+    root = digest("".join(leaves))
+    for named, verified in ((root, True), (digest("another root"), False)):
+        outer = pa.table({"subroot": [root], "root": [named], "ways": pa.array([[]], pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())])))})
+        got = manifest._block_proofs(8, 4)((), held, outer)
+        assert got.column("folded_root").to_pylist() == [root] * 3
+        assert got.column("verified").to_pylist() == [verified] * 3
