@@ -348,3 +348,16 @@ def test_intermediate_tables_are_deleted_by_their_owner(spark, tmp_path):
     assert set(folder.iterdir()) == before
     assert kept.count() == 3
     assert tables.sweep(spark) >= 1
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_budget_deals_lines_once(spark):
+    rows = spark.createDataFrame([(q, s, p, "x" * (30 * (p + 1))) for q in range(3) for s in range(3) for p in range(40)], "query_id long, section long, place long, line string")
+    kept = retrieval.within_budget(rows, 700)
+    assert _plan(kept).count("Exchange hashpartitioning") == 1
+    got = {(r["query_id"], r["section"], r["place"]) for r in kept.collect()}
+    assert {(1, 0, -1), (1, 0, 0), (1, 1, -1), (1, 1, 0), (1, 2, -1), (1, 2, 0)} <= got
