@@ -12,10 +12,15 @@ from graphloom.config import COMMUNITY_MIN, COMMUNITY_RESOLUTION, MEMBERS_STORED
 from graphloom.sources.tables import settled
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides meet on executors whatever their size: turns are many, and each table broadcast in one would go through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def projection(nodes: DataFrame, edges: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """(a, b), a < b: the simple undirected graph over nodes of the wanted types."""
     ids = nodes.filter(~F.col("label").isin(exclude if exclude is not None else PROJECTION_EXCLUDES)).select(F.col("id").alias("_id")).distinct()
-    held = edges.join(ids, F.col("src") == F.col("_id"), "left_semi").join(ids, F.col("dst") == F.col("_id"), "left_semi")
+    held = _met(_met(edges, ids, F.col("src") == F.col("_id"), "left_semi"), ids, F.col("dst") == F.col("_id"), "left_semi")
     return held.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
 
 
@@ -24,7 +29,7 @@ def modularity(pairs: DataFrame, partition: DataFrame, resolution: float = COMMU
     w = F.col("w") if "w" in pairs.columns else F.lit(1.0)
     rows = pairs.select("a", "b", w.alias("w"))
     ca, cb = partition.select(F.col("node").alias("a"), F.col("community").alias("ca")), partition.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    ends = rows.join(ca, "a").join(cb, "b")
+    ends = _met(_met(rows, ca, "a"), cb, "b")
     inside = F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)
     by_side = ends.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "w", inside.alias("i")), F.struct(F.col("cb").alias("c"), "w", F.lit(0.0).alias("i")))).alias("x")).select("x.*")
     sums = by_side.groupBy("c").agg(F.sum("w").alias("d"), F.sum("i").alias("i"))
@@ -37,14 +42,14 @@ def gaining_moves(weights: DataFrame, degrees: DataFrame, partition: DataFrame,
 
     weights: a, b, w both ways round; degrees: node, d; gain is that of modularity times m, the weight of all edges."""
     of_b = partition.select(F.col("node").alias("b"), F.col("community").alias("to"))
-    links = weights.filter("a <> b").join(of_b, "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("links"))
-    own = partition.join(degrees, "node")
+    links = _met(weights.filter("a <> b"), of_b, "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("links"))
+    own = _met(partition, degrees, "node")
     mass = own.groupBy(F.col("community").alias("to")).agg(F.sum("d").alias("mass"))
-    tried = links.join(mass, "to").join(own, "node")
+    tried = _met(_met(links, mass, "to"), own, "node")
     here = F.col("to") == F.col("community")
     value = F.col("links") - resolution * F.col("d") * (F.col("mass") - F.when(here, F.col("d")).otherwise(0.0)) / (2 * m)
     best = tried.groupBy("node").agg(F.min(F.struct((-value).alias("v"), "to")).alias("best"), F.max(F.when(here, F.col("links"))).alias("kept"))
-    now = best.join(own.join(mass.withColumnRenamed("to", "community"), "community"), "node")
+    now = _met(best, _met(own, mass.withColumnRenamed("to", "community"), "community"), "node")
     stay = F.coalesce("kept", F.lit(0.0)) - resolution * F.col("d") * (F.col("mass") - F.col("d")) / (2 * m)
     moves = now.select("node", "community", F.col("best.to").alias("to"), "d", (-F.col("best.v") - stay).alias("gain"))
     return moves.filter((F.col("to") != F.col("community")) & (F.col("gain") > 1e-9))
@@ -64,7 +69,7 @@ def independent_moves(moves: DataFrame, m: float, resolution: float, turn: int)
     ends = moves.select(F.explode(F.array("community", "to")).alias("c"), rank.alias("r"), "d")
     by = ends.groupBy("c").agg(F.max("r").alias("first"), F.sum("d").alias("mass"))
     side = lambda c: by.select(F.col("c").alias(c), F.col("first.node").alias(f"first_{c}"), F.col("mass").alias(f"mass_{c}"))
-    held = moves.join(side("community"), "community").join(side("to"), "to")
+    held = _met(_met(moves, side("community"), "community"), side("to"), "to")
     chosen = (F.col("first_community") == F.col("node")) & (F.col("first_to") == F.col("node"))
     if turn % 2 == 0:
         taken = resolution * F.col("d") * (F.col("mass_community") + F.col("mass_to") - 2 * F.col("d")) / (2 * m)
@@ -83,14 +88,14 @@ def settled_moves(weights: DataFrame, partition: DataFrame, m: float, resolution
         if moves.isEmpty():
             return partition, moved
         made = independent_moves(moves, m, resolution, turn)
-        partition, moved = settled(partition.join(made, "node", "left").select("node", F.coalesce("to", "community").alias("community"))), True
+        partition, moved = settled(_met(partition, made, "node", "left").select("node", F.coalesce("to", "community").alias("community"))), True
     raise RuntimeError(f"communities not settled after {most} turns")
 
 
 def aggregated(weights: DataFrame, partition: DataFrame) -> DataFrame:
     """The graph whose nodes are communities: (a, b, w) both ways round, edges inside one as its loop."""
     ca, cb = partition.select(F.col("node").alias("a"), F.col("community").alias("ca")), partition.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    return settled(weights.join(ca, "a").join(cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    return settled(_met(_met(weights, ca, "a"), cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
 def louvain(pairs: DataFrame, resolution: float = COMMUNITY_RESOLUTION, nodes: DataFrame | None = None) -> DataFrame:
@@ -114,12 +119,12 @@ def louvain(pairs: DataFrame, resolution: float = COMMUNITY_RESOLUTION, nodes: D
             if not some:
                 break
             merged = True
-            result = settled(result.join(joined.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")))
+            result = settled(_met(result, joined.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")))
             level = aggregated(level, joined)
         if not merged:
             break
     if nodes is not None:
-        alone = nodes.select(F.col("id").alias("node")).filter("node is not null").distinct().join(result, "node", "left_anti")
+        alone = _met(nodes.select(F.col("id").alias("node")).filter("node is not null").distinct(), result, "node", "left_anti")
         result = result.unionByName(alone.select("node", F.col("node").alias("community")))
     return result
 

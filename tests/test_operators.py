@@ -354,6 +354,14 @@ def _plan(rows):
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_louvain_joins_send_nothing_to_the_driver(spark):
+    weights = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0), ("c", "b", 2.0)], "a string, b string, w double")
+    degrees = weights.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d"))
+    alone = spark.createDataFrame([(x, x) for x in "abc"], "node string, community string")
+    moves = community.gaining_moves(weights, degrees, alone, 3.0)
+    for rows in (moves, community.independent_moves(moves, 3.0, 1.0, 0), community.modularity(weights, alone), community.projection(alone.selectExpr("node as id", "'System' as label"), weights.selectExpr("a as src", "b as dst"))):
+        assert "Broadcast" not in _plan(rows)
+
 
 def test_budget_deals_lines_once(spark):
     rows = spark.createDataFrame([(q, s, p, "x" * (30 * (p + 1))) for q in range(3) for s in range(3) for p in range(40)], "query_id long, section long, place long, line string")
