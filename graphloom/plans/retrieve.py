@@ -32,9 +32,11 @@ def text_hits(found: Artefacts, questions: DataFrame, mode: str = "hybrid") -> D
     c = found.chunks.select(F.col("id").cast("string").alias("id"), "title", "text", "ata")
     settings = Settings.of(questions.sparkSession)
     c = c.filter(F.size(T.search_tokens(F.concat_ws(" ", "title", "text"))) > 0)  # a chunk without a token is in no path
+    c = settled(c)  # every path reads them, more than once
     by_words = search.bm25_topk(c, questions, "id", "title", "text", k=TOP_BM25).withColumnRenamed("doc", "id").withColumn("source", F.lit("bm25"))
     asked = encoding.encode(questions, "query", into="q", dim=settings.encoder_dim).select("query_id", "q")
-    by_vector = retrieval.vector_topk(encoding.encode(c, "text", into="vector", dim=settings.encoder_dim).select("id", "vector"), asked, mode=settings.score_mode).withColumn("source", F.lit("vector"))
+    vectors = settled(encoding.encode(c, "text", into="vector", dim=settings.encoder_dim).select("id", "vector"))
+    by_vector = retrieval.vector_topk(vectors, asked, mode=settings.score_mode).withColumn("source", F.lit("vector"))
     paths = [by_vector.join(c, "id"), by_words.join(c, "id")]
     if mode == "hybrid":
         texts = found.communities.select(F.col("id").cast("string").alias("id"), F.lit("").alias("title"), F.col("summary").alias("text"), F.lit("").alias("ata"))

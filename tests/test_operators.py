@@ -369,3 +369,20 @@ def test_budget_deals_lines_once(spark):
     assert _plan(kept).count("Exchange hashpartitioning") == 1
     got = {(r["query_id"], r["section"], r["place"]) for r in kept.collect()}
     assert {(1, 0, -1), (1, 0, 0), (1, 1, -1), (1, 1, 0), (1, 2, -1), (1, 2, 0)} <= got
+
+
+def test_chunks_of_a_context_are_made_once(spark):
+    from graphloom.plans.retrieve import Artefacts, retrieve
+
+    made = spark.sparkContext.accumulator(0)
+
+    def text(x):
+        made.add(1)
+        return f"pump {x} leaks"
+
+    chunks = spark.range(30).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.udf(text, "string")("id").alias("text"), F.lit("05").alias("ata"))
+    none = spark.createDataFrame([], "id string, label string, name string, description string, ata string")
+    found = Artefacts(none, spark.createDataFrame([], "src string, dst string, type string"), chunks, spark.createDataFrame([], "id string, summary string"))
+    asked = spark.createDataFrame([(1, "pump 7")], "query_id long, query string")
+    assert "pump 7 leaks" in retrieve(found, asked, mode="baseline").first()["context"]
+    assert made.value <= 60  # at most once for the filter and once for the text
