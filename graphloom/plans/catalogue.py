@@ -911,7 +911,7 @@ def paged_documents(spark, d):
     path = scratch_path(spark, "paged")
     turn = F.struct("turn", F.concat(F.when((F.col("conv_id") % 3 != 0) & (F.col("turn") % 2 == 1), F.concat(F.expr("repeat('#', cast(1 + turn % 3 as int))"), F.lit(" "), "role", F.lit(" "), F.lpad((F.col("turn") % 90).cast("string"), 2, "0"), F.lit("\n"))).otherwise(F.lit("")), F.regexp_replace("text", r"[#\f]", "")).alias("page"))
     files = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["page"]), "\f").alias("pages"))
-    files.select(F.concat(F.lit("conv "), "conv_id", F.lit("\n"), "pages")).write.option("maxRecordsPerFile", 1).text(path)
+    documents.write_documents(files.select(F.concat("conv_id", F.lit(".txt")).alias("name"), F.concat(F.lit("conv "), "conv_id", F.lit("\n"), "pages", F.lit("\n")).alias("text")), path)
     rows = settled(documents.sections_read(spark, path, "*.txt"))
     named = rows.filter("page_idx = 0").select("path", F.regexp_extract("text", r"^conv (\d+)", 1).cast("long").alias("conv_id"))
     return rows.join(named, "path").select("conv_id", F.col("page_idx").cast("long").alias("page_idx"), F.md5("text").alias("digest"), "id", F.col("level").cast("long").alias("level"), "title", "ata", "page_start", "page_end")

@@ -25,6 +25,7 @@ KINDS = {
 DDL = {"pages": "path string, page_idx int, text string, n_pages int", "contents": "path string, idx int, level int, title string, page_1 long, n_pages int"}
 # Fixed value: the title of a document without contents.
 UNTITLED = "Main Content"
+OPEN = 32 << 10  # what opening a file costs, in bytes read meanwhile
 _HEADING = re.compile(r"(?m)^(#{1,12})[ \t]+(\S.*)$")
 
 
@@ -65,7 +66,7 @@ class DocumentReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        """Files by path, together as long as they are small: a task takes files of bytesatask, a larger file is a task's own."""
+        """Files by path, together as long as they are small: a task takes files of bytesatask, to which each adds OPEN for being opened; a larger file is a task's own."""
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(self.path)
@@ -81,7 +82,7 @@ class DocumentReader(DataSourceReader):
                 parts.append([])
                 held = 0
             parts[-1].append(prefix + path)
-            held += size
+            held += size + OPEN
         return [Files(p) for p in parts] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -121,6 +122,29 @@ def read_documents(spark: SparkSession, path: str, what: str = "pages", pattern:
     return spark.read.format("paged_documents").option("what", what).option("pattern", pattern).option("parser", parser).load(path)
 
 
+def _files_written(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        store.create_dir(base)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{base}/{name}") as file:
+                    file.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return run
+
+
+def write_documents(files: DataFrame, path: str) -> int:
+    """Writes each row of files (name, text) as a file of its own in the folder path; their number. Rows of a null name or text are left out.
+
+    Tasks write under the names given, so no file is moved when they end, and a task that is tried again writes the same files; one name in two rows is the caller's error."""
+    rows = files.select("name", "text").filter("name is not null and text is not null")
+    return rows.mapInArrow(_files_written(path), "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def sections_read(spark: SparkSession, path: str, pattern: str = "*", parser: str = "text") -> DataFrame:
     """(path, page_idx, text, id, level, title, ata, page_start, page_end): every page of every file with the deepest section that spans it."""
     contents = read_documents(spark, path, "contents", pattern, parser).withColumnRenamed("path", "doc")

@@ -386,3 +386,12 @@ def test_chunks_of_a_context_are_made_once(spark):
     asked = spark.createDataFrame([(1, "pump 7")], "query_id long, query string")
     assert "pump 7 leaks" in retrieve(found, asked, mode="baseline").first()["context"]
     assert made.value <= 60  # at most once for the filter and once for the text
+
+
+def test_small_files_are_written_in_place_and_dealt_to_tasks(spark, tmp_path):
+    files = spark.range(40).select(F.concat(F.lit("f"), "id", F.lit(".txt")).alias("name"), F.concat(F.lit("# 05 a\none "), "id", F.lit("\ftwo\n")).alias("text"))
+    path = str(tmp_path / "files")
+    assert documents.write_documents(files.unionAll(files.limit(1).select(F.lit(None).cast("string"), "text")), path) == 40
+    assert documents.read_documents(spark, path).count() == 80
+    reader = documents.DocumentReader({"path": path, "pattern": "*.txt", "bytesatask": str(documents.OPEN * 10)})
+    assert len(reader.partitions()) >= 4
