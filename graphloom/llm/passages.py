@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import U64, Words, flat, forget, materialise, mix, numbered_rows, slices, table
+from graphloom.llm.components import connected_components
 
 SHINGLE = 5
-#: shingles on either side of a window's smallest value of which a partner has those of one side at least
-CONTEXT = 11
+#: shingles on either side of a window's smallest value; half of AHEAD
+CONTEXT = 9
 #: equal shingles in a row about the smallest value from which on words put in or left out are looked for
 AHEAD = 18
-#: shingles of the blocks by which spans of one signature look for partners
-BLOCK = 7
 #: how far the two parts of a passage may be shifted against each other by words put in or left out
 SHIFT = 6
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U64)
@@ -97,29 +96,56 @@ class _Runs:
         return mix((self.sums[high] - self.sums[low]) * self.back[low] + (high - low).astype(U64))
 
 
-_WINDOW = "key long, row long, at int, left byte, right byte, before int, after int, whole long, other long, other_at int"
+_SIDES = ("before", "after", "far_before", "far_after")
+_WINDOW = "key long, row long, at int, left byte, right byte, before short, after short, far_before short, far_after short, whole long, other long, other_at int"
+
+
+def _stretches(least: int) -> list[tuple[int, int]]:
+    """Stretches of places about a window's smallest value, as _SIDES names them: spans that share a passage agree in one at least.
+
+    Of least = 46 places or more and similarity 0.8 or more. A changed word takes five equal places in a row or more, and a run of 46 to 53 places may
+    lack five, of 90 ten. If the equal places about the middle go on for CONTEXT to one side, these agree. If not, the run lies to one
+    side of the middle for the greatest part: at most 8 equal places, at most 6 unequal ones, then equal ones to
+    its end, 37 places or more from the middle; or it is of 90 places, with equal ones from the 15th on at either side.
+    With words put in or left out AHEAD equal places are asked for, of which CONTEXT are to one side."""
+    return [(-CONTEXT, 0), (0, CONTEXT), (CONTEXT - least, -CONTEXT - 8), (CONTEXT + 8, least - CONTEXT)]
+
+
+def _sure(least: int, similarity: float) -> bool:
+    """Whether _stretches() holds; else all windows of a signature meet."""
+    return least == 46 and similarity >= 0.8
+
+
+def _next_rows(first: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """At the first of each run of equal windows, sorted by row, the next row that has one; else -1."""
+    also = np.full(len(row), -1, np.int64)
+    tied = np.flatnonzero(row != row[first])[::-1]
+    also[first[tied]] = row[tied]  # the last one written is the smallest
+    return also
 
 
 def _flushed(columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Windows, of which those equal in key and whole to one of an earlier row name it (other, other_at)."""
-    key, row, at, left, _, _, _, whole = columns
+    """Windows, of which those equal in key and whole to one of an earlier row name it (other, other_at); that one names the next row that has it, at place -1."""
+    key, row, at, whole = columns[0], columns[1], columns[2], columns[-1]
     order = np.lexsort((at, row, whole, key))
     columns = [c[order] for c in columns]
-    key, row, at, left, _, _, _, whole = columns
+    key, row, at, whole = columns[0], columns[1], columns[2], columns[-1]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     tied = row != row[first]
     keep = tied | new
-    other = [pa.array(x[first][keep], mask=~tied[keep]) for x in (row, at)]
+    also = _next_rows(first, row)
+    some = (tied | (also >= 0))[keep]
+    other = [pa.array(x[keep], mask=~some) for x in (np.where(tied, row[first], also), np.where(tied, at[first], np.int32(-1)).astype(np.int32))]
     return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), *other], names=[f.split()[0] for f in _WINDOW.split(", ")])
 
 
-def _windows(hashes: int, least: int, most: int = 400_000):
+def _windows(hashes: int, least: int, sure: bool, most: int = 400_000):
     """Batches of (row, text) to the compact windows of every hash function: signature, row, place, reach, and hashes of what lies around.
 
     left, right: how far runs of least places that hold the place can go; whole: of all shingles between them;
-    before, after: of the place and the CONTEXT shingles on either side (0: the text ends there). Equal windows met
+    before to far_after: of the stretches about it (0: the text ends there, or they aren't sure). Equal windows met
     in one task name the first of them, so that copies don't meet again at their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +173,13 @@ def _windows(hashes: int, least: int, most: int = 400_000):
                     signs[place] = _signatures(own, f)
                     c, l, r = compact_windows(signs, least)
                     l, r = np.maximum(l, c - least + 1), np.minimum(r, c + least - 1)
-                    low, high = np.maximum(c - CONTEXT, 0), np.minimum(c + CONTEXT, len(x) - 1)
-                    d = row_at[c]
-                    before = np.where(row_at[low] == d, runs.hash(low, c + 1).astype(np.uint32) | np.uint32(1), np.uint32(0))
-                    after = np.where(row_at[high] == d, runs.hash(c, high + 1).astype(np.uint32) | np.uint32(1), np.uint32(0))
-                    held.append([signs[c].view(np.int64), rows[d], (c - begin[d]).astype(np.int32), (c - l).astype(np.int8), (r - c).astype(np.int8), before.view(np.int32), after.view(np.int32), runs.hash(l, r + 1).view(np.int64)])
+                    d, around = row_at[c], []
+                    for low, high in _stretches(least) if sure else []:
+                        low, high = np.clip(c + low, 0, len(x) - 1), np.clip(c + high, 0, len(x) - 1)  # walls at both ends
+                        held_by = (row_at[low] == d) & (row_at[high] == d)
+                        around.append(np.where(held_by, runs.hash(low, high + 1).astype(np.uint16) | np.uint16(1), np.uint16(0)).view(np.int16))
+                    around = around or [np.zeros(len(c), np.int16)] * len(_SIDES)
+                    held.append([signs[c].view(np.int64), rows[d], (c - begin[d]).astype(np.int32), (c - l).astype(np.int8), (r - c).astype(np.int8), *around, runs.hash(l, r + 1).view(np.int64)])
                     size += len(c)
                 if size > most:
                     yield _flushed([np.concatenate(c) for c in zip(*held, strict=True)])
@@ -194,7 +222,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tupl
         yield pa.concat_batches(held), cut
 
 
-_MET = "key long, a long, a_at int, left byte, right byte, b long, b_at int, hot boolean"
+_MET = "key long, a long, a_at int, left byte, right byte, b long, b_at int, sides byte, also long"
 
 
 def _several(*columns: np.ndarray) -> np.ndarray:
@@ -207,27 +235,30 @@ def _several(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meet(most: int, large: int):
-    """Windows by signature: those that are equal as wholes are tied to the first of them; the others go on if they have one side's context in common with another row's.
+def _meet(most: int, large: int, sure: bool):
+    """Windows by signature: those that are equal as wholes are tied to the first of them, which is tied to itself; the different ones go on if they agree with another one in some stretch.
 
-    A signature with over large different windows, or over most in all, is marked as hot."""
+    sides: of a signature with over large different windows, or over most in all, the stretches in which they agree, as bits; else 0. also: the next row that has an equal window, or -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def plain() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                known = batch.column("other").is_valid()
+                known = pc.fill_null(pc.greater_equal(batch.column("other_at"), 0), False)
                 if pc.any(known).as_py():
                     tied.append(batch.filter(known))
                     batch = batch.filter(pc.invert(known))
                 yield batch
 
-        def sent(batch: pa.RecordBatch, rows: np.ndarray, b: pa.Array, b_at: pa.Array, hot: np.ndarray) -> pa.RecordBatch:
+        def sent(batch: pa.RecordBatch, rows: np.ndarray, b: pa.Array, b_at: pa.Array, sides: np.ndarray, also: np.ndarray) -> pa.RecordBatch:
             some = [batch.column(c).take(pa.array(rows)) for c in ("key", "row", "at", "left", "right")]
-            return pa.RecordBatch.from_arrays([*some, b, b_at, pa.array(hot)], names=[f.split()[0] for f in _MET.split(", ")])
+            return pa.RecordBatch.from_arrays([*some, b, b_at, pa.array(sides.astype(np.int8)), pa.array(also)], names=[f.split()[0] for f in _MET.split(", ")])
+
+        def tie(batch: pa.RecordBatch, rows: np.ndarray, b: pa.Array, b_at: pa.Array) -> pa.RecordBatch:
+            return sent(batch, rows, b, b_at, np.zeros(len(rows)), np.full(len(rows), -1, np.int64))
 
         def spent() -> Iterator[pa.RecordBatch]:
             for batch in tied:
-                yield sent(batch, np.arange(batch.num_rows), batch.column("other"), batch.column("other_at"), np.zeros(batch.num_rows, bool))
+                yield tie(batch, np.arange(batch.num_rows), batch.column("other"), batch.column("other_at"))
             tied.clear()
 
         tied: list[pa.RecordBatch] = []
@@ -239,24 +270,38 @@ def _meet(most: int, large: int):
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
             copies = np.flatnonzero(row != row[first])
             if len(copies):
-                yield sent(batch, copies, pa.array(row[first[copies]]), pa.array(at[first[copies]]), np.zeros(len(copies), bool))
+                yield tie(batch, copies, pa.array(row[first[copies]]), pa.array(at[first[copies]]))
             own = np.flatnonzero(new)
-            key, before, after = key[own], np.asarray(batch.column("before"))[own], np.asarray(batch.column("after"))[own]
+            also = np.stack([np.asarray(pc.fill_null(batch.column("other"), -1)), _next_rows(first, row)])[:, own].view(U64).min(axis=0).view(np.int64)  # -1 is the greatest
+            known = also >= 0
+            yield tie(batch, own[known], pa.array(row[own[known]]), pa.array(at[own[known]]))
+            key = key[own]
             starts = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
-            hot = np.repeat(np.diff(starts, append=len(key)) > large, np.diff(starts, append=len(key))) | part
-            go = hot | (_several(before, key) & (before != 0)) | (_several(after, key) & (after != 0))
+            sizes = np.diff(starts, append=len(key))
+            sides = np.zeros(len(key), np.int64)
+            if sure:
+                for k, name in enumerate(_SIDES):
+                    side = np.asarray(batch.column(name))[own]
+                    sides |= np.where((side != 0) & (part or _several(side, key)), 1 << k, 0)
+                go = sides > 0
+                sides[~(np.repeat(sizes > large, sizes) | part)] = 0
+            else:
+                go = np.repeat(sizes > 1, sizes) | part
             none = pa.nulls(int(go.sum()), pa.int64())
-            yield sent(batch, own[go], none, none.cast(pa.int32()), hot[go])
+            yield sent(batch, own[go], none, none.cast(pa.int32()), sides[go], also[go])
         yield from spent()
 
     return run
 
 
+_SPAN = "key long, row long, at int, left byte, near binary, also long, side byte"
+
+
 def _spans(least: int):
-    """Batches of (row, text, met) to (key, row, at, left, near, hot): of every window met, 16 bits of each shingle within its reach.
+    """Batches of (row, text, met) to spans (_SPAN): of every window met, 16 bits of each shingle within its reach.
 
-    A window of a hot signature comes twice, under keys made of the signature and one side's context, so that those meet
-    which have a side in common, as others of one signature must; hot marks the first of the two."""
+    A window of a hot signature comes under keys made of the signature and of each stretch that it shares, so that those meet
+    which agree in one, as those that share a passage must. side: that stretch, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,25 +309,26 @@ def _spans(least: int):
                 words, met = Words(raw, offsets), part.column("met")
                 own, cuts = shingles(words.hashes), np.searchsorted(words.row, np.arange(len(offsets)))
                 d = np.repeat(np.arange(part.num_rows), met.value_lengths().to_numpy(zero_copy_only=False))
-                key, at, left, right, hot = (np.asarray(x) for x in met.flatten().flatten())
-                again = np.concatenate([np.arange(len(key)), np.flatnonzero(hot)])
-                second = np.arange(len(again)) >= len(key)
-                key, at, left, right, hot, d = (x[again] for x in (key.view(U64), at, left.astype(np.int64), right.astype(np.int64), hot, d))
-                split, middle = np.flatnonzero(hot), cuts[d] + at
-                side = np.where(second[split], 1, -1)
-                reach = np.where(second[split], right[split], left[split]) >= CONTEXT
-                context = own[np.clip(middle[split, None] + side[:, None] * np.arange(1, CONTEXT + 1), 0, len(own) - 1)]
-                mark = np.where(reach, 0, np.asarray(part.column("row"))[d[split]] * 1_000_003 + at[split]).astype(U64)  # too near an end: met by the other side
-                for i in range(CONTEXT):
-                    mark = mix(mark) + np.where(reach, context[:, i], U64(0))
-                key = key.copy()
-                key[split] = mix(key[split] ^ mix(mark + second[split].astype(U64)))
-                size = left + right + 1
-                ends = np.cumsum(size)
-                within = np.arange(int(size.sum())) - np.repeat(ends - size, size)
-                near = (own[np.repeat(middle - left, size) + within] >> U64(48)).astype(np.uint16) | np.uint16(1)
-                column = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int32)), pa.py_buffer(near)])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.asarray(part.column("row"))[d]), pa.array(at), pa.array(left.astype(np.int8)), column, pa.array(hot & ~second)], names=["key", "row", "at", "left", "near", "hot"])
+                key, at, left, right, sides, also = (np.asarray(x) for x in met.flatten().flatten())
+                key, at, left, right, middle = key.view(U64), at, left.astype(np.int64), right.astype(np.int64), cuts[d] + at
+                keys, which = [key[sides == 0]], [np.flatnonzero(sides == 0)]
+                for k, (low, high) in enumerate(_stretches(least)):
+                    split = np.flatnonzero(sides & (1 << k))
+                    mark = np.full(len(split), k + 1, U64)
+                    for i in range(low, high + 1):
+                        mark = mix(mark) + own[middle[split] + i]
+                    keys.append(mix(key[split] ^ mix(mark)))
+                    which.append(split)
+                side = np.repeat([0, *range(len(_SIDES))], [len(k) for k in keys]).astype(np.int8)
+                key, which = np.concatenate(keys), np.concatenate(which)
+                at, left, right, middle, d, also = (x[which] for x in (at, left, right, middle, d, also))
+                for some in np.array_split(np.arange(len(key)), len(key) // 20_000 + 1):
+                    size = (left + right + 1)[some]
+                    ends = np.cumsum(size)
+                    within = np.arange(int(size.sum())) - np.repeat(ends - size, size)
+                    near = (own[np.repeat((middle - left)[some], size) + within] >> U64(48)).astype(np.uint16) | np.uint16(1)
+                    column = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int32)), pa.py_buffer(near)])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(np.asarray(part.column("row"))[d[some]]), pa.array(at[some]), pa.array(left[some].astype(np.int8)), column, pa.array(also[some]), pa.array(side[some])], names=[f.split()[0] for f in _SPAN.split(", ")])
 
     return run
 
@@ -367,6 +413,17 @@ def _moved(x: np.ndarray, y: np.ndarray, same: np.ndarray, least: int, similarit
     return [c[fits] for c in (pair, low, high, low_y, high_y, s)]
 
 
+def _in_common(near: np.ndarray, a: np.ndarray, b: np.ndarray, slots: int = 2048) -> np.ndarray:
+    """Of each pair of spans at least as many as there are places of a whose shingle b has anywhere; more by chance, as slots are shared."""
+    others, at = np.unique(b, return_inverse=True)
+    own, mine = np.unique(a, return_inverse=True)
+    slot = lambda x: np.where(x == 0, 0, 1 + (x >> np.uint16(1)) % np.uint16(slots - 1)).astype(np.int32)
+    table = np.zeros((len(others), slots), bool)
+    table[np.arange(len(others))[:, None], slot(near[others])] = True
+    table[:, 0] = False  # places of no shingle
+    return np.count_nonzero(np.take(table.ravel(), slot(near[own])[mine] + (at * slots).astype(np.int32)[:, None]), axis=1)
+
+
 def _matched(near: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[np.ndarray]:
     """[a, b, low_a, high_a, low_b, high_b, similarity] of those pairs of spans that share a passage: columns of the matrix, ends included.
 
@@ -382,113 +439,85 @@ def _matched(near: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similar
         exact = high - low + 1 >= least
         k = np.flatnonzero(exact)
         found.append([a[part[k]], b[part[k]], low[k], high[k], low[k], high[k], np.ones(len(k))])
-        k = np.flatnonzero(~exact)
+        rest = ~exact
+        k = np.flatnonzero(rest & (np.count_nonzero(same, axis=1) >= _enough(least, similarity)))
         lo, hi = _similar_run(same[k], least, similarity, np.zeros(len(k), np.int64))
-        good = lo >= 0
+        k, lo, hi = k[lo >= 0], lo[lo >= 0], hi[lo >= 0]
         sums = np.cumsum(same[k], axis=1)
-        own = sums[good, hi[good]] - sums[good, lo[good]] + 1
-        k2, lo, hi = k[good], lo[good], hi[good]
-        found.append([a[part[k2]], b[part[k2]], lo, hi, lo, hi, own / (2 * (hi - lo + 1) - own)])
-        k = k[~good]
-        k = k[high[k] - low[k] + 1 >= AHEAD]
+        own = sums[np.arange(len(k)), hi] - sums[np.arange(len(k)), lo] + 1
+        found.append([a[part[k]], b[part[k]], lo, hi, lo, hi, own / (2 * (hi - lo + 1) - own)])
+        rest[k] = False
+        k = np.flatnonzero(rest & (high - low + 1 >= AHEAD))
+        k = k[_in_common(near, a[part[k]], b[part[k]]) >= _enough(least, similarity)] if len(k) else k
         if len(k):
             pair, *rest = _moved(x[k], y[k], same[k], least, similarity)
             found.append([a[part[k[pair]]], b[part[k[pair]]], *rest])
     return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
-def _run_hashes(near: np.ndarray, least: int) -> np.ndarray:
-    """A hash of every run of least places in each row that holds the middle; zero where it leaves the span."""
-    n = near.shape[1] - least + 1
-    out = np.zeros((len(near), n), U64)
-    for i in range(least):
-        out = out * _FACTORS[1] + near[:, i : i + n]
-    return np.where((near[:, :n] > 0) & (near[:, least - 1 :] > 0), mix(out) | U64(1), U64(0))
+def _candidates(near: np.ndarray, starts: np.ndarray, least: int, similarity: float, few: int = 32, tile: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of spans of a group that are equal in so many places, or for so long about the middle, that they may share a passage.
 
-
-def _pairs(near: np.ndarray, rows: np.ndarray, starts: np.ndarray, least: int, similarity: float, few: int = 6) -> list[np.ndarray]:
-    """Matches, as _matched() gives them, that link any two spans of a group, of different rows, which share a passage, directly or through others.
-
-    Groups of few spans: all pairs. Larger ones: each span with the group's first; then exact runs that the first
-    doesn't account for, each tied to the first span that has the same run at the same place; then spans still
-    alone, one by one, with their partners: a run of least places that is similar enough, or one of AHEAD, holds two
-    blocks of BLOCK equal places from one fixed grid at least, so that of a span's blocks the commonest need not be looked up."""
+    Every pair of a group is looked at: groups of few spans pair by pair, larger ones as tables of spans by spans, a column at a time."""
+    enough, mid, width = _enough(least, similarity), near.shape[1] // 2, near.shape[1]
     sizes = np.diff(starts, append=len(near))
     group = np.repeat(np.arange(len(starts)), sizes)
-    small = sizes[group] <= few
-    a, b = [], []
-    at = np.flatnonzero(small)
+    full = np.where(near == 0, np.uint16(2), near)  # places of no shingle equal nothing
+    at = np.flatnonzero(sizes[group] <= few)
     for step in range(1, few):
         at = at[at + step < len(near)]
         at = at[group[at] == group[at + step]]
-        a.append(at)
-        b.append(at + step)
-    rest = np.flatnonzero(~small)
-    a.append(starts[group[rest]])
-    b.append(rest)
-    a, b = np.concatenate(a), np.concatenate(b)
-    apart = rows[a] != rows[b]
-    out = [_matched(near, a[apart], b[apart], least, similarity)]
-    if not len(rest):
-        return out[0]
-    # runs of the larger groups' spans that the group's first doesn't hold
-    low, high = np.full(len(near), near.shape[1]), np.full(len(near), -1)
-    tied = np.zeros(len(near), bool)
-    tied[starts] = True
-    first = out[0]
-    low[first[1]], high[first[1]], tied[first[1]] = first[4], first[5], True
-    tied[rest] |= rows[rest] == rows[starts[group[rest]]]
-    held = near[rest] > 0
-    begin, end = held.argmax(axis=1), near.shape[1] - 1 - held[:, ::-1].argmax(axis=1)
-    own = rest[(begin < low[rest]) | (end > high[rest]) | (low[rest] == near.shape[1])]
-    edges = np.flatnonzero(np.diff(group[own], prepend=-1))  # some whole groups at a time
-    edges = edges[np.diff(edges // 4096, prepend=-1) > 0]
-    for part in np.split(own, edges[1:]) if len(own) else []:
-        hashes = _run_hashes(near[part], least)
-        offset = np.arange(hashes.shape[1])
-        hashes[(offset[None, :] >= low[part][:, None]) & (offset[None, :] + least - 1 <= high[part][:, None])] = 0
-        who, o = np.nonzero(hashes)
-        value = mix(mix(hashes[who, o] + o.astype(U64)) + group[part[who]].astype(U64))
-        order = np.argsort(value, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = value[order][1:] != value[order][:-1]
-        chief = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        x, y = part[who[chief]], part[who[order]]
-        both = np.unique(np.stack([x, y])[:, rows[x] != rows[y]], axis=1)
-        if both.shape[1]:
-            out.append(_matched(near, both[0], both[1], least, similarity))
-            tied[out[-1][1]] = True
-    lone = rest[~tied[rest]]
-    if len(lone):
-        enough, blocks = _enough(least, similarity), near.shape[1] // BLOCK
-        grid = near[rest, : blocks * BLOCK].reshape(len(rest), blocks, BLOCK)
-        token = np.arange(blocks, dtype=U64)[None, :] + group[rest].astype(U64)[:, None] * U64(blocks)
-        for i in range(BLOCK):
-            token = mix(token) + grid[:, :, i]
-        known, token, times = np.unique(np.where((grid > 0).all(axis=2), token, U64(0)), return_inverse=True, return_counts=True)
-        token = token.reshape(len(rest), blocks)
-        times[known == 0] = 0
-        order = np.argsort(token, axis=None, kind="stable") // blocks
-        ends = np.cumsum(np.bincount(token.ravel(), minlength=len(known)))
-        place, own = np.searchsorted(rest, lone), np.zeros(1 << 16, bool)
-        done = np.zeros(len(near), bool)
-        while len(place):
-            x, y = [], []
-            for i in place[:64].tolist():
-                done[rest[i]] = True
-                rare = sorted(token[i].tolist(), key=times.__getitem__)[:-1]
-                partners = rest[np.unique(np.concatenate([order[ends[t] - times[t] : ends[t]] for t in rare]))]
-                partners = partners[(rows[partners] != rows[rest[i]]) & ~done[partners]]
-                own[near[rest[i]]] = True
-                own[0] = False
-                partners = partners[np.count_nonzero(own[near[partners]], axis=1) >= enough]
-                own[near[rest[i]]] = False
-                x.append(np.full(len(partners), rest[i]))
-                y.append(partners)
-            out.append(_matched(near, np.concatenate(x), np.concatenate(y), least, similarity))
-            tied[rest[place[:64]]] = tied[out[-1][1]] = True
-            place = place[64:][~tied[rest[place[64:]]]]
-    return [np.concatenate(c) for c in zip(*out, strict=True)]
+        for a in np.array_split(at, len(at) // 4_000 + 1):
+            same = full[a] == near[a + step]
+            a = a[(np.count_nonzero(same, axis=1) >= enough) | same[:, mid - CONTEXT : mid + 1].all(axis=1) | same[:, mid : mid + CONTEXT + 1].all(axis=1)]
+            if len(a):
+                yield a, a + step
+    for low, high in zip(starts[sizes > few].tolist(), (starts + sizes)[sizes > few].tolist(), strict=True):
+        columns, others = np.ascontiguousarray(full[low:high].T), np.ascontiguousarray(near[low:high].T)
+        for i in range(0, high - low, 64):
+            x = columns[:, i : i + 64, None]
+            for j in range(i, high - low, tile // 64):
+                y = others[:, None, j : j + tile // 64]
+                same, run = np.zeros((x.shape[1], y.shape[2]), np.uint8), np.zeros((x.shape[1], y.shape[2]), np.uint8)
+                for side in (range(mid, width), range(mid - 1, -1, -1)):
+                    alive = np.ones(same.shape, bool)
+                    for c in side:
+                        here = x[c] == y[c]
+                        same += here
+                        if abs(c - mid) <= AHEAD:
+                            alive &= here
+                            run += alive
+                a, b = np.nonzero((same >= enough) | (run >= AHEAD))
+                a, b = a + i, b + j
+                later = b > a
+                a, b = a[later], b[later]
+                for part in np.array_split(np.arange(len(a)), len(a) // 4_000 + 1):
+                    if len(part):
+                        yield low + a[part], low + b[part]
+
+
+def _matches(near: np.ndarray, starts: np.ndarray, least: int, similarity: float, wanted, side: np.ndarray | None = None) -> Iterator[list[np.ndarray]]:
+    """Matches, as _matched() gives them, of all pairs (a before b) of spans of a group for which wanted(a, b) holds when their turn comes.
+
+    side: of each span the stretch by which its group meets. Those that agree in an earlier one too meet by that."""
+    mid = near.shape[1] // 2
+    for a, b in _candidates(near, starts, least, similarity):
+        some = wanted(a, b)
+        for k in range(0 if side is None else int(side[a].max())):
+            low, high = (mid + p for p in _stretches(least)[k])
+            i = np.flatnonzero(some & (side[a] > k))
+            x, y = near[a[i], low : high + 1], near[b[i], low : high + 1]
+            some[i[((x == y) & (x > 0)).all(axis=1)]] = False
+        if some.any():
+            found = _matched(near, a[some], b[some], least, similarity)
+            if len(found[0]):
+                yield found
+
+
+def _pairs(near: np.ndarray, rows: np.ndarray, starts: np.ndarray, least: int, similarity: float) -> list[np.ndarray]:
+    """Matches, as _matched() gives them, of all pairs of spans of a group, of different rows, which share a passage."""
+    found = list(_matches(near, starts, least, similarity, lambda a, b: rows[a] != rows[b]))
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else _matched(near, starts[:0], starts[:0], least, similarity)
 
 
 _LINK = "a long, b long, a_start int, a_end int, b_start int, b_end int, similarity double"
@@ -507,59 +536,171 @@ def _ties(least: int, similarity: float, most: int):
     """Batches of spans, sorted by key and row, to links: the interval join of the spans of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in _whole_groups(batches, most):
+        for batch, _ in _whole_groups(batches, 1 << 62):
             key, row, at = (np.asarray(batch.column(c)) for c in ("key", "row", "at"))
-            a, b, low_a, high_a, low_b, high_b, s = _pairs(_laid_out(batch, least), row, np.flatnonzero(np.diff(key, prepend=key[0] ^ 1)), least, similarity)
-            at_a, at_b = at[a] - least + 1, at[b] - least + 1
-            yield _links(row[a], row[b], at_a + low_a, at_a + high_a + 1, at_b + low_b, at_b + high_b + 1, s)
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
+            for a, b, low_a, high_a, low_b, high_b, s in _matches(_laid_out(batch, least), starts, least, similarity, lambda a, b, row=row: row[a] != row[b], np.asarray(batch.column("side"))):
+                at_a, at_b = at[a] - least + 1, at[b] - least + 1
+                yield _links(row[a], row[b], at_a + low_a, at_a + high_a + 1, at_b + low_b, at_b + high_b + 1, s)
 
     return run
 
 
-def _hot_runs(least: int):
-    """Batches of spans to (run, row, at) of every run of least places that holds the smallest value."""
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    up = parent[at]
+    while (more := parent[up] != up).any():
+        up = np.where(more, parent[up], up)
+    return up
+
+
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of a and b, each named by its smallest member."""
+    while len(a):
+        x, y = _roots(parent, a), _roots(parent, b)
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        parent[np.maximum(x, y)] = np.minimum(x, y)  # of several the last counts; the others come again
+
+
+_SHARED = "row long, start int, end int, early_start int, early_end int, tie long, similarity double"
+
+
+def _shared(least: int, similarity: float):
+    """Batches of spans, sorted by key and row, to what each span shares (_SHARED): one row for a span, however many partners it has.
+
+    All pairs of a group are looked at, and those are verified that can still add something: tie two sets of spans that
+    weren't tied, or show that more of a span is shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 2000):
-                batch = whole.slice(low, 2000)
-                hashes = _run_hashes(_laid_out(batch, least), least)
-                who, o = np.nonzero(hashes)
-                row, at = (np.asarray(batch.column(c))[who] for c in ("row", "at"))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(hashes[who, o] + o.astype(U64)).view(np.int64)), pa.array(row), pa.array((at - least + 1 + o).astype(np.int32))], names=["run", "row", "at"])
+        for batch, _ in _whole_groups(batches, 1 << 62):
+            key, row, at, also = (np.asarray(batch.column(c)) for c in ("key", "row", "at", "also"))
+            near = _laid_out(batch, least)
+            begin, end = (near > 0).argmax(axis=1), near.shape[1] - 1 - (near[:, ::-1] > 0).argmax(axis=1)
+            parent, best = np.arange(len(row)), np.zeros(len(row))
+            low, high = np.full((2, len(row)), near.shape[1] + SHIFT), np.full((2, len(row)), -1 - SHIFT)  # with any row, and with an earlier one
+
+            def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                apart, out = row[a] != row[b], np.zeros(len(a), bool)
+                for x, y in ((a, b), (b, a)):
+                    left, right = np.maximum(begin[x], begin[y] - SHIFT), np.minimum(end[x], end[y] + SHIFT)
+                    out |= (low[0, x] > left) | (high[0, x] < right)
+                    if x is b:
+                        out |= apart & ((low[1, x] > left) | (high[1, x] < right))
+                out |= _roots(parent, a) != _roots(parent, b)
+                return out & (apart | (also[a] >= 0) | (also[b] >= 0))
+
+            for a, b, low_a, high_a, low_b, high_b, s in _matches(near, np.flatnonzero(np.diff(key, prepend=key[0] ^ 1)), least, similarity, wanted, np.asarray(batch.column("side"))):
+                _unite(parent, a, b)
+                apart = row[a] != row[b]
+                for k, x, p, q, some in ((0, a, low_a, high_a, apart | (also[b] >= 0)), (0, b, low_b, high_b, apart | (also[a] >= 0)), (1, b, low_b, high_b, apart)):
+                    np.minimum.at(low[k], x[some], p[some])
+                    np.maximum.at(high[k], x[some], q[some])
+                    np.maximum.at(best, x[some], s[some])
+            held = np.flatnonzero(high[0] >= 0)
+            first, early = at[held] - least + 1, high[1, held] >= 0
+            columns = [row[held], first + low[0, held], first + high[0, held] + 1, np.where(early, first + low[1, held], -1), np.where(early, first + high[1, held] + 1, -1), row[_roots(parent, held)], best[held]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.float64), strict=True)], names=[f.split()[0] for f in _SHARED.split(", ")])
 
     return run
 
 
+def _met_spans(rows: DataFrame, least: int, similarity: float, hashes: int, most: int, large: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Windows tied to an equal one (_MET), spans that may share a passage (_SPAN) dealt and sorted by key, and the paths that both are read from.
+
+    Windows meet by signature. Of windows equal as wholes, all are tied to the first. Of the others, those which agree with
+    another in a stretch go on. Two runs of similarity s meet under one hash function with chance s, so under one of
+    four with 0.998 where s is 0.8. The windows of a signature with over large different ones (or most in all) meet by
+    signature and stretch. A key of over most spans even then is dealt in parts of which any two meet in one task."""
+    sure = _sure(least, similarity)
+    windows = rows.select("row", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_windows(hashes, least, sure), _WINDOW)
+    known = F.coalesce(F.col("other_at") >= 0, F.lit(False))
+    dealt = windows.repartition(F.when(known, F.xxhash64("row", "at", "key")).otherwise(F.col("key"))).sortWithinPartitions(known, "key", "whole", "row", "at")
+    met, met_path = materialise(dealt.mapInArrow(_meet(most, large, sure), _MET), "met")
+    asked = met.filter("b is null").groupBy(F.col("a").alias("row")).agg(F.collect_list(F.struct("key", F.col("a_at").alias("at"), "left", "right", "sides", "also")).alias("met"))
+    texts = rows.join(asked.hint("shuffle_hash"), "row").select("row", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "met")
+    spans, spans_path = materialise(texts.mapInArrow(_spans(least), _SPAN), "spans")
+    keys, keys_path = materialise(spans.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "keys")
+    met = met.filter("b is not null")
+    if not keys.isEmpty():  # fewer than spans over most
+        parts = F.ceil(F.col("n") * 2 / most).cast("int")
+        hot = spans.join(F.broadcast(keys), "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("row", "at"), F.col("parts")).cast("int"))
+        pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("key", F.least(p, "part"), F.greatest(p, "part"))))
+        spans = spans.join(F.broadcast(keys), "key", "left_anti").unionByName(hot.withColumn("key", pair).drop("n", "parts", "part"))
+    return met, spans.repartition("key").sortWithinPartitions("key", "row", "at"), [met_path, spans_path, keys_path]
+
+
 def window_links(rows: DataFrame, least_words: int = 50, similarity: float = 0.8, hashes: int = 4, most: int = 200_000, large: int = 300) -> DataFrame:
     """(a, b, a_start, a_end, b_start, b_end, similarity) of rows (row, text): runs of shingles around a window's smallest value, ends exclusive, that rows a < b share.
 
-    Windows meet by signature. Of windows equal as wholes, all are tied to the first. Of the others, those which
-    share a side's context with another meet again with their shingles, an interval join verified place by place.
-    Two runs of similarity s meet under one hash function with chance s, so under one of four with 0.998 where s
-    is 0.8. A signature with over large different windows (or most in all) is hot: its windows meet by signature and
-    one side's context instead, and its exact runs are grouped by hash, where only their first rows meet."""
+    Equal windows are linked to the first of them; different ones of a signature all with each other, which takes as many rows as there are such pairs."""
     least = least_words - SHINGLE + 1
-    windows = rows.select("row", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_windows(hashes, least), _WINDOW)
-    known = F.col("other").isNotNull()
-    dealt = windows.repartition(F.when(known, F.xxhash64("row", "at", "key")).otherwise(F.col("key"))).sortWithinPartitions(known, "key", "whole", "row", "at")
-    met, met_path = materialise(dealt.mapInArrow(_meet(most, large), _MET), "met")
+    met, spans, paths = _met_spans(rows, least, similarity, hashes, most, large)
     n = F.col("left") + F.col("right").cast("int") + 1
     start = [(F.col(f"{x}_at") - F.col("left")).cast("int") for x in "ba"]
-    same = met.filter("b is not null").select(F.col("b").alias("a"), F.col("a").alias("b"), start[0].alias("a_start"), (start[0] + n).cast("int").alias("a_end"), start[1].alias("b_start"), (start[1] + n).cast("int").alias("b_end"), F.lit(1.0).alias("similarity"))
-    asked = met.filter("b is null").groupBy(F.col("a").alias("row")).agg(F.collect_list(F.struct("key", F.col("a_at").alias("at"), "left", "right", "hot")).alias("met"))
-    texts = rows.join(asked.hint("shuffle_hash"), "row").select("row", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "met")
-    spans, spans_path = materialise(texts.mapInArrow(_spans(least), "key long, row long, at int, left byte, near binary, hot boolean"), "spans")
-    ties = spans.repartition("key").sortWithinPartitions("key", "row", "at").mapInArrow(_ties(least, similarity, most), _LINK)
-    links = same.unionAll(ties)
-    if not spans.filter("hot").isEmpty():
-        runs = spans.filter("hot").mapInArrow(_hot_runs(least), "run long, row long, at int")
-        first = runs.groupBy("run").agg(F.min(F.struct("row", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("run", "f")
-        size = F.lit(least)
-        links = links.unionAll(runs.join(first, "run").filter("row <> f.row").select(F.col("f.row").alias("a"), F.col("row").alias("b"), F.col("f.at").alias("a_start"), (F.col("f.at") + size).alias("a_end"), F.col("at").alias("b_start"), (F.col("at") + size).alias("b_end"), F.lit(1.0)))
-    out, _ = materialise(links, "links")
-    forget(rows.sparkSession, met_path)
-    forget(rows.sparkSession, spans_path)
+    same = met.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), start[0].alias("a_start"), (start[0] + n).cast("int").alias("a_end"), start[1].alias("b_start"), (start[1] + n).cast("int").alias("b_end"), F.lit(1.0).alias("similarity"))
+    out, _ = materialise(same.unionAll(spans.mapInArrow(_ties(least, similarity, most), _LINK)), "links")
+    for path in paths:
+        forget(rows.sparkSession, path)
+    return out
+
+
+def _joined(low: np.ndarray, high: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, top) of runs of intervals, sorted by row and low, that overlap or touch: the first interval's index, and the greatest high."""
+    if not len(low):
+        return np.zeros(0, np.int64), high
+    base = row * (int(high.max()) + 2)  # rows don't touch
+    top = np.maximum.accumulate(base + high)
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = (base + low)[1:] > top[:-1]
+    first = np.flatnonzero(fresh)
+    return first, top[np.append(first[1:] - 1, len(low) - 1)] - base[first]
+
+
+_PASSAGE = "row long, start int, end int, extra boolean, similarity double, ties array<long>"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of _SHARED, sorted by row (as key) and start, to passages (_PASSAGE); the first of a row has the other rows that it is tied to."""
+    tail = SHINGLE - 1
+    for batch, _ in _whole_groups(batches, 1 << 62):
+        row, low, high, early_low, early_high, tie, s = (np.asarray(c) for c in batch.columns)
+        _, at = np.unique(row, return_inverse=True)
+        early = np.flatnonzero(early_high >= 0)
+        early = early[np.lexsort((early_low[early], at[early]))]
+        parts = [[], [], [], [], []]
+        for extra, own, l, h in ((True, early, early_low, early_high), (False, np.arange(len(row)), low, high)):
+            first, top = _joined(l[own].astype(np.int64), h[own].astype(np.int64), at[own])
+            best = np.maximum.reduceat(s[own], first) if len(first) else s[:0]
+            for c, x in zip(parts, (at[own[first]], l[own[first]], top, np.full(len(first), extra), best), strict=True):
+                c.append(x)
+        who, low, high, extra, s = (np.concatenate(c) for c in parts)
+        order = np.lexsort((~extra, high, low, who))
+        who, low, high, extra, s = (c[order] for c in (who, low, high, extra, s))
+        again = np.zeros(len(who), bool)  # an earlier row has all of it
+        again[1:] = (who[1:] == who[:-1]) & (low[1:] == low[:-1]) & (high[1:] == high[:-1])
+        who, low, high, extra, s = (c[~again] for c in (who, low, high, extra, s))
+        names = np.unique(row)
+        edges = np.unique(np.stack([at, tie])[:, row != tie], axis=1)
+        counts = np.zeros(len(who), np.int64)
+        counts[np.searchsorted(who, np.arange(len(names)))] = np.bincount(edges[0], minlength=len(names))
+        ties = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(edges[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(low.astype(np.int32)), pa.array((high + tail).astype(np.int32)), pa.array(extra), pa.array(s), ties], names=[f.split()[0] for f in _PASSAGE.split(", ")])
+
+
+def row_passages(rows: DataFrame, least_words: int = 50, similarity: float = 0.8, hashes: int = 4, most: int = 200_000, large: int = 300) -> DataFrame:
+    """row, start, end (words, end exclusive), extra, similarity, ties of rows (row, text): all passages that a row shares with others, as few rows as there are passages.
+
+    extra: an earlier row has all of it; else it is shared with later rows, or in part with earlier ones. Runs that overlap or touch
+    make one passage; of these its similarity is the greatest. ties: rows by which rows that share a passage hang together, with the row's first passage."""
+    least = least_words - SHINGLE + 1
+    met, spans, paths = _met_spans(rows, least, similarity, hashes, most, large)
+    start, end = (F.col("a_at") - F.col("left")).cast("int"), (F.col("a_at") + F.col("right") + 1).cast("int")
+    later = F.col("b") < F.col("a")
+    same = met.select(F.col("a").alias("row"), start.alias("start"), end.alias("end"), F.when(later, start).otherwise(-1).alias("early_start"), F.when(later, end).otherwise(-1).alias("early_end"), F.col("b").alias("tie"), F.lit(1.0).alias("similarity"))
+    shared = same.unionAll(spans.mapInArrow(_shared(least, similarity), _SHARED)).withColumnRenamed("row", "key")
+    out, _ = materialise(shared.repartition("key").sortWithinPartitions("key", "start").mapInArrow(_merged, _PASSAGE), "passages")
+    for path in paths:
+        forget(rows.sparkSession, path)
     return out
 
 
@@ -596,6 +737,19 @@ def repeated_passages(documents: DataFrame, least_words: int = 50, similarity: f
     return named.select(F.explode(F.array(*side("b", "a"), *side("a", "b"))).alias("x")).select("x.*")
 
 
+def shared_passages(documents: DataFrame, least_words: int = 50, similarity: float = 0.8, hashes: int = 4) -> DataFrame:
+    """doc_id, start_word, end_word (exclusive), class_id, similarity, extra: every passage that a row shares with another, once.
+
+    class_id: the doc_id of the first row of the table that is reached from the row over shared passages. extra: an earlier row has
+    all of the passage, so it may go. Rows, null and short texts and an empty table are taken as repeated_passages() takes them."""
+    rows, path = numbered_rows(documents.select("doc_id", "text"))
+    found = row_passages(rows.select("row", "doc.text"), least_words, similarity, hashes)
+    roots = connected_components(found.select(F.col("row").alias("a"), F.explode("ties").alias("b")))
+    ids = rows.select("row", "doc.doc_id")
+    named = roots.join(ids.select(F.col("row").alias("root"), F.col("doc_id").alias("class_id")), "root").select(F.col("node").alias("row"), "class_id")
+    return found.join(ids, "row").join(named, "row").select("doc_id", F.col("start").cast("long").alias("start_word"), F.col("end").cast("long").alias("end_word"), "class_id", "similarity", "extra")
+
+
 def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts without the runs of words gone."""
     out = []
@@ -618,8 +772,7 @@ def drop_repeats(documents: DataFrame, least_words: int = 50, similarity: float
     stays, and null ids are kept like any other. Columns stay as they are but for text and, where there is one,
     n_chars, which is counted anew for texts that were cut. Null and empty texts stay; an empty table stays empty."""
     rows, _ = numbered_rows(documents)
-    gone = passage_links(rows.select("row", "doc.text"), least_words, similarity).groupBy(F.col("b").alias("row")).agg(F.collect_set(F.struct(F.col("b_start").alias("s"), F.col("b_end").alias("e"))).alias("gone"))
-    gone, _ = materialise(gone, "gone")
+    gone = row_passages(rows.select("row", "doc.text"), least_words, similarity).filter("extra").groupBy("row").agg(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("gone"))
     joined = rows.join(gone.hint("shuffle_hash"), "row", "left")
     whole, touched = joined.filter("gone is null").select("doc.*"), joined.filter("gone is not null").withColumn("left", F.arrow_udf(_without, "string")(F.col("doc.text"), F.col("gone"))).filter(F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("left"), "n_chars": F.length("left")}
@@ -627,5 +780,5 @@ def drop_repeats(documents: DataFrame, least_words: int = 50, similarity: float
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All passages of 50 words or more that documents share."""
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """All passages of 50 words or more that documents share, with the class of each document."""
+    return shared_passages(table(spark, sf_dir, "documents"))
