@@ -267,7 +267,7 @@ class LibraryBpe(WordBpe):
     packed() keeps the ids of chunks and words met, of LONGEST characters at most each and so many that they take a
     bounded number of bytes."""
 
-    LONGEST, MOST = 64, 600_000
+    LONGEST, MOST = 64, 150_000
 
     def __init__(self, path: str):
         super().__init__(path)

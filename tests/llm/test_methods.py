@@ -463,3 +463,14 @@ def test_shared_passages_have_classes(spark):
     got = {(r["doc_id"], r["start_word"], r["end_word"], r["class_id"], r["extra"]) for r in passages.shared_passages(rows).collect()}
     assert got == {(5, 9, 69, 5, False), (3, 0, 60, 5, True), (3, 69, 129, 5, False), (3, 0, 60, 5, True)}
     assert passages.shared_passages(rows.limit(0)).count() == 0
+
+
+def test_packing_keeps_few_chunks():
+    """pipeline: what a worker keeps of chunks and words stays small beside an executor's memory."""
+    held = bpe.LibraryBpe(bpe.default_vocabulary())
+    for i in range(8):
+        of = held.packed()
+        for j in range(50_000):
+            of[f"a{i}b{j}"]
+    assert len(held._held) <= 200_000 and len(held._of_word) <= 200_000
+    assert held.packed()["a1b2"] == bpe.LibraryBpe(bpe.default_vocabulary()).packed()["a1b2"]
