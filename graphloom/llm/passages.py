@@ -350,78 +350,99 @@ def _enough(least: int, similarity: float) -> int:
 
 def _equal_run(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(low, high) of the run of true values around the middle, ends included."""
-    mid = same.shape[1] // 2
-    left, right = ~same[:, mid::-1], ~same[:, mid:]
-    low = np.where(left.any(axis=1), left.argmax(axis=1), mid + 1)
-    high = np.where(right.any(axis=1), right.argmax(axis=1), mid + 1)
-    return mid - low + 1, mid + high - 1
+    mid, ends = same.shape[1] // 2, []
+    for side in (same.T[mid::-1], same.T[mid:]):
+        alive, n = np.ones(len(same), bool), np.zeros(len(same), np.uint8)
+        for here in side:
+            alive &= here
+            n += alive.view(np.uint8)
+        ends.append(n.astype(np.int64))
+    return mid - ends[0] + 1, mid + ends[1] - 1
+
+
+def _count(same: np.ndarray) -> np.ndarray:
+    """True values of each column."""
+    return np.add.reduce(same.view(np.uint8), axis=0, dtype=np.uint8)
+
+
+def _dense(same: np.ndarray, least: int, share: float, more: np.ndarray | int = 0) -> np.ndarray:
+    """Columns that may hold a run of least places, about the middle, of which so large a share of places (less more * share / 2) are true; the others hold none.
+
+    A run holds enough just if a balance doesn't fall by more from its one end to the other; rounding lets a few others pass."""
+    width, n = same.shape
+    unit = 256 if width < 120 else 32 * 128 // width
+    down, enough = np.int16(share * unit), np.floor(np.asarray(more) * (share / 2 * unit)) - 1
+    balance = np.zeros((width + 1, n), np.int16)
+    np.multiply(same.view(np.uint8), np.int16(unit), out=balance[1:])
+    balance[1:] -= down
+    for i in range(1, width):
+        balance[i + 1] += balance[i]
+    lowest, best, rise = balance[0].copy(), np.full(n, -(1 << 15), np.int16), np.zeros(n, np.int16)
+    for j in range(least, width + 1):
+        np.minimum(lowest, balance[j - least], out=lowest)
+        np.subtract(balance[j], lowest, out=rise)
+        np.maximum(best, rise, out=best)
+    return np.flatnonzero(best >= enough)
 
 
 def _similar_run(same: np.ndarray, least: int, similarity: float, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(low, high) of the longest run that begins and ends with true values, is least places long on either side, of which the other is more places longer, and holds enough of them; low is -1 if there is none."""
-    n, width = same.shape
-    low, high = np.full(n, -1), np.full(n, -1)
-    left = np.flatnonzero(np.count_nonzero(same, axis=1) >= _enough(least, similarity))
-    if not len(left):
-        return low, high
-    sums = np.zeros((len(left), width + 1), np.int16)
-    np.cumsum(same[left], axis=1, dtype=np.int16, out=sums[:, 1:])
-    # a run holds enough just if this balance doesn't fall from its one end to the other, but for a constant; both ends are true
-    share = 2 * similarity / (1 + similarity)
-    balance, here = sums - share * np.arange(width + 1), same[left]
-    lowest = np.minimum.accumulate(np.where(here, balance[:, :-1], np.inf), axis=1)
-    highest, some = np.where(here, balance[:, 1:], -np.inf), np.zeros(len(left), bool)
-    for far in np.unique(more[left]).tolist():
-        k, size = np.flatnonzero(more[left] == far), least + max(0, -far)
-        some[k] = (highest[k, size - 1 :] - lowest[k, : width + 1 - size] >= far * share / 2 - 1e-6).any(axis=1)
-    left, sums = left[some], sums[some]
-    ends = width - least + 1  # a run begins in the first places and ends in as many last ones
-    size = np.arange(least, width + 1)[None, :] - np.arange(ends)[:, None]
-    for part in np.array_split(np.arange(len(left)), len(left) // 1024 + 1):
-        held, own, far = same[left[part]], sums[part], more[left[part], None, None]
-        need = np.ceil((2 * size + far) * (share / 2) - 1e-9).astype(np.int16)
-        good = (own[:, None, least:] - own[:, :ends, None] >= need) & held[:, :ends, None] & held[:, None, least - 1 :] & (size >= least + np.maximum(0, -far))
-        longest = (good * size).reshape(len(part), ends * ends)
-        at = longest.argmax(axis=1)
-        hit = longest[np.arange(len(part)), at] > 0
-        low[left[part[hit]]], high[left[part[hit]]] = at[hit] // ends, at[hit] % ends + least - 1
+    """(low, high) of each column's longest run that begins and ends with true values, is least places long on either side, of which the other is more places longer, and holds enough of them; low is -1 if there is none."""
+    width, n = same.shape
+    low, high, share = np.full(n, -1), np.full(n, -1), 2 * similarity / (1 + similarity)
+    for part in np.array_split(np.arange(n), n // 4096 + 1) if n else []:
+        held, far = same.take(part, axis=1), more[part]  # by take(), whose result has its places one after another
+        sums = np.zeros((width + 1, len(part)), np.uint8)
+        for i in range(width):
+            np.add(sums[i], held[i].view(np.uint8), out=sums[i + 1])
+        longest, at = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        for size in range(least, width + 1):
+            need = np.ceil((2 * size + far) * (share / 2) - 1e-9).astype(np.uint8)
+            good = sums[size:] - sums[: width + 1 - size] >= need
+            good &= held[: width + 1 - size]
+            good &= held[size - 1 :]
+            fits = np.flatnonzero(np.logical_or.reduce(good, axis=0) & (size >= least - far))
+            longest[fits], at[fits] = size, good[:, fits].argmax(axis=0)
+        hit = longest > 0
+        low[part[hit]], high[part[hit]] = at[hit], (at + longest)[hit] - 1
     return low, high
 
 
 def _moved(x: np.ndarray, y: np.ndarray, same: np.ndarray, least: int, similarity: float) -> list[np.ndarray]:
-    """[pair, low_x, high_x, low_y, high_y, similarity] of pairs alike but for words put in or left out at one place: beyond it, equal places are up to SHIFT apart."""
-    mid, width = x.shape[1] // 2, x.shape[1]
-    around = np.zeros((len(y), width + 2 * SHIFT), y.dtype)
-    around[:, SHIFT:-SHIFT] = y
-    shifted = np.lib.stride_tricks.sliding_window_view(around, width, axis=1) == x[:, None, :]
-    shifted &= ((x > 0) & ~same)[:, None, :]
-    shifted[:, SHIFT] = False
-    moved = np.count_nonzero(shifted, axis=2)
-    pair, off = np.nonzero((moved > 0) & (moved + np.count_nonzero(same, axis=1)[:, None] >= _enough(least, similarity)))
-    either, off = same[pair] | shifted[pair, off], off - SHIFT
-    pair, either, off = np.tile(pair, 2), np.tile(either, (2, 1)), np.tile(off, 2)
-    more = np.where(np.arange(len(off)) < len(off) // 2, off, -off)  # the words are put in after the middle, or before it
+    """[pair, low_x, high_x, low_y, high_y, similarity] of pairs (columns) alike but for words put in or left out at one place: beyond it, equal places are up to SHIFT apart."""
+    width, mid = x.shape[0], x.shape[0] // 2
+    here, found = _count(same), []
+    for off in (*range(-SHIFT, 0), *range(1, SHIFT + 1)):
+        a, b = max(0, -off), width - max(0, off)
+        either = same.copy()
+        either[a:b] |= x[a:b] == y[a + off : b + off]
+        both = _count(either)
+        pair = np.flatnonzero((both > here) & (both >= _enough(least, similarity)))
+        found.append((pair, either.take(pair, axis=1), np.full(len(pair), off)))
+    pair, either, off = (np.concatenate(c, axis=-1) for c in zip(*found, strict=True))
+    more = np.concatenate([off, -off])  # the words are put in after the middle, or before it
+    pair, either, off = np.tile(pair, 2), np.tile(either, 2), np.tile(off, 2)
+    some = _dense(either, least, 2 * similarity / (1 + similarity), more)
+    pair, off, more, either = pair[some], off[some], more[some], either.take(some, axis=1)
     low, high = _similar_run(either, least, similarity, more)
     g = np.flatnonzero((low >= 0) & np.where(more == off, high > mid, low < mid))
-    pair, low, high, off = pair[g], low[g], high[g], off[g]
-    low_y, high_y = low + np.where(same[pair, low], 0, off), high + np.where(same[pair, high], 0, off)
-    sums = np.cumsum(either[g], axis=1)
-    n = sums[np.arange(len(g)), high] - sums[np.arange(len(g)), low] + 1
+    pair, low, high, off, either = pair[g], low[g], high[g], off[g], either.take(g, axis=1)
+    low_y, high_y = low + np.where(same[low, pair], 0, off), high + np.where(same[high, pair], 0, off)
+    sums, each = np.cumsum(either, axis=0), np.arange(len(g))
+    n = sums[high, each] - sums[low, each] + 1
     size_x, size_y = high - low + 1, high_y - low_y + 1
     s = n / np.maximum(size_x + size_y - n, 1)
     fits = (s >= similarity) & (np.minimum(size_x, size_y) >= least)
     return [c[fits] for c in (pair, low, high, low_y, high_y, s)]
 
 
-def _in_common(near: np.ndarray, a: np.ndarray, b: np.ndarray, slots: int = 2048) -> np.ndarray:
-    """Of each pair of spans at least as many as there are places of a whose shingle b has anywhere; more by chance, as slots are shared."""
-    others, at = np.unique(b, return_inverse=True)
-    own, mine = np.unique(a, return_inverse=True)
-    slot = lambda x: np.where(x == 0, 0, 1 + (x >> np.uint16(1)) % np.uint16(slots - 1)).astype(np.int32)
-    table = np.zeros((len(others), slots), bool)
-    table[np.arange(len(others))[:, None], slot(near[others])] = True
-    table[:, 0] = False  # places of no shingle
-    return np.count_nonzero(np.take(table.ravel(), slot(near[own])[mine] + (at * slots).astype(np.int32)[:, None]), axis=1)
+def _near_by(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which places of x hold what y has at most SHIFT places away."""
+    out, here, width = same.copy(), np.zeros(same.shape, bool), len(same)
+    for off in (*range(-SHIFT, 0), *range(1, SHIFT + 1)):
+        a, b = max(0, -off), width - max(0, off)
+        np.equal(x[a:b], y[a + off : b + off], out=here[a:b])
+        out[a:b] |= here[a:b]
+    return out
 
 
 def _matched(near: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[np.ndarray]:
@@ -429,32 +450,52 @@ def _matched(near: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similar
 
     Exactly where the equal run around the middle is long enough; else with words changed, and, for those whose equal
     run is of AHEAD places, with words put in or left out once. Of a passage's two parts the longer has that many, and a smallest value in it is
-    likely under one of the hash functions."""
+    likely under one of the hash functions. Pairs are columns here, so that each step is over many of them."""
     found: list[list[np.ndarray]] = []
-    mid = near.shape[1] // 2
-    for part in np.array_split(np.arange(len(a)), len(a) // 4_000 + 1):
-        x, y = near[a[part]], near[b[part]]
-        same = (x == y) & (x > 0)
-        low, high = _equal_run(same)
+    share = 2 * similarity / (1 + similarity)
+    for part in np.array_split(np.arange(len(a)), len(a) // 8_192 + 1):
+        x, y = np.ascontiguousarray(near[a[part]].T), np.ascontiguousarray(near[b[part]].T)
+        x[x == 0] = 2  # places of no shingle equal nothing
+        same = x == y
+        low, high = _equal_run(same.T)
         exact = high - low + 1 >= least
         k = np.flatnonzero(exact)
         found.append([a[part[k]], b[part[k]], low[k], high[k], low[k], high[k], np.ones(len(k))])
         rest = ~exact
-        k = np.flatnonzero(rest & (np.count_nonzero(same, axis=1) >= _enough(least, similarity)))
-        lo, hi = _similar_run(same[k], least, similarity, np.zeros(len(k), np.int64))
+        k = np.flatnonzero(rest & (_count(same) >= _enough(least, similarity)))
+        k = k[_dense(same.take(k, axis=1), least, share)]
+        lo, hi = _similar_run(same.take(k, axis=1), least, similarity, np.zeros(len(k), np.int64))
         k, lo, hi = k[lo >= 0], lo[lo >= 0], hi[lo >= 0]
-        sums = np.cumsum(same[k], axis=1)
-        own = sums[np.arange(len(k)), hi] - sums[np.arange(len(k)), lo] + 1
+        sums = np.cumsum(same.take(k, axis=1), axis=0)
+        own = sums[hi, np.arange(len(k))] - sums[lo, np.arange(len(k))] + 1
         found.append([a[part[k]], b[part[k]], lo, hi, lo, hi, own / (2 * (hi - lo + 1) - own)])
         rest[k] = False
         k = np.flatnonzero(rest & (high - low + 1 >= AHEAD))
-        k = k[_in_common(near, a[part[k]], b[part[k]]) >= _enough(least, similarity)] if len(k) else k
+        if len(k):  # a side of the run that is SHIFT places longer than the other holds so many less
+            x, y, same = (c.take(k, axis=1) for c in (x, y, same))
+            some = _dense(_near_by(x, y, same), least, share, -SHIFT)
+            k, x, y, same = k[some], *(c.take(some, axis=1) for c in (x, y, same))
         if len(k):
-            pair, *rest = _moved(x[k], y[k], same[k], least, similarity)
-            found.append([a[part[k[pair]]], b[part[k[pair]]], *rest])
+            pair, *spans = _moved(x, y, same, least, similarity)
+            found.append([a[part[k[pair]]], b[part[k[pair]]], *spans])
     return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 8_192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs in runs of about most, whichever groups they are of."""
+    held, size = [], 0
+    for a, b in pairs:
+        held.append((a, b))
+        size += len(a)
+        if size >= most:
+            a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            for low in range(0, size - most + 1, most):
+                yield a[low : low + most], b[low : low + most]
+            held, size = [(a[size - size % most :], b[size - size % most :])], size % most
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def _candidates(near: np.ndarray, starts: np.ndarray, least: int, similarity: float, few: int = 32, tile: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of spans of a group that are equal in so many places, or for so long about the middle, that they may share a passage.
 
@@ -470,30 +511,26 @@ def _candidates(near: np.ndarray, starts: np.ndarray, least: int, similarity: fl
         for a in np.array_split(at, len(at) // 4_000 + 1):
             same = full[a] == near[a + step]
             a = a[(np.count_nonzero(same, axis=1) >= enough) | same[:, mid - CONTEXT : mid + 1].all(axis=1) | same[:, mid : mid + CONTEXT + 1].all(axis=1)]
-            if len(a):
-                yield a, a + step
+            yield a, a + step
     for low, high in zip(starts[sizes > few].tolist(), (starts + sizes)[sizes > few].tolist(), strict=True):
         columns, others = np.ascontiguousarray(full[low:high].T), np.ascontiguousarray(near[low:high].T)
         for i in range(0, high - low, 64):
             x = columns[:, i : i + 64, None]
             for j in range(i, high - low, tile // 64):
                 y = others[:, None, j : j + tile // 64]
-                same, run = np.zeros((x.shape[1], y.shape[2]), np.uint8), np.zeros((x.shape[1], y.shape[2]), np.uint8)
+                same, run, here = (np.zeros((x.shape[1], y.shape[2]), kind) for kind in (np.uint8, np.uint8, bool))
                 for side in (range(mid, width), range(mid - 1, -1, -1)):
                     alive = np.ones(same.shape, bool)
                     for c in side:
-                        here = x[c] == y[c]
-                        same += here
+                        np.equal(x[c], y[c], out=here)
+                        same += here.view(np.uint8)
                         if abs(c - mid) <= AHEAD:
                             alive &= here
-                            run += alive
+                            run += alive.view(np.uint8)
                 a, b = np.nonzero((same >= enough) | (run >= AHEAD))
                 a, b = a + i, b + j
                 later = b > a
-                a, b = a[later], b[later]
-                for part in np.array_split(np.arange(len(a)), len(a) // 4_000 + 1):
-                    if len(part):
-                        yield low + a[part], low + b[part]
+                yield low + a[later], low + b[later]
 
 
 def _matches(near: np.ndarray, starts: np.ndarray, least: int, similarity: float, wanted, side: np.ndarray | None = None) -> Iterator[list[np.ndarray]]:
@@ -501,7 +538,7 @@ def _matches(near: np.ndarray, starts: np.ndarray, least: int, similarity: float
 
     side: of each span the stretch by which its group meets. Those that agree in an earlier one too meet by that."""
     mid = near.shape[1] // 2
-    for a, b in _candidates(near, starts, least, similarity):
+    for a, b in _gathered(_candidates(near, starts, least, similarity)):
         some = wanted(a, b)
         for k in range(0 if side is None else int(side[a].max())):
             low, high = (mid + p for p in _stretches(least)[k])

@@ -474,3 +474,61 @@ def test_packing_keeps_few_chunks():
             of[f"a{i}b{j}"]
     assert len(held._held) <= 200_000 and len(held._of_word) <= 200_000
     assert held.packed()["a1b2"] == bpe.LibraryBpe(bpe.default_vocabulary()).packed()["a1b2"]
+
+
+def _slow_match(x, y, least, similarity):
+    """Whether two spans share a passage, by every run and shift: words changed, or put in or left out at one place."""
+    mid, share = len(x) // 2, 2 * similarity / (1 + similarity)
+    same = (x == y) & (x > 0)
+
+    def runs(equal):
+        for low in range(mid + 1):
+            for high in range(max(mid, low + least - 1), len(x)):
+                if equal[low] and equal[high]:
+                    yield low, high, int(equal[low : high + 1].sum())
+
+    if any(n >= share * (high - low + 1) - 1e-9 for low, high, n in runs(same)):
+        return True
+    if not same[mid - 8 : mid + 9].all() or passages._equal_run(same[None])[1][0] - passages._equal_run(same[None])[0][0] + 1 < passages.AHEAD:
+        return False
+    for off in range(-passages.SHIFT, passages.SHIFT + 1):
+        shifted = np.array([x[p] > 0 and 0 <= p + off < len(x) and x[p] == y[p + off] for p in range(len(x))])
+        if off and (shifted & ~same).any():
+            for low, high, n in runs(same | shifted):
+                size = high - low + 1
+                other = size + (0 if same[high] else off) - (0 if same[low] else off)
+                if min(size, other) >= least and n >= share / 2 * (size + other) + 1e-6 and (same[low] or same[high]):
+                    return True
+    return False
+
+
+def test_filters_before_shifts_lose_no_pair():
+    """op3_substring_dedup: pairs that the cheap tests leave out share nothing by a plain search either."""
+    rng, near = np.random.default_rng(19), []
+    for _ in range(300):
+        x = rng.integers(1, 1 << 15, 91).astype(np.uint16)
+        x[: rng.integers(0, 25)] = x[rng.integers(70, 92) :] = 0
+        at, by = int(rng.integers(54, 80)), int(rng.integers(-6, 7))
+        y = np.concatenate([x[:at], rng.integers(1, 1 << 15, max(4, 4 + by)), x[at + max(4, 4 - by) :], rng.integers(1, 1 << 15, 91)])[:91].astype(np.uint16)
+        cut = int(rng.integers(0, 40))
+        y[:cut] = rng.integers(1, 1 << 15, cut)
+        near += [x, y] if rng.random() < 0.5 else [x[::-1], y[::-1]]
+    near, a = np.array(near), np.arange(0, 600, 2)
+    got = set(passages._matched(near, a, a + 1, 46, 0.8)[0].tolist())
+    want = {i for i in a.tolist() if _slow_match(near[i], near[i + 1], 46, 0.8)}
+    assert 50 < len(want) < 250 and want <= got
+
+
+def test_spans_with_lines_in_other_order_are_not_shifted(monkeypatch):
+    """op3_substring_dedup: a shared line and other lines elsewhere are no passage, and don't reach the costly test of shifts."""
+    rng, seen, moved = np.random.default_rng(20), [], passages._moved
+    monkeypatch.setattr(passages, "_moved", lambda x, *rest: seen.append(x) or moved(x, *rest))
+    lines = [rng.integers(1, 1 << 15, 12).astype(np.uint16) for _ in range(6)]
+    near = rng.integers(1, 1 << 15, (60, 91)).astype(np.uint16)
+    near[:, 35:55] = rng.integers(1, 1 << 15, 20)
+    for row in near:
+        for start, line in zip((0, 17, 60, 76), rng.permutation(6)[:4], strict=True):
+            row[start : start + 12] = lines[line]
+    near |= 1
+    assert not len(passages._pairs(near, np.arange(60), np.array([0]), 46, 0.8)[0])
+    assert not seen
