@@ -1,13 +1,15 @@
 """Operators held against brute force."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, components, packing, passages, simhash, topk
+from graphloom.llm import bpe, common, components, packing, passages, simhash, topk
 
 U64 = np.uint64
 
@@ -532,3 +534,17 @@ def test_spans_with_lines_in_other_order_are_not_shifted(monkeypatch):
     near |= 1
     assert not len(passages._pairs(near, np.arange(60), np.array([0]), 46, 0.8)[0])
     assert not seen
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """pipeline, op3_substring_dedup: what a step shuffled doesn't stay on disk beside what it wrote."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept, path = common.materialise(spark.range(5000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert sorted(r["k"] for r in kept.collect()) == list(range(7))
+    common.forget(spark, path)
