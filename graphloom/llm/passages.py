@@ -496,41 +496,152 @@ def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 8_192)
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def _candidates(near: np.ndarray, starts: np.ndarray, least: int, similarity: float, few: int = 32, tile: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tables(near: np.ndarray, full: np.ndarray, one: tuple[int, int], two: tuple[int, int], enough: int, tile: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a span of one run of spans with a later one of another run (or of the same), by looking at each pair: tables of spans by spans, a column at a time."""
+    mid, width = near.shape[1] // 2, near.shape[1]
+    columns, others = np.ascontiguousarray(full[one[0] : one[1]].T), np.ascontiguousarray(near[two[0] : two[1]].T)
+    for i in range(0, one[1] - one[0], 64):
+        x = columns[:, i : i + 64, None]
+        for j in range(i if one == two else 0, two[1] - two[0], tile // 64):
+            y = others[:, None, j : j + tile // 64]
+            same, run, here = (np.zeros((x.shape[1], y.shape[2]), kind) for kind in (np.uint8, np.uint8, bool))
+            for side in (range(mid, width), range(mid - 1, -1, -1)):
+                alive = np.ones(same.shape, bool)
+                for c in side:
+                    np.equal(x[c], y[c], out=here)
+                    same += here.view(np.uint8)
+                    if abs(c - mid) <= AHEAD:
+                        alive &= here
+                        run += alive.view(np.uint8)
+            a, b = np.nonzero((same >= enough) | (run >= AHEAD))
+            a, b = a + i + one[0], b + j + two[0]
+            later = b > a
+            yield a[later], b[later]
+
+
+def _branches(side: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """[place, span]: a number that spans of a group share just if they are equal from the first place to that one."""
+    named = np.column_stack([group, side]).astype(np.uint16)  # sorted as bytes, equal beginnings lie together
+    order = np.argsort(named.view(f"V{2 * named.shape[1]}").ravel())
+    named, numbers, out = named[order], np.zeros(side.shape, np.int64), np.zeros(side.T.shape, np.int64)
+    np.cumsum(np.logical_or.accumulate(named[1:] != named[:-1], axis=1)[:, 1:], axis=0, out=numbers[1:])
+    out[:, order] = numbers.T
+    return out
+
+
+def _expanded(first: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first, each as often as count says, and beside it start and what follows it."""
+    ends = np.cumsum(count)
+    return np.repeat(first, count), np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _ends(key: np.ndarray) -> np.ndarray:
+    """Of each place of a sorted array the end of its run of equal values."""
+    edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    return np.repeat(edges, np.diff(edges, prepend=0))
+
+
+def _meetings(near: np.ndarray, group: np.ndarray, least: int, share: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, many): all pairs a < b of spans of a group that may share a passage, found by sorting; groups that have too many such, for which others are left to tables.
+
+    A passage ends, on either side, least places or more from its other end, with equal places, or with places up to SHIFT apart. If both ends lie in the
+    run of equal places about the middle, that run is of least places. If an end of one span lies in it and the other's isn't that place, the
+    run is as long as the other's passage. Else an end lies, in both spans, beyond a place where they differ. So spans meet by such ends alone, and text that many
+    have about the middle, one word again and again too, brings none together. many: where more than one in share of all pairs would meet."""
+    bits = 14  # of a span, a group and a branch: at most 1 << 14 spans
+    n, mid, spans = len(near), near.shape[1] // 2, np.bincount(group)
+    sides = [np.ascontiguousarray(near[:, mid:]), np.ascontiguousarray(near[:, mid::-1])]
+    branches = [_branches(side, group) for side in sides]
+    met, meet = np.zeros(len(spans)), []
+
+    def add(a: np.ndarray, who: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """Each of a meets who[start : start + count]."""
+        met[:] += np.bincount(group[a], count, len(spans))
+        meet.append((a, who, start, count))
+
+    for side, other, branch in zip(sides, sides[::-1], branches, strict=True):
+        reach = np.count_nonzero(other, axis=1) - 1
+        at, x = np.nonzero((side > 0).T & (np.arange(mid + 1)[:, None] >= np.maximum(least - 1 - reach, 1)))
+        key = (group[x] << 24 | side[x, at].astype(np.int64) << 8 | at) << bits | branch[at, x]
+        order = np.argsort(key)
+        key, x = key[order], x[order]
+        run, to = key >> bits, _ends(key)
+        add(x, x, to, _ends(run) - to)
+        begin = np.flatnonzero(np.diff(run, prepend=-1))
+        runs, size = run[begin], np.diff(begin, append=len(run))
+        for k in range(1, SHIFT + 1):
+            one = np.flatnonzero(runs[k:] - runs[:-k] <= SHIFT)
+            pair, j = _expanded(one, begin[one + k], size[one + k])
+            own = runs[pair] << bits | branch[runs[pair] & 255, x[j]]
+            low, high = np.searchsorted(key, own), np.searchsorted(key, own, side="right")
+            add(x[j], x, begin[pair], low - begin[pair])
+            add(x[j], x, high, begin[pair] + size[pair] - high)
+    after, before = sides
+    long = [np.flatnonzero((before[:, p] > 0) & (after[:, least - 1 - p] > 0)) for p in range(least)]
+    x, p = np.concatenate(long), np.repeat(np.arange(least), [len(c) for c in long])
+    q = np.minimum(least - p, mid)
+    beyond = np.where((p == 0) | (after[x, q] == 0), n + x, branches[0][q, x])  # they part or end right after it, so each pair meets once
+    key = (p << 2 * bits | branches[1][p, x] << bits | branches[0][least - 1 - p, x]) << bits + 1 | beyond
+    order = np.argsort(key)
+    key, x = key[order], x[order]
+    to = _ends(key)
+    add(x, x, to, _ends(key >> bits + 1) - to)
+    many, codes = met > spans * (spans - 1) / 2 / share, []
+    for a, who, start, count in meet:
+        some = (count > 0) & ~many[group[a]]
+        a, at = _expanded(a[some], start[some], count[some])
+        b = who[at]
+        codes.append(np.minimum(a, b) * n + np.maximum(a, b))
+    code = np.unique(np.concatenate(codes))
+    a, b = code // n, code % n
+    return a[a != b], b[a != b], np.flatnonzero(many)
+
+
+def _candidates(near: np.ndarray, starts: np.ndarray, least: int, similarity: float, few: int = 32, block: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of spans of a group that are equal in so many places, or for so long about the middle, that they may share a passage.
 
-    Every pair of a group is looked at: groups of few spans pair by pair, larger ones as tables of spans by spans, a column at a time."""
-    enough, mid, width = _enough(least, similarity), near.shape[1] // 2, near.shape[1]
+    No pair of a group that may share one is left out: groups of few spans go pair by pair, larger ones by _meetings(), in blocks of spans of which any two of
+    a group meet, and by _tables() where that would meet too many."""
+    enough, mid = _enough(least, similarity), near.shape[1] // 2
     sizes = np.diff(starts, append=len(near))
     group = np.repeat(np.arange(len(starts)), sizes)
     full = np.where(near == 0, np.uint16(2), near)  # places of no shingle equal nothing
+
+    def alike(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in np.array_split(np.arange(len(a)), len(a) // 4_000 + 1):
+            x, y = a[part], b[part]
+            same = full[x] == near[y]
+            some = (np.count_nonzero(same, axis=1) >= enough) | same[:, mid - CONTEXT : mid + 1].all(axis=1) | same[:, mid : mid + CONTEXT + 1].all(axis=1)
+            yield x[some], y[some]
+
     at = np.flatnonzero(sizes[group] <= few)
     for step in range(1, few):
         at = at[at + step < len(near)]
         at = at[group[at] == group[at + step]]
-        for a in np.array_split(at, len(at) // 4_000 + 1):
-            same = full[a] == near[a + step]
-            a = a[(np.count_nonzero(same, axis=1) >= enough) | same[:, mid - CONTEXT : mid + 1].all(axis=1) | same[:, mid : mid + CONTEXT + 1].all(axis=1)]
-            yield a, a + step
-    for low, high in zip(starts[sizes > few].tolist(), (starts + sizes)[sizes > few].tolist(), strict=True):
-        columns, others = np.ascontiguousarray(full[low:high].T), np.ascontiguousarray(near[low:high].T)
-        for i in range(0, high - low, 64):
-            x = columns[:, i : i + 64, None]
-            for j in range(i, high - low, tile // 64):
-                y = others[:, None, j : j + tile // 64]
-                same, run, here = (np.zeros((x.shape[1], y.shape[2]), kind) for kind in (np.uint8, np.uint8, bool))
-                for side in (range(mid, width), range(mid - 1, -1, -1)):
-                    alive = np.ones(same.shape, bool)
-                    for c in side:
-                        np.equal(x[c], y[c], out=here)
-                        same += here.view(np.uint8)
-                        if abs(c - mid) <= AHEAD:
-                            alive &= here
-                            run += alive.view(np.uint8)
-                a, b = np.nonzero((same >= enough) | (run >= AHEAD))
-                a, b = a + i, b + j
-                later = b > a
-                yield low + a[later], low + b[later]
+        yield from alike(at, at + step)
+    large = sizes > few
+    fits = np.flatnonzero(large & (sizes <= block))
+    for some in np.split(fits, np.flatnonzero(np.diff((np.cumsum(sizes[fits]) - 1) // (block // 2))) + 1):
+        for part in [some] if sizes[some].sum() <= block else [some[:1], some[1:]]:
+            if len(part):
+                at = np.flatnonzero(np.isin(group, part))
+                a, b, many = _meetings(near[at], np.searchsorted(part, group[at]), least)
+                yield from alike(at[a], at[b])
+                for g in part[many]:
+                    whole = (int(starts[g]), int(starts[g] + sizes[g]))
+                    yield from _tables(near, full, whole, whole, enough)
+    for g in np.flatnonzero(sizes > block):
+        edges = np.linspace(starts[g], starts[g] + sizes[g], -(-int(sizes[g]) // (block // 2)) + 1).astype(int).tolist()
+        parts = list(zip(edges[:-1], edges[1:], strict=True))
+        for i, one in enumerate(parts):
+            for two in parts[i:]:
+                at = np.arange(*one) if one == two else np.concatenate([np.arange(*one), np.arange(*two)])
+                a, b, many = _meetings(near[at], np.zeros(len(at), np.int64), least)
+                if len(many):
+                    yield from _tables(near, full, one, two, enough)
+                else:
+                    apart = (one == two) | ((a < one[1] - one[0]) & (b >= one[1] - one[0]))
+                    yield from alike(at[a[apart]], at[b[apart]])
 
 
 def _matches(near: np.ndarray, starts: np.ndarray, least: int, similarity: float, wanted, side: np.ndarray | None = None) -> Iterator[list[np.ndarray]]:
