@@ -36,6 +36,9 @@ class WordBpe:
     token of its prefix's encoding: the one vocabulary entry that ends there and that the token before it does
     not merge into. A prefix's state holds for all words below it, so shared prefixes are encoded once."""
 
+    #: ways by suffixes that are kept from one call to the next
+    MOST_FAR = 200_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
@@ -50,11 +53,11 @@ class WordBpe:
             left, right = self.vocab[a], self.vocab[b]
             self.ranks[left, right] = rank
             self.halves.setdefault(self.vocab[a + b], (left, right, rank))
-        self._goto: dict[tuple[int, str], int] = {}
+        self._goto: list[dict[str, int]] = []
         self._words: dict[str, list[int]] = {}
         self.most_words = 250_000  # how many words' ids are kept from one call to the next
-        self._meets: dict[tuple[int, int], bool] = {}
-        self._bytes = {i: c for i, c in enumerate(byte_alphabet()) if chr(i) != c}
+        self._meets: dict[int, bool] = {}
+        self._bytes = "".join(byte_alphabet())  # a table of all 256: translate() looks nothing up in vain
         self._pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
         self._specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self._odd_space = regex.compile("[\x1c-\x1f]")
@@ -64,17 +67,20 @@ class WordBpe:
         """A suffix automaton over all entries: at each place of a word, the entries that end there, longest first.
 
         A word's last symbol is another one than the same character inside, so it has its own code point.
-        _goto: (state, symbol) to state; _fail: the state of the longest proper suffix; _longest: the longest entry that
-        a state ends with (-1: none); _shorter: the next entry by length that an entry ends with."""
+        _goto: by state, symbol to state; _fail: the state of the longest proper suffix; _longest: the longest entry that
+        a state ends with (-1: none); _shorter: the next entry by length that an entry ends with. What is found by way of
+        suffixes is kept in _far, by state too, up to MOST_FAR in all."""
         where, chars, parent = {}, [""], [0]
+        self._goto.append({})
         for entry, token in self.vocab.items():
             core = entry.removesuffix(self.suffix)
             spelt = core[:-1] + self.closed(core[-1]) if core and core != entry else entry
             state = 0
             for c in spelt:
-                to = self._goto.get((state, c))
+                to = self._goto[state].get(c)
                 if to is None:
-                    to = self._goto[state, c] = len(chars)
+                    to = self._goto[state][c] = len(chars)
+                    self._goto.append({})
                     chars.append(c)
                     parent.append(state)
                 state = to
@@ -83,7 +89,8 @@ class WordBpe:
         depth = [0] * n
         for state in range(1, n):  # a parent's number is the smaller one
             depth[state] = depth[parent[state]] + 1
-        self._fail, self._longest, self._shorter, self._length = [0] * n, [-1] * n, {}, {}
+        most = max(self.tokens) + 1
+        self._fail, self._longest, self._shorter, self._length = [0] * n, [-1] * n, [-1] * most, [0] * most
         for state in sorted(range(1, n), key=depth.__getitem__):
             up = parent[state]
             if up:
@@ -94,6 +101,9 @@ class WordBpe:
                 self._longest[state], self._shorter[token], self._length[token] = token, below, size
             else:
                 self._longest[state] = below
+        leaf: dict[str, int] = {}
+        self._goto = [d or leaf for d in self._goto]
+        self._far: dict[int, int] = {}
 
     @staticmethod
     def closed(c: str) -> str:
@@ -102,10 +112,10 @@ class WordBpe:
 
     def _step(self, state: int, c: str) -> int:
         goto, fail = self._goto, self._fail
-        to = goto.get((state, c))
+        to = goto[state].get(c)
         while to is None and state:
             state = fail[state]
-            to = goto.get((state, c))
+            to = goto[state].get(c)
         return to or 0
 
     # -- words of a text
@@ -149,7 +159,7 @@ class WordBpe:
 
     def stays(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border between two tokens while they are built."""
-        known = self._meets.get((left, right))
+        known = self._meets.get(left << 32 | right)
         if known is None:
             if len(self._meets) > 400_000:
                 self._meets.clear()
@@ -168,7 +178,7 @@ class WordBpe:
                     i -= 1
                 else:
                     j -= 1
-            self._meets[left, right] = known
+            self._meets[left << 32 | right] = known
         return known
 
     def _merged(self, word: str) -> list[int]:
@@ -186,8 +196,10 @@ class WordBpe:
         if not self._goto:
             self._automaton()
         out: dict[str, list[int]] = {}
-        goto, fail, longest, shorter, length = self._goto.get, self._fail, self._longest, self._shorter.__getitem__, self._length.__getitem__
+        goto, step, far, longest, shorter, length = self._goto, self._step, self._far, self._longest, self._shorter, self._length
         stays, meets = self.stays, self._meets.get
+        if len(far) > self.MOST_FAR:
+            far.clear()
         states, last = [0], [-1]  # by depth: the automaton's state; the last token (-1: none)
         before = ""
         for word in sorted(words):
@@ -197,30 +209,33 @@ class WordBpe:
             del last[shared + 1 :], states[shared + 1 :]
             state = states[shared]
             for end in range(shared + 1, n + 1):
-                c = word[end - 1] if end < n else self.closed(word[n - 1])
-                to = goto((state, c))
-                while to is None and state:
-                    state = fail[state]
-                    to = goto((state, c))
-                state = to or 0
+                c = word[end - 1] if end < n else chr(ord(word[n - 1]) + 0x1000)
+                to = goto[state].get(c)
+                if to is None:
+                    way = state << 16 | ord(c)  # closed() symbols of the byte alphabet take 13 bits
+                    to = far.get(way)
+                    if to is None:
+                        to = far[way] = step(state, c)
+                state = to
                 token = longest[state]
                 while token >= 0:
-                    size = length(token)
+                    size = length[token]
                     if size == end:
                         break
                     left = last[end - size]
                     if left >= 0:
-                        good = meets((left, token))
+                        good = meets(left << 32 | token)
                         if good or good is None and stays(left, token):
                             break
-                    token = shorter(token)
+                    token = shorter[token]
                 states.append(state)
                 last.append(token)
             ids, end = [], n
             while end and last[end] >= 0:
                 ids.append(last[end])
-                end -= length(last[end])
-            out[word] = self._merged(word) if end else ids[::-1]
+                end -= length[last[end]]
+            ids.reverse()
+            out[word] = self._merged(word) if end else ids
             del last[n:], states[n:]  # the word's end is no prefix of another word
             before = word
         return out
@@ -235,7 +250,14 @@ class WordBpe:
         long = {p for p in met if len(p) > 64}  # not kept: their size has no bound
         known |= self.encode_words(met - known.keys() - long)
         known = known | self.encode_words(long) if long else known
-        return {c: [i for p in pieces for i in (known[p] if isinstance(p, str) else (p,))] for c, pieces in cut.items()}
+
+        out = {}
+        for c, pieces in cut.items():
+            if len(pieces) == 1 and (one := known.get(pieces[0])):
+                out[c] = one
+            else:
+                out[c] = [i for p in pieces for i in (known[p] if isinstance(p, str) else (p,))]
+        return out
 
     def encode(self, text: str) -> list[int]:
         chunks = self.chunks(text)
@@ -244,7 +266,7 @@ class WordBpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens of ids, joined by spaces, as a file without a decoder has it; special tokens included, unknown ids left out."""
-        return " ".join(t for t in map(self.tokens.get, ids) if t is not None)
+        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
 
 
 class Packed(dict):
@@ -352,9 +374,9 @@ class ChunkCache:
             if len(self.of[0]) + len(met) > self.most + len(met & self.of[0].keys()):
                 for k, d in enumerate(self.of):  # what was just met goes on
                     self.of[k] = {c: d[c] for c in met if c in d}
-            for chunk, ids in self.bpe.encode_chunks(met - self.of[0].keys()).items():
-                for d, form in zip(self.of, self.make(ids), strict=True):
-                    d[chunk] = form
+            new = self.bpe.encode_chunks(met - self.of[0].keys())
+            for d, forms in zip(self.of, zip(*map(self.make, new.values()), strict=True)):  # none if nothing is new
+                d.update(zip(new, forms, strict=True))
         finally:
             gc.enable()
 
@@ -382,6 +404,12 @@ def process_cache(kind: str, path: str, forms: int, make, by: type[WordBpe] = Wo
     return _CACHES[kind, path]
 
 
+def _shown(bpe: WordBpe):
+    """Ids to their decimals and to their tokens, each joined by spaces, in UTF-8."""
+    decimals, tokens = {i: b"%d" % i for i in bpe.tokens}, {i: t.encode() for i, t in bpe.tokens.items()}
+    return lambda ids: (b" ".join([decimals[i] for i in ids]), b" ".join([tokens[i] for i in ids]))
+
+
 def round_trip_digests(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, one row for one.
 
@@ -389,7 +417,7 @@ def round_trip_digests(documents: DataFrame, vocabulary: str, id_col: str = "doc
     string. Repeated rows and null ids are kept as they are; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache("texts", vocabulary, 2, lambda bpe: lambda ids: (" ".join(map(str, ids)), bpe.decode(ids)))
+        cache = process_cache("texts", vocabulary, 2, _shown)
         for batch in batches:
             at = 0
             for texts in groups(batch.column(1).to_pylist()):
@@ -398,10 +426,10 @@ def round_trip_digests(documents: DataFrame, vocabulary: str, id_col: str = "doc
                 ids_of, text_of = (d.__getitem__ for d in cache.of)
                 counts, ids_hash, text_hash = [], [], []
                 for c in chunks:
-                    ids = " ".join(map(ids_of, c))
-                    counts.append(ids.count(" ") + 1 if ids else 0)
-                    ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(" ".join(map(text_of, c)).encode()).hexdigest())
+                    ids = b" ".join(map(ids_of, c))
+                    counts.append(ids.count(b" ") + 1 if ids else 0)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    text_hash.append(hashlib.sha256(b" ".join(map(text_of, c))).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(texts)
 
